@@ -21,6 +21,8 @@ DIM = 16
 FIT_DOCS = 1500
 #: Share of rightly predicted calibration documents that rejection may cost, and the highest threshold.
 REJECT_SHARE, REJECT_MOST = 0.001, 0.6
+#: Calibration documents without which nothing but `und` is rejected.
+CALIBRATION_LEAST = 50
 
 _TABLE = bytes(32 if b < 65 or 91 <= b <= 96 or 123 <= b <= 127 else b for b in range(256))
 _MULT = np.uint32(2654435761)
@@ -109,7 +111,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, languag
         model.temperature = min(np.geomspace(0.05, 20, 60), key=lambda t: -np.log(chances(t)[np.arange(len(rows)), labels[rows]] + 1e-12).mean())
         p = chances(model.temperature)
         right = p.max(axis=1)[p.argmax(axis=1) == labels[rows]]
-        model.threshold = float(min(REJECT_MOST, np.quantile(right, REJECT_SHARE))) if len(right) else 0.0
+        model.threshold = float(min(REJECT_MOST, np.quantile(right, REJECT_SHARE))) if len(right) >= CALIBRATION_LEAST else 0.0
     return model
 
 

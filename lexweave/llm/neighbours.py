@@ -35,6 +35,11 @@ def _projection(curve: int, dim: int) -> np.ndarray:
     return np.linalg.qr(rng.normal(size=(dim, dim)))[0][:, : min(DIMS, dim)]
 
 
+def _renewed(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns as new ones, so that a frame can meet another made from it."""
+    return df.select(*[F.col(c).alias(c) for c in names])
+
+
 def _top(frame: pd.DataFrame, k: int) -> pd.DataFrame:
     frame = frame.sort_values(["query", "score", "near"], ascending=[True, False, True], kind="stable").drop_duplicates(["query", "near"])
     return frame.groupby("query", sort=False).head(k)
@@ -108,7 +113,7 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, complete: bo
 
     found_schema = "query long, near long, score double"
     keys = ["curve", "block"]
-    found = wanted.select(*keys, "cls", "embedding").groupBy(*keys).cogroup(blocked.select(*keys, "cls", "embedding").groupBy(*keys)).applyInPandas(in_block, found_schema)
+    found = _renewed(wanted, *keys, "cls", "embedding").groupBy(*keys).cogroup(blocked.select(*keys, "cls", "embedding").groupBy(*keys)).applyInPandas(in_block, found_schema)
 
     def best(df: DataFrame) -> DataFrame:
         place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "near"))
@@ -140,7 +145,7 @@ def _complete(asked: DataFrame, blocked: DataFrame, found: DataFrame, k: int) ->
     groups_n, pages_n = max(1, -(-asked.count() // QUERY_BLOCK)), max(1, -(-shapes.count() // SHAPE_PAGE))
     each_page = q.withColumn("page", F.explode(F.sequence(F.lit(0), F.lit(pages_n - 1))))
     page = F.pmod(F.xxhash64("block"), F.lit(pages_n)).cast("int")
-    each_group = shapes.withColumn("page", page).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups_n - 1))).cast("long"))
+    each_group = shapes.withColumn("page", page).withColumn("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups_n - 1).cast("long"))))
 
     def reach(queries: pd.DataFrame, outlines: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"grp": [], "block": [], "cls": [], "embedding": []})]
@@ -153,9 +158,9 @@ def _complete(asked: DataFrame, blocked: DataFrame, found: DataFrame, k: int) ->
         return pd.concat(out)
 
     keys = ["grp", "page"]
-    met = each_page.groupBy(*keys).cogroup(each_group.groupBy(*keys)).applyInPandas(reach, "grp long, block long, cls long, embedding array<double>")
+    met = each_page.groupBy(*keys).cogroup(_renewed(each_group, *each_group.columns).groupBy(*keys)).applyInPandas(reach, "grp long, block long, cls long, embedding array<double>")
     met = written(met, "completion-pairs")
-    points = first.join(met.select("grp", "block").distinct(), "block")
+    points = _renewed(first.join(met.select("grp", "block").distinct(), "block"), "grp", "block", "cls", "embedding")
 
     def in_pair(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         return _score(queries, points, k + 1) if len(queries) and len(points) else pd.DataFrame({"query": [], "near": [], "score": []})

@@ -51,13 +51,13 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def anchors(raw: bytes, window: int) -> list[tuple[int, int, int]]:
-    """(anchor's hash, first start, number of starts) for runs of windows that share their anchor.
+def anchors(raw: bytes, window: int) -> list[tuple[int, int, int, int]]:
+    """(anchor's hash, first start, number of starts, anchor's place after it) for runs of windows that share their anchor.
 
     The anchor of a window is its string of ANCHOR bytes with the least hash, the first on a tie;
     it depends on the window's bytes alone, so equal windows have equal anchors.
     """
-    out: list[tuple[int, int, int]] = []
+    out: list[tuple[int, int, int, int]] = []
     for base in range(0, len(raw) - window + 1, _SEGMENT):
         part = np.frombuffer(raw, np.uint8)[base : base + _SEGMENT + window - 1]
         n = len(part) - ANCHOR + 1
@@ -68,8 +68,8 @@ def anchors(raw: bytes, window: int) -> list[tuple[int, int, int]]:
         low = np.uint64((1 << 20) - 1)
         at = (_sliding_min((h & ~low) | places, window - ANCHOR + 1) & low).astype(np.int64)
         edge = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]])
-        hashes = h[at[edge[:-1]]].view(np.int64).tolist()
-        out += zip(hashes, (edge[:-1] + base).tolist(), np.diff(edge).tolist(), strict=True)
+        first = at[edge[:-1]]
+        out += zip(h[first].view(np.int64).tolist(), (edge[:-1] + base).tolist(), np.diff(edge).tolist(), (first - edge[:-1]).tolist(), strict=True)
     return out
 
 
@@ -120,42 +120,42 @@ def remove_repeats(docs: DataFrame, window: int = 400, with_text: bool = True, i
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for k, m, text in zip(*(batch.column(c).to_pylist() for c in ("key", "mark", "text")), strict=True):
                 raw = _bytes(text)
-                for h, start, n in anchors(raw, window) if len(raw) >= window else ():
+                for h, start, n, lead in anchors(raw, window) if len(raw) >= window else ():
                     whole = xxhash.xxh3_64_intdigest(raw[start : start + n + window - 1])
-                    for column, v in zip(out, (h, whole - (1 << 64) if whole >= 1 << 63 else whole, k, m, start, n), strict=True):
+                    for column, v in zip(out, (h, whole - (1 << 64) if whole >= 1 << 63 else whole, k, m, start, n, lead), strict=True):
                         column.append(v)
-            kinds = [*[pa.int64()] * 4, pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=["anchor", "context", "key", "mark", "start", "n"])
+            kinds = [*[pa.int64()] * 4, *[pa.int32()] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=["anchor", "context", "key", "mark", "start", "n", "lead"])
 
-    places = written(rows.where(F.octet_length("text") >= window).mapInArrow(find, "anchor long, context long, key long, mark long, start int, n int"), "anchors")
+    places = written(rows.where(F.octet_length("text") >= window).mapInArrow(find, "anchor long, context long, key long, mark long, start int, n int, lead int"), "anchors")
     again = places.groupBy("anchor").agg(F.count("*").alias("times"), (F.min("context") != F.max("context")).alias("mixed")).where(F.col("times") > 1)
     repeated = written(places.join(again.select("anchor", "mixed"), "anchor"), "repeated-anchors")
     discard(places)
-    source = F.struct("key", "mark", "start", "n")
+    source = F.struct("key", "mark", "start", "n", "lead")
     contexts = repeated.groupBy("anchor", "context").agg(F.count("*").alias("times"), F.first("mixed").alias("mixed"), F.min(source).alias("at"))
     contexts = written(contexts, "contexts")
     whole = contexts.where(F.col("times") > 1).select("anchor", "context", F.array(F.struct(F.lit(0).alias("start"), (F.col("at.n") + window - 1).cast("int").alias("end"))).alias("spans"))
 
     mixed = contexts.where("mixed")
     fuller = mixed.groupBy("anchor").agg(F.count("*").alias("many"))
-    asked = mixed.join(fuller, "anchor").select("anchor", "context", "times", "many", F.col("at.key").alias("key"), F.col("at.mark").alias("mark"), F.col("at.start").alias("start"), F.col("at.n").alias("n"))
-    wanted = asked.groupBy("key", "mark").agg(F.collect_list(F.struct("anchor", "context", "times", "many", "start", "n")).alias("asked"))
+    asked = mixed.join(fuller, "anchor").select("anchor", "context", "times", "many", F.col("at.key").alias("key"), F.col("at.mark").alias("mark"), F.col("at.start").alias("start"), F.col("at.n").alias("n"), F.col("at.lead").cast("long").alias("lead"))
+    wanted = asked.groupBy("key", "mark").agg(F.collect_list(F.struct("anchor", "context", "many", "lead", "start", "n")).alias("asked"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, 64):
-            out: dict[str, tuple[list, pa.DataType]] = {c: ([], pa.int64()) for c in ("anchor", "context", "times", "many")} | {"body": ([], pa.binary())}
+            out: dict[str, tuple[list, pa.DataType]] = {c: ([], pa.int64()) for c in ("anchor", "context", "many", "lead")} | {"body": ([], pa.binary())}
             for text, own in zip(batch.column("text").to_pylist(), batch.column("asked").to_pylist(), strict=True):
                 raw = _bytes(text)
                 for x in own:
-                    for c in ("anchor", "context", "times", "many"):
+                    for c in ("anchor", "context", "many", "lead"):
                         out[c][0].append(x[c])
                     out["body"][0].append(raw[x["start"] : x["start"] + x["n"] + window - 1])
             yield _batch(out)
 
-    bodies = rows.where(F.octet_length("text") >= window).join(wanted, ["key", "mark"]).select("text", "asked").mapInArrow(cut, "anchor long, context long, times long, many long, body binary")
+    bodies = rows.where(F.octet_length("text") >= window).join(wanted, ["key", "mark"]).select("text", "asked").mapInArrow(cut, "anchor long, context long, many long, lead long, body binary")
     bodies = written(bodies, "context-bodies")
     total = bodies.where(F.col("many") <= GROUP_MOST).agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
 
@@ -208,18 +208,18 @@ def _counted(bodies: DataFrame, window: int) -> DataFrame:
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, 1024):
             out = {c: ([], pa.int64()) for c in ("anchor", "context", "h1", "h2")} | {c: ([], pa.int32()) for c in ("start", "n")}
-            for a, c, body in zip(*(batch.column(x).to_pylist() for x in ("anchor", "context", "body")), strict=True):
+            for a, c, lead, body in zip(*(batch.column(x).to_pylist() for x in ("anchor", "context", "lead", "body")), strict=True):
                 count = len(body) - window + 1
-                for s in range(0, count, PIECE):
-                    n = min(PIECE, count - s)
-                    h1, h2 = digests(body, [s + n - 1], window - n + 1)
-                    for k, v in (("anchor", a), ("context", c), ("h1", h1[0]), ("h2", h2[0]), ("start", s), ("n", n)):
+                for s in range(lead % PIECE - PIECE if lead % PIECE else 0, count, PIECE):  # told off from the anchor
+                    h1, h2 = digests(body, [s + PIECE - 1], window - PIECE + 1)
+                    first = max(s, 0)
+                    for k, v in (("anchor", a), ("context", c), ("h1", h1[0]), ("h2", h2[0]), ("start", first), ("n", min(s + PIECE, count) - first)):
                         out[k][0].append(v)
             yield _batch(out)
 
     cores = written(bodies.mapInArrow(pieces, "anchor long, context long, h1 long, h2 long, start int, n int"), "cores")
-    twice = cores.groupBy("h1", "h2", "n").agg(F.count("*").alias("times")).where(F.col("times") > 1)
-    left = cores.join(twice, ["h1", "h2", "n"]).groupBy("anchor", "context").agg(F.collect_list(F.struct("start", "n")).alias("pieces"))
+    twice = cores.groupBy("h1", "h2").agg(F.count("*").alias("times")).where(F.col("times") > 1)
+    left = cores.join(twice, ["h1", "h2"]).groupBy("anchor", "context").agg(F.collect_list(F.struct("start", "n")).alias("pieces"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, 256):
