@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
-os.environ["PYTHONPATH"] = f"{sys.path[0]}:{os.environ.get('PYTHONPATH', '')}"
+os.environ["PYTHONPATH"] = f"{sys.path[0]}:{Path(__file__).parent}:{os.environ.get('PYTHONPATH', '')}"
 
 
 @pytest.fixture(scope="session")
