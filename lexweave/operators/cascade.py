@@ -102,7 +102,7 @@ def rules(t: Column, original: Column, profile: str) -> tuple[list[Rule], dict[s
     repaired = {"C10": F.concat(g(1), F.lit(" /"), T.strip(g(2)), F.lit("/ "), g(3))}
     out.append(Rule("C10", t.rlike(p)))
 
-    out.append(_pronounced(t, pos, profile))
+    out.append(_pronounced(t))
 
     p = rf"^([^/]{{1,120}}?)\s+({pos}.+)$"
     g = _groups(t, p)
@@ -129,51 +129,60 @@ def _dotted(rest: Column) -> Column:
     return F.regexp_replace(rest, rf"(?iu)^({UNDOTTED})\s*,", "$1.,")
 
 
-def _pronounced(t: Column, pos: str, profile: str) -> Rule:
-    """`lemma /pron/ rest`, with further pronunciations, variants, sense number, label and part of speech."""
-    p = r"^(.+?)\s*/([^/]+)/(.*)$"
-    g = _groups(t, p)
-    left, rest = T.strip(g(1)), T.strip(g(3))
-    parts = r"(?U)\s+also\s+|,\s*"
-    pieces = F.transform(F.split(left, parts), T.strip)
-    head = F.lower(pieces[0])
-    split = pieces[0] != left
+PRONOUNCED = r"^(.+?)\s*/([^/]+)/(.*)$"
+
+
+def _staged(df: DataFrame, profile: str) -> DataFrame:
+    """Columns that C11 builds step by step: `lemma /pron/ rest`, further pronunciations, variants, sense number.
+
+    Each step is a column of its own, so no expression holds another twice.
+    """
+    pos = T.pos_pattern(profile)
+    t = F.when(F.col("_branch") == "C11", F.col("_text"))
     run = r"^((?:\s*,\s*/[^/]+/)*)(.*)$"
-    extra = F.transform(F.regexp_extract_all(F.regexp_extract(rest, run, 1), F.lit("/([^/]+)/"), F.lit(1)), T.strip)
-    rest = F.btrim(T.strip(F.regexp_extract(rest, run, 2)), F.lit(" ,;"))
-    variants = F.when(split, F.filter(pieces, lambda v: (v != "") & (F.lower(v) != head))).otherwise(F.array().cast("array<string>"))
-    raw = F.when(split, left)
+    df = df.withColumns({"_left": T.strip(F.regexp_extract(t, PRONOUNCED, 1)), "_pron": T.strip(F.regexp_extract(t, PRONOUNCED, 2)), "_rest": T.strip(F.regexp_extract(t, PRONOUNCED, 3))})
+    df = df.withColumns({"_pieces": F.transform(F.split("_left", r"(?U)\s+also\s+|,\s*"), T.strip), "_extra": F.transform(F.regexp_extract_all(F.regexp_extract("_rest", run, 1), F.lit("/([^/]+)/"), F.lit(1)), T.strip)})
+    df = df.withColumns({"_head": F.lower(F.get("_pieces", F.lit(0))), "_split": F.get("_pieces", F.lit(0)) != F.col("_left"), "_rest": F.btrim(T.strip(F.regexp_extract("_rest", run, 2)), F.lit(" ,;"))})
+    others = F.filter("_pieces", lambda v: (v != "") & (F.lower(v) != F.col("_head")))
+    df = df.withColumns({"_variants": F.when(F.col("_split"), others).otherwise(_list()), "_raw": F.when(F.col("_split"), F.col("_left"))})
     if profile != "src":  # in `src` the look-ahead can never be met
-        vp = rf"(?iu)^((?:also|sometimes also)\s+.*?)(?=\s+{pos}(?:\s|,|$))"
-        found = rest.rlike(vp)
-        own = T.strip(F.regexp_extract(rest, vp, 1))
-        clean = F.regexp_replace(own, r"(?iu)^(?:also|sometimes also)\s+", "")
-        clean = F.btrim(F.regexp_replace(T.strip(clean), "/[^/]+/", ""), F.lit(" ,;"))
-        clean = F.btrim(F.regexp_replace(clean, r"(?iuU)\betc\.$", ""), F.lit(" ,;"))
-        more = F.filter(F.transform(F.split(clean, r"(?U),\s*|\s+or\s+"), lambda v: F.btrim(v, F.lit(" .;,"))), lambda v: (v != "") & (F.lower(v) != head))
-        variants = F.when(found, F.concat(variants, F.array_except(more, variants))).otherwise(variants)
-        raw = F.when(found, F.concat_ws("; ", raw, own)).otherwise(raw)
-        rest = F.when(found, F.ltrim(F.substring(rest, F.length(F.regexp_extract(rest, vp, 1)) + 1, F.length(rest)), F.lit(" ,;"))).otherwise(rest)
-    sense = F.nullif(F.regexp_extract(rest, r"^(\d+\.)\s*(.+)$", 1), F.lit(""))
-    rest = _dotted(F.when(sense.isNotNull(), T.strip(F.regexp_extract(rest, r"^(\d+\.)\s*(.+)$", 2))).otherwise(rest))
-    pm = rf"^({pos})(?:\s*\(([^)]*)\))?(.*)$"
-    known = rest.rlike(pm)
-    both = T.split_definition_etymology(F.when(known, F.ltrim(F.regexp_extract(rest, pm, 3), F.lit(" ,"))).otherwise(rest))
+        lead = rf"(?iu)^((?:also|sometimes also)\s+.*?)(?=\s+{pos}(?:\s|,|$))"
+        df = df.withColumn("_lead", F.when(F.col("_rest").rlike(lead), F.regexp_extract("_rest", lead, 1)))
+        clean = F.regexp_replace(T.strip("_lead"), r"(?iu)^(?:also|sometimes also)\s+", "")
+        df = df.withColumn("_clean", F.btrim(F.regexp_replace(T.strip(clean), "/[^/]+/", ""), F.lit(" ,;")))
+        df = df.withColumn("_clean", F.btrim(F.regexp_replace("_clean", r"(?iuU)\betc\.$", ""), F.lit(" ,;")))
+        more = F.filter(F.transform(F.split("_clean", r"(?U),\s*|\s+or\s+"), lambda v: F.btrim(v, F.lit(" .;,"))), lambda v: (v != "") & (F.lower(v) != F.col("_head")))
+        found = F.col("_lead").isNotNull()
+        df = df.withColumns({
+            "_variants": F.when(found, F.concat("_variants", F.array_except(more, "_variants"))).otherwise(F.col("_variants")),
+            "_raw": F.when(found, F.concat_ws("; ", "_raw", T.strip("_lead"))).otherwise(F.col("_raw")),
+            "_rest": F.when(found, F.ltrim(F.substring("_rest", F.length("_lead") + 1, F.length("_rest")), F.lit(" ,;"))).otherwise(F.col("_rest")),
+        })
+    numbered = r"^(\d+\.)\s*(.+)$"
+    df = df.withColumns({"_sense": F.nullif(F.regexp_extract("_rest", numbered, 1), F.lit("")), "_rest": _dotted(F.when(F.col("_rest").rlike(numbered), T.strip(F.regexp_extract("_rest", numbered, 2))).otherwise(F.col("_rest")))})
+    labelled = rf"^({pos})(?:\s*\(([^)]*)\))?(.*)$"
+    df = df.withColumns({"_known": F.col("_rest").rlike(labelled), "_pos": T.strip(F.regexp_extract("_rest", labelled, 1)), "_label": T.strip(F.regexp_extract("_rest", labelled, 2)), "_after": F.ltrim(F.regexp_extract("_rest", labelled, 3), F.lit(" ,"))})
+    return df.withColumn("_both", T.split_definition_etymology(F.when(F.col("_known"), F.col("_after")).otherwise(F.col("_rest"))))
+
+
+def _pronounced(t: Column) -> Rule:
+    """C11 over the columns of _staged()."""
+    known, definition = F.col("_known"), F.col("_both.definition")
     fields = {
-        "headword_raw": left,
-        "headword": head,
-        "variant_forms_raw": raw,
-        "variant_forms": variants,
-        "pronunciation": T.strip(g(2)),
-        **{f"pronunciation_{i + 2}": F.get(extra, F.lit(i)) for i in range(3)},
-        "part_of_speech": F.when(known, T.strip(F.regexp_extract(rest, pm, 1))),
-        "grammatical_labels": F.when(known, _list(T.strip(F.regexp_extract(rest, pm, 2)))).otherwise(_list()),
-        "definition": F.when(sense.isNotNull() & both["definition"].isNotNull(), F.concat(sense, F.lit(" "), both["definition"])).otherwise(both["definition"]),
-        "etymology": both["etymology"],
+        "headword_raw": F.col("_left"),
+        "headword": F.col("_head"),
+        "variant_forms_raw": F.col("_raw"),
+        "variant_forms": F.col("_variants"),
+        "pronunciation": F.col("_pron"),
+        **{f"pronunciation_{i + 2}": F.get("_extra", F.lit(i)) for i in range(3)},
+        "part_of_speech": F.when(known, F.col("_pos")),
+        "grammatical_labels": F.when(known, _list(F.col("_label"))).otherwise(_list()),
+        "definition": F.when(F.col("_sense").isNotNull() & definition.isNotNull(), F.concat("_sense", F.lit(" "), definition)).otherwise(definition),
+        "etymology": F.col("_both.etymology"),
         "cross_references": T.inline_cross_references(t),
         "parse_notes": F.when(known, _list()).otherwise(_list(F.lit("POS not confidently parsed"))),
     }
-    return Rule("C11", t.rlike(p), fields, "lexical", F.when(known, 0.90).otherwise(0.72))
+    return Rule("C11", t.rlike(PRONOUNCED), fields, "lexical", F.when(known, 0.90).otherwise(0.72))
 
 
 # What a repair notes, and the confidence it keeps at least.
@@ -205,6 +214,7 @@ def parse(df: DataFrame, profile: str = "src", text_col: str = "text", id_col: s
         own = own.withColumn("_branch", F.when(stuck, "C15").otherwise(F.col("_branch")))
         own = own.withColumn("_original", F.when(F.col("_again"), F.col("_fixed")).otherwise(F.col("_original")))
         own = own.withColumn("_text", F.when(F.col("_again"), T.normalize_entry_text("_fixed")).otherwise(F.col("_text")))
+    own = _staged(own, profile)
     known, _ = rules(F.col("_text"), F.col("_original"), profile)
 
     def pick(value) -> Column:
