@@ -86,7 +86,8 @@ class TokenEncoder:
             out[i] = ids
         if len(self.cache) > self.cache_words:
             self.cache.clear()
-        new = list(set().union(*words.values()) - self.cache.keys())
+        known = self.cache
+        new = [w for w in set().union(*words.values()) if w not in known]
         for at in range(0, len(new), 2048):
             self._learn(new[at : at + 2048])
         for i, own in words.items():
