@@ -21,6 +21,8 @@ _EDGES = [round(i * 64 / RING) for i in range(RING + 1)]
 SEGMENTS = [((1 << (b - a)) - 1) << a for a, b in zip(_EDGES, _EDGES[1:], strict=False)]
 #: Up to so many fingerprints of a key are compared with each other; more go by neighbours in bits.
 KEY_MOST = 48
+#: Fingerprints whose keys one task spells out, so that its sums stay small.
+TASK_PRINTS = 8192
 _SHINGLE_BLOCK = 1 << 16
 _ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -113,13 +115,14 @@ def near_links(prints: DataFrame, budget: int = 4) -> DataFrame:
     if budget % 2:
         raise ValueError("an even budget is needed")
     masks = chain_masks(budget)
-    keys = F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v")) for i, _, m in masks])
-    keyed = prints.select("fp", F.explode(keys).alias("key")).select("key.k", "key.v", "fp")
-    sizes = keyed.groupBy("k", "v").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    shared = written(keyed.join(sizes, ["k", "v"]), "simhash-keys")
-    calm = shared.where(F.col("n") <= KEY_MOST).select("k", "v", "fp")
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, _, m in masks])
+    spread = prints.repartition(max(1, -(-prints.count() // TASK_PRINTS)), "fp")
+    keyed = spread.select("fp", F.explode(keys).alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    shared = written(keyed.join(sizes, "key"), "simhash-keys")
+    calm = shared.where(F.col("n") <= KEY_MOST).select("key", "fp")
     diff = F.col("a").bitwiseXOR(F.col("b"))
-    met = calm.withColumnRenamed("fp", "a").join(calm.withColumnRenamed("fp", "b"), ["k", "v"]).where(F.col("a") < F.col("b"))
+    met = calm.withColumnRenamed("fp", "a").join(calm.withColumnRenamed("fp", "b"), "key").where(F.col("a") < F.col("b"))
     links = met.where(_viable(diff, budget)).where(F.bit_count(diff) <= budget).select("a", "b")
     flips = [0, *(sum(1 << i for i in c) for n in range(1, half + 1) for c in combinations(range(64), n))]
     busy = shared.where(F.col("n") > KEY_MOST).select("fp").distinct()
@@ -138,7 +141,7 @@ def near_duplicates(docs: DataFrame, budget: int = 4, width: int = 4, id_col: st
     are null, when it is null; rows with the same id each give a row. An empty table gives none.
     """
     prints = written(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     groups = connected_components(near_links(classes.select("fp"), budget))
     joined = classes.join(groups, classes["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     named = joined.groupBy("component").agg(F.min("least").alias("component_id"))
