@@ -16,7 +16,9 @@ from .hilbert import hilbert_keys
 #: Curves, projected dimensions, bits of each; rows of a block, and ranks on either side of a query.
 CURVES, DIMS, BITS, BLOCK, REACH = 3, 6, 8, 2048, 512
 #: Query classes that one completion task takes.
-QUERY_BLOCK = 512
+QUERY_BLOCK = 2048
+#: Queries of one matrix product, and blocks that are scored together.
+SCORE_ROWS, PAGE = 256, 8
 #: Outlines of blocks that one task compares with a block of queries.
 SHAPE_PAGE = 4096
 
@@ -40,22 +42,18 @@ def _renewed(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in names])
 
 
-def _top(frame: pd.DataFrame, k: int) -> pd.DataFrame:
-    frame = frame.sort_values(["query", "score", "near"], ascending=[True, False, True], kind="stable").drop_duplicates(["query", "near"])
-    return frame.groupby("query", sort=False).head(k)
-
-
 def _score(queries: pd.DataFrame, points: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best classes among the points for each query class."""
-    q, p = _matrix(queries["embedding"]), _matrix(points["embedding"])
-    g = q @ p.T
-    names = points["cls"].to_numpy()
+    """The k best classes among the points for each query class, ties too; of those at least its `kth` where it has one."""
+    names, asked = points["cls"].to_numpy(), queries["cls"].to_numpy()
+    floor = queries["kth"].to_numpy() if "kth" in queries else np.full(len(queries), -np.inf)
+    q, p = _matrix(queries["embedding"]), _matrix(points["embedding"]).T
     out = []
-    for i, query in enumerate(queries["cls"]):
-        row = g[i]
-        at = np.arange(len(row)) if len(row) <= k else np.flatnonzero(row >= np.partition(row, -k)[-k])
-        out.append(pd.DataFrame({"query": query, "near": names[at], "score": row[at]}))
-    return _top(pd.concat(out), k) if out else pd.DataFrame({"query": [], "near": [], "score": []})
+    for at in range(0, len(q), SCORE_ROWS):
+        g = q[at : at + SCORE_ROWS] @ p
+        least = np.partition(g, -k, axis=1)[:, -k] if g.shape[1] > k else np.full(len(g), -np.inf)
+        i, j = np.nonzero(g >= np.maximum(least, floor[at : at + SCORE_ROWS] * (1 - 1e-12) - 1e-12)[:, None])
+        out.append(pd.DataFrame({"query": asked[at + i], "near": names[j], "score": g[i, j]}))
+    return pd.concat(out)
 
 
 def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, complete: bool = True, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -148,21 +146,23 @@ def _complete(asked: DataFrame, blocked: DataFrame, found: DataFrame, k: int) ->
     each_group = shapes.withColumn("page", page).withColumn("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups_n - 1).cast("long"))))
 
     def reach(queries: pd.DataFrame, outlines: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"grp": [], "block": [], "cls": [], "embedding": []})]
+        out = [pd.DataFrame({"grp": [], "block": [], "cls": [], "embedding": [], "kth": []})]
         if len(queries) and len(outlines):
             x, floor = _matrix(queries["embedding"]), queries["kth"].to_numpy()
             norm = np.linalg.norm(x, axis=1)
             for o in outlines.itertuples():
                 bound = np.minimum(norm * o.longest, x @ np.asarray(o.centre) + norm * o.radius)
-                out.append(queries[bound * (1 + 1e-9) + 1e-12 >= floor].assign(block=o.block)[["grp", "block", "cls", "embedding"]])
+                out.append(queries[bound * (1 + 1e-9) + 1e-12 >= floor].assign(block=o.block)[["grp", "block", "cls", "embedding", "kth"]])
         return pd.concat(out)
 
     keys = ["grp", "page"]
-    met = each_page.groupBy(*keys).cogroup(_renewed(each_group, *each_group.columns).groupBy(*keys)).applyInPandas(reach, "grp long, block long, cls long, embedding array<double>")
+    met = each_page.groupBy(*keys).cogroup(_renewed(each_group, *each_group.columns).groupBy(*keys)).applyInPandas(reach, "grp long, block long, cls long, embedding array<double>, kth double")
     met = written(met, "completion-pairs")
-    points = _renewed(first.join(met.select("grp", "block").distinct(), "block"), "grp", "block", "cls", "embedding")
+    met = met.withColumn("page", F.floor(F.col("block") / PAGE))
+    points = _renewed(first.join(met.select("grp", "block", "page").distinct(), "block"), "grp", "page", "cls", "embedding")
+    asks = met.dropDuplicates(["grp", "page", "cls"])
 
     def in_pair(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         return _score(queries, points, k + 1) if len(queries) and len(points) else pd.DataFrame({"query": [], "near": [], "score": []})
 
-    return met.groupBy("grp", "block").cogroup(points.groupBy("grp", "block")).applyInPandas(in_pair, "query long, near long, score double")
+    return asks.groupBy("grp", "page").cogroup(points.groupBy("grp", "page")).applyInPandas(in_pair, "query long, near long, score double")
