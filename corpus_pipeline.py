@@ -27,7 +27,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     groups = near_duplicates(docs, width=5)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("times"))
     kept = written(kept, "kept-ids")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    out = docs.join(kept.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
     if not kept.where(F.col("times") > 1).isEmpty():
         out = out.dropDuplicates(["doc_id"])
     return out.select(*docs.columns)
