@@ -138,18 +138,21 @@ def fit_language_model(docs: DataFrame, fit_docs: int = FIT_DOCS, id_col: str =
             for name, lang, check, text in zip(*(batch.column(c).to_pylist() for c in ("name", "lang", "check", "text")), strict=True):
                 counts = subword_counts(text)
                 at = np.flatnonzero(counts)
-                rows.append({"name": name, "lang": lang, "check": check, "at": at.astype(np.int32), "n": counts[at]})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("name", pa.string()), ("lang", pa.string()), ("check", pa.bool_()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))]))
+                rows.append({"name": name, "lang": lang, "check": check, "at": at.astype(np.int32), "n": counts[at].astype(np.float32)})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("name", pa.string()), ("lang", pa.string()), ("check", pa.bool_()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.float32()))]))
 
     picked = own.where(spread & F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("name"), "lang", (F.crc32(F.col("doc_id").cast("string")) % 5 == 1).alias("check"), "text")
-    got = picked.mapInArrow(features, "name string, lang string, check boolean, at array<int>, n array<long>").toPandas()
-    if got.empty:
+    got = picked.mapInArrow(features, "name string, lang string, check boolean, at array<int>, n array<float>").toArrow()
+    if not got.num_rows:
         return LanguageModel([], np.zeros((0, 0)), np.zeros(0))
-    got = got.sort_values(["name", "lang"], kind="stable").head(2 * fit_docs)
-    bags = [(np.asarray(at), np.asarray(n, dtype=np.float64)) for at, n in zip(got["at"], got["n"], strict=True)]
-    languages = sorted(got["lang"].unique())
-    labels = pd.Categorical(got["lang"], categories=languages).codes.astype(np.int64)
-    return train(bags, labels, languages, got["check"].to_numpy(dtype=bool))
+    got = got.combine_chunks().sort_by([("name", "ascending"), ("lang", "ascending")]).slice(0, 2 * fit_docs)
+
+    def arrays(name: str) -> list[np.ndarray]:
+        """The lists of a column as views of its values."""
+        return [x.values.to_numpy() for x in got.column(name)]
+
+    labels = pd.Categorical(got.column("lang").to_pylist())
+    return train(list(zip(arrays("at"), arrays("n"), strict=True)), labels.codes.astype(np.int64), list(labels.categories), np.array(got.column("check").to_pylist(), dtype=bool))
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, carry: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
