@@ -46,7 +46,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Large stars link every larger neighbour of a node to the least one, small stars do so for
     the smaller ones; after a logarithmic number of rounds only stars are left (Kiveris et al., 2014).
     Each round is written to the shared folder; only counts reach the driver. A node with many
-    neighbours takes part in sums and in joins that can be split. Loops and repeated edges do no harm.
+    neighbours takes part in sums and in joins that can be split; as edges grow with the corpus, nothing is broadcast. Loops and repeated edges do no harm.
     """
     now = written(_contracted(edges.where(F.col("a") != F.col("b"))).distinct(), "edges")
     if now.isEmpty():
@@ -55,11 +55,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b"))
+        large = both.where(F.col("b") > F.col("a")).join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b"))
         large = written(_contracted(large).distinct(), "edges")
         lower = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = lower.groupBy("a").agg(F.min("b").alias("m"))
-        small = lower.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        small = lower.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         then = written(small.where(F.col("a") != F.col("b")).distinct(), "edges")
         seen = tuple(then.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         discard(now)

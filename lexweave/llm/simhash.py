@@ -119,16 +119,16 @@ def near_links(prints: DataFrame, budget: int = 4) -> DataFrame:
     spread = prints.repartition(max(1, -(-prints.count() // TASK_PRINTS)), "fp")
     keyed = spread.select("fp", F.explode(keys).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    shared = written(keyed.join(sizes, "key"), "simhash-keys")
+    shared = written(keyed.join(sizes.hint("merge"), "key"), "simhash-keys")
     calm = shared.where(F.col("n") <= KEY_MOST).select("key", "fp")
     diff = F.col("a").bitwiseXOR(F.col("b"))
-    met = calm.withColumnRenamed("fp", "a").join(calm.withColumnRenamed("fp", "b"), "key").where(F.col("a") < F.col("b"))
+    met = calm.withColumnRenamed("fp", "a").join(calm.withColumnRenamed("fp", "b").hint("merge"), "key").where(F.col("a") < F.col("b"))
     links = met.where(_viable(diff, budget)).where(F.bit_count(diff) <= budget).select("a", "b")
     flips = [0, *(sum(1 << i for i in c) for n in range(1, half + 1) for c in combinations(range(64), n))]
     busy = shared.where(F.col("n") > KEY_MOST).select("fp").distinct()
     spelled = busy.select("fp", F.explode(F.array(*[F.lit(_signed(f)) for f in flips])).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("near"))
     least = spelled.groupBy("near").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).where(F.col("a") < F.col("top")).select("near", "a")
-    through = spelled.join(least, "near").where(F.col("fp") != F.col("a")).select("a", F.col("fp").alias("b"))
+    through = spelled.join(least.hint("merge"), "near").where(F.col("fp") != F.col("a")).select("a", F.col("fp").alias("b"))
     return links.unionByName(through).distinct()
 
 
@@ -143,9 +143,9 @@ def near_duplicates(docs: DataFrame, budget: int = 4, width: int = 4, id_col: st
     prints = written(fingerprints(docs, width, id_col, text_col), "fingerprints")
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     groups = connected_components(near_links(classes.select("fp"), budget))
-    joined = classes.join(groups, classes["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    joined = classes.join(groups.hint("merge"), classes["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     named = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = joined.join(named, "component").select("fp", "component_id")
+    labels = joined.join(named.hint("merge"), "component").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(labels, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return prints.join(labels.hint("merge"), "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
