@@ -120,8 +120,12 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, complete: bo
     found = written(best(found), "neighbours")
     if complete:
         found = best(found.unionByName(_complete(asked, blocked, found, k)))
-    members = classes.select(F.col("cls").alias("near"), "members")
-    listed = found.join(members, "near").join(seeks.select(F.col("cls").alias("query"), F.col("vec_id").alias("query_id")), "query")
+    # Matrix products round by their shape, so the few that are left are summed in order once more.
+    left = classes.select(F.col("cls").alias("query"), F.col("embedding").alias("asks"))
+    near = classes.select(F.col("cls").alias("near"), F.col("embedding").alias("has"), "members")
+    exact = F.aggregate(F.zip_with("asks", "has", lambda a, b: a * b), F.lit(0.0), lambda total, x: total + x)
+    found = found.join(near, "near").join(left, "query").select("query", "near", "members", exact.alias("score"))
+    listed = found.join(seeks.select(F.col("cls").alias("query"), F.col("vec_id").alias("query_id")), "query")
     listed = listed.select("query_id", "score", F.explode("members").alias("vec_id")).where(F.col("vec_id") != F.col("query_id"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return listed.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
