@@ -10,6 +10,7 @@ from .common import table
 from .decontaminate import find_contamination
 from .langid import fit_language_model, predict_language
 from .neighbours import nearest
+from .oracles import ORACLES as ORACLES
 from .packing import pack_documents
 from .quality import score_quality
 from .repeats import remove_repeats
@@ -68,5 +69,3 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_neighbours, op4_repeats, op5_language, op6_decontaminate, op7_quality, op8_sharding, op9_token_files, op10_secrets)}
-
-ORACLES: dict[str, str] = {}
