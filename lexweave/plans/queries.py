@@ -45,6 +45,10 @@ def s_words(x: str) -> str:
     return rf"regexp_extract_all({s_match(x)}, '[\p{{L}}\p{{N}}_]+')"
 
 
+def s_word_len(x: str) -> str:
+    return rf"coalesce(len(regexp_extract_all({x}, '[^\s\x1c-\x1f\x0b\x{{85}}\p{{Z}}]+')), 0)"
+
+
 @query("q_entry_text_norm", rf"select doc_id, regexp_replace(regexp_replace({s_collapse('text')}, '/ *, */', '/, /', 'g'), ' +([,.;:])', '\1', 'g') as norm from documents")
 def entry_text_norm(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", T.normalize_entry_text("text").alias("norm"))
@@ -449,7 +453,14 @@ def length_diag(spark, sf):
     return got.select("entry_id", "source_char_len", "extracted_char_len_rule", "possible_overgeneration_rule")
 
 
-@query("q_length_summary")
+def _s_flag_rate(flag: str, side: str) -> str:
+    own, source = (f"hw_{side[0]}", f"d_{side[0]}"), "coalesce(st_r, st_g)"
+    size = s_word_len if flag == "omission" else lambda x: f"coalesce(length({x}), 0)"
+    ratio = f"({size(own[0])} + {size(own[1])}) / nullif({size(source)}, 0)"
+    return f"select 'possible_{flag}_{side}' as metric, avg(cast(coalesce({ratio} {'< 0.8' if flag == 'omission' else '> 1.2'}, false) as double)) as rate from {S_MERGED}"
+
+
+@query("q_length_summary", " union all ".join(_s_flag_rate(flag, side) for flag in ("overgeneration", "omission") for side in ("rule", "genai")))
 def length_summary(spark, sf):
     return metrics.length_summary(metrics.length_diagnostics(_merged(spark, sf), {"headword": "string", "definition": "string"}))
 
