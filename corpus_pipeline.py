@@ -11,7 +11,7 @@ from lexweave.llm.langid import fit_language_model, predict_language
 from lexweave.llm.packing import pack_documents
 from lexweave.llm.queries import TOKENIZER
 from lexweave.llm.secrets import scan_secrets
-from lexweave.llm.simhash import near_duplicates
+from lexweave.llm.similar import similar_documents
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,11 +20,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, words in shingles of five, the document with the least id stays.
+    """Of each group of near copies, at a similarity of 0.8 in shingles of five words, the document with the least id stays.
 
     Documents without an id cannot be told apart and go; of rows with the same id one stays.
     """
-    groups = near_duplicates(docs, width=5)
+    groups = similar_documents(docs)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("times"))
     kept = written(kept, "kept-ids")
     out = docs.join(kept.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")

@@ -27,25 +27,40 @@ _SHINGLE_BLOCK = 1 << 16
 _ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: str, width: int = 4) -> int:
-    """64 bits, each set if set in over half the XXH64 values of the word shingles."""
+def shingle_hashes(text: str, width: int) -> Iterator[np.ndarray]:
+    """XXH64 of the word shingles in order, in blocks; of fewer words, of the whole sequence; of none, nothing."""
     own = text.encode("utf-8", "surrogatepass").translate(_ASCII).split()
     if not own:
-        return 0
+        return
     line = b" ".join(own)
     ends = np.cumsum([len(w) + 1 for w in own])
     starts = np.concatenate([[0], ends[:-1]])
     n = max(1, len(own) - width + 1)
     last = ends[min(width, len(own)) - 1 :] - 1
     digest = xxhash.xxh64_intdigest
-    total = np.zeros(64, dtype=np.int64)
     for at in range(0, n, _SHINGLE_BLOCK):
-        hashes = [digest(line[a:b], SEED) for a, b in zip(starts[at : min(n, at + _SHINGLE_BLOCK)].tolist(), last[at : at + _SHINGLE_BLOCK].tolist(), strict=False)]
-        bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += bits.sum(axis=0, dtype=np.int64)
+        yield np.array([digest(line[a:b], SEED) for a, b in zip(starts[at : min(n, at + _SHINGLE_BLOCK)].tolist(), last[at : at + _SHINGLE_BLOCK].tolist(), strict=False)], dtype="<u8")
+
+
+def bits_of(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(total: np.ndarray, n: int) -> int:
+    """The number whose bits are those set in over half of n."""
     return int(np.packbits((total * 2 > n).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, width: int = 4) -> int:
+    """64 bits, each set if set in over half the XXH64 values of the word shingles."""
+    total, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in shingle_hashes(text, width):
+        total += bits_of(hashes)
+        n += len(hashes)
+    return majority(total, n)
+
+
 def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long); null text has no words and so 0."""
 
