@@ -23,7 +23,7 @@ from .simhash import SEED, bits_of, majority, near_links, shingle_hashes
 BANDS, ROWS = 20, 5
 VALUES = BANDS * ROWS
 #: Buckets of up to so many are compared pair by pair; members of fuller ones with the bucket's leader.
-BUCKET_MOST = 48
+BUCKET_MOST = 200
 #: Of the values, a pair under SURE of which agree is checked exactly; so many agree at 0.8 or less with a chance of 0.00002.
 SURE = 95
 #: Standard deviations below the similarity at which the values rule a pair out.

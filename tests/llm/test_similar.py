@@ -39,7 +39,7 @@ def test_groups_match_brute_force(spark, sf):
     assert found(docs) == brute_groups({r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()})
 
 
-@pytest.mark.parametrize("most", [48, 4])
+@pytest.mark.parametrize("most", [200, 4])
 def test_groups_of_edited_copies(spark, monkeypatch, most):
     monkeypatch.setattr(similar, "BUCKET_MOST", most)
     rng = np.random.default_rng(1)
