@@ -19,9 +19,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "guess")
 
-#: Other names of credentials, whose values the guess cost judges.
-CONTEXT = re.compile(r"""(?:pass(?:phrase|code|wort)?|pwd|credentials?|auth|bearer|private_?key|access_?key|client_?secret|pin|kennwort|contraseña|mot\x20de\x20passe)["']?\x20*[:=]\x20*["']?([^\s"'<>|,;]{6,128})""", re.I)
-CONTEXT_HINTS = ("pass", "pwd", "credential", "auth", "bearer", "key", "secret", "pin", "kennwort", "contraseña")
+#: Names of credentials, those of ASSIGN too; the guess cost judges the whole value after them.
+_NAMES = r"(?:pass(?:phrase|code|wor[dt]|wd)?|pwd|secret|token|api_?key|credentials?|auth|bearer|private_?key|access_?key|client_?secret|pin|kennwort|contraseña|mot\x20de\x20passe)"
+#: A value goes to its closing quote, or to a space, a quote that closes, a tag, or a mark before a space or a further name.
+_BARE = r"""(?:[^\s"'<>|,;]|["'](?=\w)|[,;|](?!\s|\Z|["'\])}]|[\w-]+["']?\x20*[:=])|<(?!\s|\Z|/?[a-z][^<>]*>)|>(?!\s|\Z))"""
+CONTEXT = re.compile(rf"""{_NAMES}["']?\x20*[:=]\x20*(?!["']?{_NAMES}["']?\x20*[:=])(?:"((?:[^"\\\n]|\\.){{6,128}})"|'((?:[^'\\\n]|\\.){{6,128}})'|["']?({_BARE}{{6,128}}))""", re.I)
+CONTEXT_HINTS = ("pass", "pwd", "credential", "auth", "bearer", "key", "secret", "token", "pin", "kennwort", "contraseña")
 #: log10 of guesses from which a value counts as a secret.
 MIN_COST = 10.0
 
@@ -105,16 +108,17 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
 
 
 def find_secrets(text: str, min_cost: float = MIN_COST) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int, int]]]:
-    """Base spans, and those that the guess cost adds outside them."""
+    """Base spans, and the values in credential context that the guess cost finds, whether or not they overlap those."""
     base = base_spans(text)
     added = []
     low = text.lower()
     if any(x in low for x in CONTEXT_HINTS):
         for m in CONTEXT.finditer(text):
-            value = m[1].rstrip(".)]}")
-            a, b = m.start(1), m.start(1) + len(value)
+            value = m[m.lastindex].rstrip(".)]}") if m.lastindex == 3 else m[m.lastindex]
+            a = m.start(m.lastindex)
+            b = a + len(value)
             mixed = sum(bool(re.search(k, value)) for k in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-            if len(value) >= 6 and mixed >= 2 and guess_cost(value)[0] >= min_cost and not any(s < b and a < e for s, _, e, _ in base):
+            if len(value) >= 6 and mixed >= 2 and guess_cost(value)[0] >= min_cost:
                 added.append((a, 3, b, a))
     return base, added
 
@@ -126,7 +130,7 @@ def _join(spans: list[tuple[int, int, int, int]]) -> str:
 def scan_secrets(docs: DataFrame, min_cost: float = MIN_COST, with_text: bool = True, carry: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Secrets of every whole text, one row per document, in code points with the end exclusive.
 
-    spans holds the base matches and those the guess cost adds; redacted is the text with the
+    spans holds the base matches and those the guess cost adds, which may overlap; redacted is the text with the
     secret part of each span replaced by [SECRET] (null without `with_text`);
     `carry` adds the input row as the struct `row`. One pass without a shuffle. Null text counts
     as empty, rows with the same id are scanned each for itself, an empty table gives no row.

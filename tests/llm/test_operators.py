@@ -329,6 +329,20 @@ def test_guess_cost():
     assert secrets.find_secrets("pwd: password, auth: qwerty")[1] == []
 
 
+def redacted(spark, text):
+    return secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["redacted"]
+
+
+def test_guess_cost_sees_whole_values_of_all_names(spark):
+    for name in ("password", "passwd", "secret", "token", "api_key", "pwd"):
+        for value in ("X!9k#Lm2$qP", "Tr0ub4dor&3xY#", "k;9Q,z|7<Wp!m"):
+            for text in (f'{name}: "{value}" end', f"{name}={value} end", f"{name} = '{value}'; end"):
+                assert redacted(spark, text) == text.replace(value, "[SECRET]"), text
+    assert redacted(spark, "auth: bearer: x7Kq9!pLw2Vz4, user: bob") == "auth: bearer: [SECRET], user: bob"
+    base, added = secrets.find_secrets("password: Tr0ub4dor&3xY#")
+    assert base == [(0, 0, 19, 10)] and added == [(10, 3, 24, 10)]
+
+
 def test_odd_rows(spark, odd):
     """Nulls, blanks, odd letters, repeated rows, an extra column named like an inner one, and no rows at all."""
     bench = spark.createDataFrame([(1, None), (2, "same words again the same words")], "item_id long, text string")
