@@ -23,7 +23,7 @@ KINDS = ("assign", "access", "hex", "guess")
 _NAMES = r"(?:pass(?:phrase|code|wor[dt]|wd)?|pwd|secret|token|api_?key|credentials?|auth|bearer|private_?key|access_?key|client_?secret|pin|kennwort|contraseña|mot\x20de\x20passe)"
 #: A value goes to its closing quote, or to a space, a quote that closes, a tag, or a mark before a space or a further name.
 _BARE = r"""(?:[^\s"'<>|,;]|["'](?=\w)|[,;|](?!\s|\Z|["'\])}]|[\w-]+["']?\x20*[:=])|<(?!\s|\Z|/?[a-z][^<>]*>)|>(?!\s|\Z))"""
-CONTEXT = re.compile(rf"""{_NAMES}["']?\x20*[:=]\x20*(?!["']?{_NAMES}["']?\x20*[:=])(?:"((?:[^"\\\n]|\\.){{6,128}})"|'((?:[^'\\\n]|\\.){{6,128}})'|["']?({_BARE}{{6,128}}))""", re.I)
+CONTEXT = re.compile(rf"""{_NAMES}["']?\x20*[:=]\x20*(?!["']?{_NAMES}["']?\x20*[:=])(?:"((?:[^"\\\n]|\\.){{6,}})"|'((?:[^'\\\n]|\\.){{6,}})'|["']?({_BARE}{{6,}}))""", re.I)
 CONTEXT_HINTS = ("pass", "pwd", "credential", "auth", "bearer", "key", "secret", "token", "pin", "kennwort", "contraseña")
 #: log10 of guesses from which a value counts as a secret.
 MIN_COST = 10.0
@@ -31,20 +31,20 @@ MIN_COST = 10.0
 # Common words by rank, and rows of keyboards.
 COMMON = "password qwerty dragon monkey letmein login welcome admin master hello football baseball shadow sunshine princess secret iloveyou trustno abc love user root test guest default changeme example none null true false your here placeholder string value name the and for with this that have from".split()
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "1qaz2wsx3edc4rfv5tgb6yhn7ujm8ik,9ol.0p;", "qwertzuiop", "azertyuiop")
+_LINES = [line for row in (*ROWS, "abcdefghijklmnopqrstuvwxyz") for line in (row, row[::-1])]
 LEET = str.maketrans("4@310$5!7", "aaeiossit")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?\d{1,2}(?:[-/._]?\d{1,2})?)?|\d{1,2}[-/._]\d{1,2}[-/._](?:19|20)?\d\d")
 
 
 def _walk(value: str, i: int) -> int:
-    """Length of the longest keyboard or alphabet run at i, forwards or backwards."""
-    low, most = value.lower(), 1
-    for row in (*ROWS, "abcdefghijklmnopqrstuvwxyz"):
-        for line in (row, row[::-1]):
-            at = line.find(low[i])
-            n = 1
-            while at >= 0 and i + n < len(low) and at + n < len(line) and low[i + n] == line[at + n]:
-                n += 1
-            most = max(most, n if at >= 0 else 1)
+    """Length of the longest keyboard or alphabet run at i of a lower-case value, forwards or backwards; at most a row's."""
+    most = 1
+    for line in _LINES:
+        at = line.find(value[i])
+        n = 1
+        while at >= 0 and i + n < len(value) and at + n < len(line) and value[i + n] == line[at + n]:
+            n += 1
+        most = max(most, n)
     return most
 
 
@@ -54,10 +54,18 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     best[j] is the least cost of value[:j]; a last span i..j is a common word (also in leet
     or mixed case), a date, a repeat of one block, a keyboard walk or brute force. Parts add
     up in log10, and each further part costs 0.3, for the guesser must also know the order.
+    Words, dates and walks have a greatest length and blocks of repeats have 8 characters at most, so
+    the work is linear in the value, which is judged whole.
     """
     n = len(value)
+    # same[b][i]: how far value[i:] agrees with value[i + b:].
+    same = [[0] * (n + 1) for _ in range(min(8, n // 2) + 1)]
+    for block in range(1, len(same)):
+        row = same[block]
+        for i in range(n - block - 1, -1, -1):
+            row[i] = row[i + 1] + 1 if value[i] == value[i + block] else 0
     spans: list[list[tuple[int, float, str]]] = [[] for _ in range(n)]
-    plain = value.lower()
+    plain = "".join(low if len(low := c.lower()) == 1 else c for c in value)
     soft = plain.translate(LEET)
     for i in range(n):
         for rank, word in enumerate(COMMON, 1):
@@ -67,12 +75,10 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
                     spans[i].append((i + len(word), math.log10(rank + 1) + more + cased, "word"))
         if m := DATE.match(value, i):
             spans[i].append((m.end(), 2.1 if m.end() - i == 4 else 4.6, "date"))
-        if (run := _walk(value, i)) >= 3:
+        if (run := _walk(plain, i)) >= 3:
             spans[i].append((i + run, 1.7 + math.log10(run), "walk"))
         for block in range(1, min(16, n - i) // 2 + 1):
-            times = 1
-            while value.startswith(value[i : i + block], i + times * block):
-                times += 1
+            times = same[block][i] // block + 1
             if times >= 2 and times * block >= 3:
                 spans[i].append((i + times * block, block * 1.4 + math.log10(times), "repeat"))
     best = [0.0] + [math.inf] * n

@@ -343,6 +343,21 @@ def test_guess_cost_sees_whole_values_of_all_names(spark):
     assert base == [(0, 0, 19, 10)] and added == [(10, 3, 24, 10)]
 
 
+def test_secrets_of_any_length(spark):
+    import time
+
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"))
+    for n in (127, 128, 129, 700, 5000):
+        key = "".join(rng.choice(letters, n))
+        for name in ("private_key=", "bearer: ", "access_key: ", 'credentials: "', "token="):
+            assert redacted(spark, f"a {name}{key}\nb") == f"a {name}[SECRET]\nb", (name, n)
+    assert secrets.find_secrets("pass: " + "*" * 5000)[1] == [] and secrets.find_secrets("pass: " + "ab1-" * 5000)[1] == []
+    start = time.process_time()
+    assert secrets.find_secrets("pass:" * 20_000 + "x" * 50_000 + "".join(rng.choice(letters, 20_000)))[1]
+    assert time.process_time() - start < 60
+
+
 def test_odd_rows(spark, odd):
     """Nulls, blanks, odd letters, repeated rows, an extra column named like an inner one, and no rows at all."""
     bench = spark.createDataFrame([(1, None), (2, "same words again the same words")], "item_id long, text string")
