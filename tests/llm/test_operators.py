@@ -358,6 +358,15 @@ def test_secrets_of_any_length(spark):
     assert time.process_time() - start < 60
 
 
+def test_words_of_the_corpus_are_no_secrets(spark):
+    prose = ["Credentials: Bachelor", "pass: Thursday", "Compass: Northwest", "PIN: Geburtstagsfeier", "pass: Gouvernement,", "credentials: Universidad"]
+    other = "a bachelor on thursday flew northwest to the geburtstagsfeier of the gouvernement and the universidad"
+    rows = [*enumerate([*prose, "my credentials: Xqvzjwkhtrbn", "Compass: Wqzjxkvbtrnm", "dbPass: Zkvqxwrtplmnhg DB_PASS=Zkvqxwrtplmnhg"]), (20, other)]
+    got = {r["doc_id"]: r["redacted"] for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(6)] == prose and got[20] == other
+    assert got[6] == "my credentials: [SECRET]" and got[7] == "Compass: Wqzjxkvbtrnm" and got[8] == "dbPass: [SECRET] DB_PASS=[SECRET]"
+
+
 def test_odd_rows(spark, odd):
     """Nulls, blanks, odd letters, repeated rows, an extra column named like an inner one, and no rows at all."""
     bench = spark.createDataFrame([(1, None), (2, "same words again the same words")], "item_id long, text string")
