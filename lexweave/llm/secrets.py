@@ -145,8 +145,7 @@ def find_secrets(text: str, min_cost: float = MIN_COST, ranks: dict[str, int] =
     added = []
     for a, b in context_values(text):
         value = text[a:b]
-        mixed = sum(bool(re.search(k, value)) for k in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-        if len(value) >= 6 and mixed >= 2 and guess_cost(value, ranks)[0] >= min_cost:
+        if len(value) >= 6 and guess_cost(value, ranks)[0] >= min_cost:
             added.append((a, 3, b, a))
     return base, added
 

@@ -367,6 +367,13 @@ def test_words_of_the_corpus_are_no_secrets(spark):
     assert got[6] == "my credentials: [SECRET]" and got[7] == "Compass: Wqzjxkvbtrnm" and got[8] == "dbPass: [SECRET] DB_PASS=[SECRET]"
 
 
+def test_secrets_of_one_class_of_letters(spark):
+    for text in ("pwd=zkvqxwrtplmnhg", "passphrase: vexolquamridonfleck", "pin: 8394761502874613", "auth: ZKVQXWRTPLMNHG"):
+        name, value = re.split("(?<=[=:]) ?", text)
+        assert redacted(spark, text) == text.replace(value, "[SECRET]")
+    assert redacted(spark, "pin: 1234567890, pass: welcome, pwd: aaaaaaaaaaaa") == "pin: 1234567890, pass: welcome, pwd: aaaaaaaaaaaa"
+
+
 def test_odd_rows(spark, odd):
     """Nulls, blanks, odd letters, repeated rows, an extra column named like an inner one, and no rows at all."""
     bench = spark.createDataFrame([(1, None), (2, "same words again the same words")], "item_id long, text string")
