@@ -22,8 +22,10 @@ from .simhash import SEED, bits_of, majority, near_links, shingle_hashes
 #: Two at 0.8 share none of 20 bands of 5 values with a chance of 0.0004.
 BANDS, ROWS = 20, 5
 VALUES = BANDS * ROWS
-#: Buckets of up to so many are compared pair by pair; members of fuller ones with the bucket's leader.
+#: Buckets of up to so many are compared pair by pair; members of fuller ones with the bucket's leader, then by their rarest shingles.
 BUCKET_MOST = 200
+#: Rows of a shingle in one block of the join on rare shingles.
+BLOCK_ROWS = 1000
 #: Of the values, a pair under SURE of which agree is checked exactly; so many agree at 0.8 or less with a chance of 0.00002.
 SURE = 95
 #: Standard deviations below the similarity at which the values rule a pair out.
@@ -80,11 +82,12 @@ def shingle_sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> Dat
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "node long, shingles array<long>")
 
 
-def candidates(classes: DataFrame, budget: int) -> DataFrame:
-    """Pairs (a, b) of nodes with close fingerprints or a common band.
+def candidates(classes: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of nodes with close fingerprints or a common band, and the nodes of full buckets.
 
     In a bucket of more than BUCKET_MOST nodes each member meets the bucket's leader, the least under
     an order that differs by bucket; a dense group shares many buckets and so meets many leaders.
+    What this leaves apart is for crowded_pairs.
     """
     keys = F.array(*[F.xxhash64(F.lit(j), F.substring("sig", 2 * ROWS * j + 1, 2 * ROWS)) for j in range(BANDS)])
     keyed = classes.select("node", F.explode(keys).alias("key"))
@@ -98,7 +101,34 @@ def candidates(classes: DataFrame, budget: int) -> DataFrame:
     left, right = (firsts.select(F.col("fp").alias(x), F.col("first").alias(y)) for x, y in (("a", "p"), ("b", "q")))
     near = close.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
     same = classes.select("fp", "node").join(firsts.hint("merge"), "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    return met.unionByName(led).unionByName(near).unionByName(same).where(F.col("a") != F.col("b")).distinct()
+    crowd = shared.where(F.col("n") > BUCKET_MOST).select("node").distinct()
+    return met.unionByName(led).unionByName(near).unionByName(same).where(F.col("a") != F.col("b")).distinct(), crowd
+
+
+def crowded_pairs(sets: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """Every pair (a, b) of `sets` in different groups whose sets can have the similarity, exactly.
+
+    Two such sets share one of their rarest shingles: with sizes of at most s they have similarity * s in
+    common, so the first s - ceil(similarity * s) + 1 of each under one order hold a common one. Shingles
+    whose holders are all of one group give nothing; at the others, those outside the largest
+    group meet the rest, in blocks of BLOCK_ROWS on either side.
+    """
+    rows = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("s"))
+    times = rows.groupBy("s").agg(F.count("*").alias("n"))
+    ranked = rows.join(times.hint("merge"), "s").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("all"))
+    most = F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - F.lit(1e-9)).cast("int") + 1
+    prefix = ranked.select("node", "size", F.explode(F.slice("all", F.lit(1), most)).alias("x")).where("x.n > 1").select("node", "size", F.col("x.s").alias("s"))
+    named = groups.select("node", "component")
+    prefix = written(prefix.join(named.hint("merge"), "node", "left").select("node", "size", "s", F.coalesce("component", "node").alias("own")), "rare-shingles")
+    held = prefix.groupBy("s", "own").agg(F.count("*").alias("n")).groupBy("s").agg(F.max_by("own", F.struct("n", "own")).alias("major"), F.max("n").alias("top"), F.sum("n").alias("n"), F.count("*").alias("groups"))
+    held = held.where(F.col("groups") > 1).select("s", "major", F.ceil((F.col("n") - F.col("top")) / BLOCK_ROWS).alias("p"), F.ceil(F.col("n") / BLOCK_ROWS).alias("q"))
+    mixed = written(prefix.join(held.hint("merge"), "s"), "mixed-shingles")
+    spread = lambda other: F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))
+    left = mixed.where(F.col("own") != F.col("major")).select("s", F.pmod(F.xxhash64("node"), F.col("p")).alias("i"), spread("q").alias("j"), F.col("node").alias("a"), F.col("own").alias("u"), F.col("size").alias("x"))
+    right = mixed.select("s", F.pmod(F.xxhash64("node"), F.col("q")).alias("j"), spread("p").alias("i"), F.col("node").alias("b"), F.col("own").alias("v"), F.col("size").alias("y"), (F.col("own") == F.col("major")).alias("main"))
+    fits = F.least("x", "y") >= F.greatest("x", "y") * F.lit(similarity) - F.lit(1e-9)
+    met = left.join(right.hint("merge"), ["s", "i", "j"]).where((F.col("u") != F.col("v")) & fits & (F.col("main") | (F.col("a") < F.col("b"))))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -135,25 +165,34 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
 
     Two documents are linked if the sets of their word shingles have a Jaccard similarity of at least
     `similarity`. Pairs that agree in SURE or more values count as linked; all others are
-    checked on whole texts, first the closest candidate of each node, then those still apart.
+    checked on whole texts, first the closest candidate of each node, then those still apart, then
+    those that share only full buckets, by their rarest shingles.
     Rows with equal words are one class, so copies never multiply. Texts without words are copies of each other. Rows
-    with a null id are grouped too but name no component, unless all ids are null, when it is null;
-    a class without any id is linked by its values alone. Rows with the same id each give a row.
+    with a null id are grouped too but name no component, unless all ids are null, when it is null. Rows with the same id each give a row.
     """
     prints = written(signatures(docs, width, id_col, text_col), "signatures")
     classes = written(prints.groupBy("node", "fp", "sig").agg(F.min("doc_id").alias("least")), "similar-classes")
-    scored = written(estimated(candidates(classes, budget), classes, similarity), "scored-pairs")
+    pairs, crowd = candidates(classes, budget)
+    crowd = written(crowd, "crowded-nodes")
+    scored = written(estimated(pairs, classes, similarity), "scored-pairs")
     links = scored.where(F.col("same") >= SURE).select("a", "b")
     groups = written(connected_components(links), "sure-groups")
     doubt = written(_apart(scored.where(F.col("same") < SURE), groups), "doubtful-pairs")
-    if not doubt.isEmpty():
-        ends = doubt.select(F.col("a").alias("node")).unionByName(doubt.select(F.col("b").alias("node"))).distinct()
-        holders = classes.join(ends.hint("merge"), "node", "left_semi").where(F.col("least").isNotNull()).select(F.col("least").alias(id_col)).distinct()
-        texts = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).join(holders.hint("shuffle_hash"), id_col, "left_semi")
+    crowded = not crowd.isEmpty()
+    if crowded or not doubt.isEmpty():
+        ends = doubt.select(F.col("a").alias("node")).unionByName(doubt.select(F.col("b").alias("node"))).unionByName(crowd).distinct()
+        held = written(classes.join(ends.hint("merge"), "node", "left_semi").select("node", "least"), "checked-classes")
+        rows = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
+        texts = rows.join(held.where(F.col("least").isNotNull()).select(F.col("least").alias(id_col)).distinct().hint("shuffle_hash"), id_col, "left_semi")
+        if not held.where(F.col("least").isNull()).isEmpty():
+            texts = texts.unionByName(rows.where(F.col(id_col).isNull()))
         sets = written(shingle_sets(texts, width, id_col, text_col).dropDuplicates(["node"]), "shingle-sets")
         best = doubt.groupBy("b").agg(F.max_by("a", "same").alias("a")).select("a", "b")
-        for wave in (best, doubt.select("a", "b")):
-            found = _checked(_apart(wave, groups), sets, similarity)
+        waves = [lambda: _apart(best, groups), lambda: _apart(doubt.select("a", "b"), groups)]
+        if crowded:
+            waves.append(lambda: crowded_pairs(sets.join(crowd.hint("merge"), "node", "left_semi"), groups, similarity))
+        for wave in waves:
+            found = _checked(wave(), sets, similarity)
             links = written(links.unionByName(found), "similar-links")
             groups = written(connected_components(links), "similar-groups")
         discard(sets)

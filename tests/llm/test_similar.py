@@ -55,6 +55,23 @@ def test_groups_of_edited_copies(spark, monkeypatch, most):
     assert got == brute_groups(rows)
 
 
+@pytest.mark.parametrize("block", [1000, 3])
+def test_pairs_that_share_only_full_buckets(spark, monkeypatch, block):
+    monkeypatch.setattr(similar, "BUCKET_MOST", 2)
+    monkeypatch.setattr(similar, "BLOCK_ROWS", block, raising=False)
+    rng = np.random.default_rng(2)
+    base, rows = [f"w{x}" for x in rng.integers(0, 500, 300)], {}
+    for i in range(0, 160, 2):
+        own = list(base)
+        for k, at in enumerate(rng.choice(300, 9, replace=False)):
+            own[at] = f"x{i}y{k}"
+            if k in (4, 8):
+                rows[i + (k == 8)] = " ".join(own)
+    got = found(spark.createDataFrame(list(rows.items()), "doc_id long, text string"))
+    want = brute_groups(rows)
+    assert len(set(want.values())) > 40 and got == want
+
+
 def test_odd_rows(spark):
     kind = "doc_id long, text string, sig int, node string"
     assert similar.similar_documents(spark.createDataFrame([], kind)).count() == 0
