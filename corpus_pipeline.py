@@ -11,7 +11,7 @@ from lexweave.llm.langid import fit_language_model, predict_language
 from lexweave.llm.packing import pack_documents
 from lexweave.llm.queries import TOKENIZER
 from lexweave.llm.secrets import scan_secrets
-from lexweave.llm.similar import similar_documents
+from lexweave.llm.similar import similar_documents, with_nodes
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,17 +20,25 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, at a similarity of 0.8 in shingles of five words, the document with the least id stays.
+    """Of each group of near copies, at a similarity of 0.8 in shingles of five words, one row stays, whatever its id.
 
-    Documents without an id cannot be told apart and go; of rows with the same id one stays.
+    It is the row with the least id, rows without an id coming last, then with the least node and the least text. Rows whose
+    id does not tell them apart, for it is missing or has several rows, are found by their words.
     """
-    groups = similar_documents(docs)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("times"))
-    kept = written(kept, "kept-ids")
-    out = docs.join(kept.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
-    if not kept.where(F.col("times") > 1).isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.select(*docs.columns)
+    groups = written(similar_documents(docs), "near-copy-groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("k")
+    kept = written(groups.groupBy("component").agg(first).select("k.doc_id", "k.node"), "kept-ids")
+    shared = written(groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("doc_id"), "shared-ids")
+    single = kept.join(shared.hint("merge"), "doc_id", "left_anti").select("doc_id")
+    out = docs.join(single.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+    vague = docs.where(F.col("doc_id").isNull())
+    if not shared.isEmpty():
+        vague = vague.unionByName(docs.join(shared.hint("merge"), "doc_id", "left_semi").select(*docs.columns))
+    elif kept.where(F.col("doc_id").isNull()).isEmpty():
+        return out
+    rows = with_nodes(vague).alias("r").join(kept.alias("k").hint("merge"), (F.col("r.node") == F.col("k.node")) & F.col("r.row.doc_id").eqNullSafe(F.col("k.doc_id")))
+    least = F.min_by("r.row", F.struct("r.row.text", F.xxhash64("r.row.*"))).alias("row")
+    return out.unionByName(rows.groupBy(F.col("r.node"), F.col("r.row.doc_id")).agg(least).select("row.*"))
 
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

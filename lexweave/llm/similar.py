@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, steps, texts_of, written
+from .common import discard, map_texts, steps, texts_of, written
 from .components import connected_components
 from .simhash import SEED, bits_of, majority, near_links, shingle_hashes
 
@@ -69,6 +69,17 @@ def signatures(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, node long, fp long, sig binary")
 
 
+def with_nodes(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """node of each row, and the row as the struct `row`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            nodes = np.array([node_of(t) for t in texts_of(batch, "text")], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes)], names=["node"])
+
+    return map_texts(docs, run, "node long", [F.col(text_col).alias("text")], carry=True)
+
+
 def shingle_sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """node and its set of shingles, as hashes."""
 
@@ -161,7 +172,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, budget: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) per row.
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), node and component (its group's name) per row.
 
     Two documents are linked if the sets of their word shingles have a Jaccard similarity of at least
     `similarity`. Pairs that agree in SURE or more values count as linked; all others are
@@ -198,6 +209,6 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
         discard(sets)
     joined = classes.join(groups.hint("merge"), "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     named = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = joined.select("node", "component").distinct().join(named.hint("merge"), "component").select("node", "component_id")
+    labels = joined.select("node", "component").distinct().join(named.hint("merge"), "component").select("node", "component", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(labels.hint("merge"), "node").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return prints.join(labels.hint("merge"), "node").select("doc_id", hexed.alias("fingerprint"), "component_id", "node", "component")

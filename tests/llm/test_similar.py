@@ -79,3 +79,15 @@ def test_odd_rows(spark):
     rows = [(None, "a b c"), (5, "A  b\nc"), (5, "a b c"), (6, None), (7, " "), (8, "a b d"), (9, long), (None, long + " end"), (10, long + " end more")]
     got = similar.similar_documents(spark.createDataFrame([(*r, 1, "x") for r in rows], kind)).collect()
     assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter([(None, 5), (5, 5), (5, 5), (6, 6), (7, 6), (8, 8), (9, 9), (None, 9), (10, 9)])
+
+
+def test_one_of_each_group_stays_whatever_its_id(spark):
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, n_chars long"
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(None, "alone without an id"), (None, "Alone  without an id"), (None, "a second one of these"), (7, "one text"), (7, "quite another text"), (7, "Quite another text"), (8, long), (None, long + " end"), (9, "A b c"), (10, "a b c"), (11, None)]
+    kept = lambda r: Counter(x["text"] for x in corpus_pipeline.one_of_near_copies(spark, spark.createDataFrame([(*x, 1) for x in r], kind), "").collect())
+    assert kept(rows) == Counter(["Alone  without an id", "a second one of these", "one text", "Quite another text", long, "A b c", None])
+    assert kept([(None, t) for _, t in rows]) == Counter(["Alone  without an id", "a second one of these", "one text", "Quite another text", kept([(None, long), (None, long + " end")]).popitem()[0], "A b c", None])
+    assert kept([r for r in rows if r[0] in (8, 9, 10)]) == Counter([long, "A b c"])
