@@ -411,18 +411,18 @@ def unordered(spark, sf):
     return got.withColumn("f1", f1).select("pair", "n_source", "n_output", "matched", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-def _short_turns(spark, sf) -> DataFrame:
-    return _table(spark, sf, "conversations").select("conv_id", "turn", T.tokenize("text").alias("src"), T.tokenize(F.left("text", F.lit(80))).alias("out"))
+def _turn_tokens(spark, sf) -> DataFrame:
+    return _turns(spark, sf).select("conv_id", "turn", T.tokenize("source").alias("src"), T.tokenize("output").alias("out"))
 
 
 @query("q_ordered_out")
 def ordered_out(spark, sf):
-    return _short_turns(spark, sf).select("conv_id", "turn", metrics.ordered_match_output_driven(F.col("src"), F.reverse("out")).alias("m")).select("conv_id", "turn", "m.matched", F.round("m.precision", 6).alias("precision"), F.round("m.recall", 6).alias("recall"))
+    return _turn_tokens(spark, sf).select("conv_id", "turn", metrics.ordered_match_output_driven(F.col("src"), F.col("out")).alias("m")).select("conv_id", "turn", "m.matched", F.round("m.precision", 6).alias("precision"), F.round("m.recall", 6).alias("recall"))
 
 
 @query("q_ordered_src")
 def ordered_src(spark, sf):
-    return _short_turns(spark, sf).select("conv_id", "turn", metrics.ordered_match_source_driven(F.col("src"), F.col("out")).alias("m")).select("conv_id", "turn", "m.matched", F.round("m.precision", 6).alias("precision"), F.round("m.recall", 6).alias("recall"))
+    return _turn_tokens(spark, sf).select("conv_id", "turn", metrics.ordered_match_source_driven(F.col("src"), F.col("out")).alias("m")).select("conv_id", "turn", "m.matched", F.round("m.precision", 6).alias("precision"), F.round("m.recall", 6).alias("recall"))
 
 
 _FIELDS = {"headword": "string", "definition": "string", "pronunciations": "array"}

@@ -41,3 +41,12 @@ def test_without_sql_runs(spark, name):
 
 def test_entry(spark):
     assert entry_point.entry(spark).count() == 11
+
+
+def test_ordered_matches_take_whole_turns(spark, tmp_path):
+    reply = " ".join(f"filler{i}" for i in range(40)) + " alpha beta gamma"
+    rows = [(1, 0, "user", "alpha beta gamma"), (1, 1, "assistant", reply), (1, 2, "user", "beta alpha"), (1, 3, "assistant", "alpha beta"), (2, 0, "user", "no reply")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {name: {(r["conv_id"], r["turn"]): (r["matched"], r["precision"], r["recall"]) for r in QUERIES[name](spark, str(tmp_path)).collect()} for name in ("q_ordered_out", "q_ordered_src")}
+    assert got["q_ordered_out"] == {(1, 0): (3, round(3 / 43, 6), 1.0), (1, 2): (1, 0.5, 0.5)}
+    assert got["q_ordered_src"] == {(1, 0): (3, round(3 / 43, 6), 1.0), (1, 2): (1, 0.5, 0.5)}
