@@ -22,14 +22,16 @@ from .simhash import SEED, bits_of, majority, near_links, shingle_hashes
 #: Two at 0.8 share none of 20 bands of 5 values with a chance of 0.0004.
 BANDS, ROWS = 20, 5
 VALUES = BANDS * ROWS
-#: Buckets of up to so many are compared pair by pair; members of fuller ones with the bucket's leader, then by their rarest shingles.
-BUCKET_MOST = 200
-#: Rows of a shingle in one block of the join on rare shingles.
-BLOCK_ROWS = 1000
+#: Buckets of up to so many are compared pair by pair; members of fuller ones with the bucket's leaders, then by their rarest shingles.
+BUCKET_MOST = 16
+#: Leaders of a fuller bucket.
+LEADERS = 3
+#: Nodes, and shingles of all their sets, that one side of a block holds where holders of a rare shingle meet.
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 20
 #: Of the values, a pair under SURE of which agree is checked exactly; so many agree at 0.8 or less with a chance of 0.00002.
 SURE = 95
 #: Standard deviations below the similarity at which the values rule a pair out.
-SLACK = 3.3
+SLACK = 4.0
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 1024
 
@@ -96,50 +98,100 @@ def shingle_sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> Dat
 def candidates(classes: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of nodes with close fingerprints or a common band, and the nodes of full buckets.
 
-    In a bucket of more than BUCKET_MOST nodes each member meets the bucket's leader, the least under
-    an order that differs by bucket; a dense group shares many buckets and so meets many leaders.
-    What this leaves apart is for crowded_pairs.
+    In a bucket of more than BUCKET_MOST nodes each member meets LEADERS of them, the least under
+    orders that differ by bucket; a dense group shares many buckets and so meets many leaders.
+    What this leaves apart is for crowded_links. So pairs grow in proportion to the nodes.
     """
     keys = F.array(*[F.xxhash64(F.lit(j), F.substring("sig", 2 * ROWS * j + 1, 2 * ROWS)) for j in range(BANDS)])
     keyed = classes.select("node", F.explode(keys).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("first")).where(F.col("n") > 1)
+    order = [F.min(F.struct(F.xxhash64("node", "key", F.lit(i)), "node")) for i in range(LEADERS)]
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.array(*order).alias("firsts")).where(F.col("n") > 1)
+    sizes = sizes.select("key", "n", F.when(F.col("n") > BUCKET_MOST, F.array_distinct("firsts.node")).alias("firsts"))
     shared = written(keyed.join(sizes.hint("merge"), "key"), "band-keys")
     calm = shared.where(F.col("n") <= BUCKET_MOST).select("key", "node")
     met = calm.withColumnRenamed("node", "a").join(calm.withColumnRenamed("node", "b").hint("merge"), "key").where(F.col("a") < F.col("b")).select("a", "b")
-    led = shared.where(F.col("n") > BUCKET_MOST).select(F.col("first").bitwiseXOR(F.col("key")).alias("a"), F.col("node").alias("b"))
+    led = shared.where(F.col("n") > BUCKET_MOST).select(F.explode("firsts").alias("a"), F.col("node").alias("b"))
     firsts = written(classes.groupBy("fp").agg(F.min("node").alias("first")), "fingerprint-firsts")
     close = near_links(firsts.select("fp"), budget)
     left, right = (firsts.select(F.col("fp").alias(x), F.col("first").alias(y)) for x, y in (("a", "p"), ("b", "q")))
     near = close.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
     same = classes.select("fp", "node").join(firsts.hint("merge"), "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
     crowd = shared.where(F.col("n") > BUCKET_MOST).select("node").distinct()
-    return met.unionByName(led).unionByName(near).unionByName(same).where(F.col("a") != F.col("b")).distinct(), crowd
+    all_pairs = met.unionByName(led).unionByName(near).unionByName(same).where(F.col("a") != F.col("b"))
+    return all_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), crowd
 
 
-def crowded_pairs(sets: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
-    """Every pair (a, b) of `sets` in different groups whose sets can have the similarity, exactly.
+def crowded_links(sets: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of `sets` that join all groups which some pair of sets at the similarity joins, exactly.
 
     Two such sets share one of their rarest shingles: with sizes of at most s they have similarity * s in
     common, so the first s - ceil(similarity * s) + 1 of each under one order hold a common one. Shingles
     whose holders are all of one group give nothing; at the others, those outside the largest
-    group meet the rest, in blocks of BLOCK_ROWS on either side.
+    group meet the rest, in blocks of bounded rows and bytes. A task checks its blocks' whole sets, each pair
+    only at the first rare shingle that the two share, and gives just the links that join groups
+    which it has not seen joined: rows out grow with the groups, never with pairs.
     """
     rows = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("s"))
     times = rows.groupBy("s").agg(F.count("*").alias("n"))
     ranked = rows.join(times.hint("merge"), "s").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("all"))
     most = F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - F.lit(1e-9)).cast("int") + 1
-    prefix = ranked.select("node", "size", F.explode(F.slice("all", F.lit(1), most)).alias("x")).where("x.n > 1").select("node", "size", F.col("x.s").alias("s"))
+    rare = F.filter(F.slice("all", F.lit(1), most), lambda x: x["n"] > 1)["s"]
     named = groups.select("node", "component")
-    prefix = written(prefix.join(named.hint("merge"), "node", "left").select("node", "size", "s", F.coalesce("component", "node").alias("own")), "rare-shingles")
-    held = prefix.groupBy("s", "own").agg(F.count("*").alias("n")).groupBy("s").agg(F.max_by("own", F.struct("n", "own")).alias("major"), F.max("n").alias("top"), F.sum("n").alias("n"), F.count("*").alias("groups"))
-    held = held.where(F.col("groups") > 1).select("s", "major", F.ceil((F.col("n") - F.col("top")) / BLOCK_ROWS).alias("p"), F.ceil(F.col("n") / BLOCK_ROWS).alias("q"))
-    mixed = written(prefix.join(held.hint("merge"), "s"), "mixed-shingles")
+    prefix = ranked.select("node", "size", rare.alias("rare")).where(F.size("rare") > 0)
+    prefix = written(prefix.join(named.hint("merge"), "node", "left").select("node", "size", "rare", F.coalesce("component", "node").alias("own")), "rare-shingles")
+    at = prefix.select("node", "size", "own", F.explode("rare").alias("s"))
+    held = at.groupBy("s", "own").agg(F.count("*").alias("n"), F.sum("size").alias("m")).groupBy("s")
+    held = held.agg(F.max_by("own", F.struct("n", "own")).alias("major"), F.max_by(F.struct("n", "m"), F.struct("n", "own")).alias("top"), F.sum("n").alias("n"), F.sum("m").alias("m"), F.count("*").alias("groups")).where(F.col("groups") > 1)
+    blocks = lambda n, m: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(m / BLOCK_SHINGLES))
+    held = held.select("s", "major", blocks(F.col("n") - F.col("top.n"), F.col("m") - F.col("top.m")).alias("p"), blocks(F.col("n"), F.col("m")).alias("q"))
+    mixed = written(at.join(held.hint("merge"), "s"), "mixed-shingles")
     spread = lambda other: F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))
-    left = mixed.where(F.col("own") != F.col("major")).select("s", F.pmod(F.xxhash64("node"), F.col("p")).alias("i"), spread("q").alias("j"), F.col("node").alias("a"), F.col("own").alias("u"), F.col("size").alias("x"))
-    right = mixed.select("s", F.pmod(F.xxhash64("node"), F.col("q")).alias("j"), spread("p").alias("i"), F.col("node").alias("b"), F.col("own").alias("v"), F.col("size").alias("y"), (F.col("own") == F.col("major")).alias("main"))
-    fits = F.least("x", "y") >= F.greatest("x", "y") * F.lit(similarity) - F.lit(1e-9)
-    met = left.join(right.hint("merge"), ["s", "i", "j"]).where((F.col("u") != F.col("v")) & fits & (F.col("main") | (F.col("a") < F.col("b"))))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = mixed.where(F.col("own") != F.col("major")).select("s", F.pmod(F.xxhash64("node"), F.col("p")).alias("i"), spread("q").alias("j"), F.lit(True).alias("asks"), "node", F.lit(False).alias("main"))
+    right = mixed.select("s", spread("p").alias("i"), F.pmod(F.xxhash64("node"), F.col("q")).alias("j"), F.lit(False).alias("asks"), "node", (F.col("own") == F.col("major")).alias("main"))
+    body = prefix.select("node", "own", "rare").join(sets.hint("merge"), "node")
+    dealt = left.unionByName(right).join(body.hint("merge"), "node").repartition("s", "i", "j").sortWithinPartitions("s", "i", "j", "asks", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = root[up]
+                x = up
+            return x
+
+        def cells() -> Iterator[tuple]:
+            for batch in steps(batches, 1024):
+                scalars = zip(*(batch.column(c).to_pylist() for c in ("s", "i", "j", "asks", "main", "node", "own")), strict=True)
+                for row, rare, shingles in zip(scalars, batch.column("rare"), batch.column("shingles"), strict=True):
+                    yield row, rare.values.to_numpy(), shingles.values.to_numpy()
+
+        block, others, out = None, [], []
+        for (s, i, j, asks, main, node, own), rare, shingles in cells():
+            if block != (s, i, j):
+                block, others = (s, i, j), []
+            if not asks:
+                others.append((node, own, main, rare, shingles, len(shingles)))
+                continue
+            size, mine, whole = len(shingles), None, None
+            for other, theirs, sure, rest, body, n in others:
+                if min(size, n) < max(size, n) * similarity - 1e-9 or not (sure or node < other) or top(own) == top(theirs):
+                    continue
+                mine = mine if mine is not None else set(rare.tolist())
+                if next(x for x in rest.tolist() if x in mine) != s:
+                    continue
+                whole = whole if whole is not None else set(shingles.tolist())
+                both = len(whole.intersection(body.tolist()))
+                if both >= similarity * (size + n - both):
+                    a, b = top(own), top(theirs)
+                    root[max(a, b)] = min(a, b)
+                    out.append((node, other))
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                out = []
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -199,12 +251,11 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
             texts = texts.unionByName(rows.where(F.col(id_col).isNull()))
         sets = written(shingle_sets(texts, width, id_col, text_col).dropDuplicates(["node"]), "shingle-sets")
         best = doubt.groupBy("b").agg(F.max_by("a", "same").alias("a")).select("a", "b")
-        waves = [lambda: _apart(best, groups), lambda: _apart(doubt.select("a", "b"), groups)]
+        waves = [lambda: _checked(_apart(best, groups), sets, similarity), lambda: _checked(_apart(doubt.select("a", "b"), groups), sets, similarity)]
         if crowded:
-            waves.append(lambda: crowded_pairs(sets.join(crowd.hint("merge"), "node", "left_semi"), groups, similarity))
+            waves.append(lambda: crowded_links(sets.join(crowd.hint("merge"), "node", "left_semi"), groups, similarity))
         for wave in waves:
-            found = _checked(wave(), sets, similarity)
-            links = written(links.unionByName(found), "similar-links")
+            links = written(links.unionByName(wave()), "similar-links")
             groups = written(connected_components(links), "similar-groups")
         discard(sets)
     joined = classes.join(groups.hint("merge"), "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
