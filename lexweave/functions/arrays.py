@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import casefold, clean_text, col, match_text, strip
+from .text import casefold, clean_text, col, fold_items, match_items, normalize_items, strip
 
 NONE = "array<string>"
 
@@ -22,22 +22,26 @@ def unique_keep_order(c: Column | str) -> Column:
     return F.array_distinct(col(c))
 
 
-def clean_list(c: Column | str) -> Column:
-    """Each item cleaned, nothing dropped but nulls and repeats."""
+def _cleaned(c: Column | str) -> Column:
     items = F.transform(F.coalesce(col(c), F.array().cast(NONE)), lambda x: clean_text(x, False))
     return F.array_distinct(F.filter(items, lambda x: x.isNotNull()))
 
 
+def clean_list(c: Column | str) -> Column:
+    """Each item in NFKC and cleaned, nothing dropped but nulls and repeats."""
+    return _cleaned(normalize_items(c))
+
+
 def exact_list_match(a: Column | str, b: Column | str) -> Column:
     return clean_list(a) == clean_list(b)
 
 
 def clean_pronunciations(c: Column | str) -> Column:
-    return clean_list(F.transform(clean_list(c), lambda x: F.btrim(x, F.lit("/"))))
+    return _cleaned(F.transform(clean_list(c), lambda x: F.btrim(x, F.lit("/"))))
 
 
 def clean_pos(c: Column | str) -> Column:
-    return F.array_distinct(F.transform(clean_list(c), casefold))
+    return F.array_distinct(F.transform(_cleaned(fold_items(c)), casefold))
 
 
 def clean_cross_refs(c: Column | str) -> Column:
@@ -75,7 +79,7 @@ def to_text_list(c: Column | str, kind: str = "array") -> Column:
     """Comparison texts of an array, a map's values or a scalar, without empty ones."""
     c = col(c)
     items = {"array": lambda: c, "map": lambda: F.map_values(c), "string": lambda: F.array(c)}[kind]()
-    return F.filter(F.transform(F.coalesce(items, F.array().cast(NONE)), lambda x: match_text(x, False)), lambda x: x != "")
+    return F.filter(match_items(F.coalesce(items, F.array().cast(NONE))), lambda x: x != "")
 
 
 def safe_parse_json(c: Column | str) -> Column:

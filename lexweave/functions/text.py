@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: White space as Python's \s has it; Java lacks the four separators even with (?U).
 WS = r"[\s\x1c-\x1f]"
@@ -19,8 +19,8 @@ POS_LABELS = (
     "part.", "int.", "voc.", "phr.", "adj.", "adv.", "n.", "v.", "num.", "excl.",
 )
 
-#: Letters up to U+024F that NFKC leaves alone, and common marks beyond; all else goes to Python.
-_STABLE = r"^[\x00-\x9f\xa1-\xa7\xa9\xab-\xae\xb0\xb1\xb6\xb7\xbb\xbf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0180-\u01c3\u01cd-\u01f0\u01f4-\u024f\u0250-\u02af\u2010\u2012-\u2016\u2018-\u2023\u2027]*$"
+#: Letters up to U+024F that NFKC leaves alone and casefold() below folds, and common marks beyond; all else goes to Python.
+_STABLE = r"^[\x00-\x9f\xa1-\xa7\xa9\xab-\xae\xb0\xb1\xb6\xb7\xbb\xbf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0180-\u01c3\u01cd-\u01ef\u01f4-\u024f\u0250-\u02af\u2010\u2012-\u2016\u2018-\u2023\u2027]*$"
 
 
 def pos_pattern(profile: str = "src") -> str:
@@ -34,6 +34,21 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def _folded(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _nfkc_items(s: pd.Series) -> pd.Series:
+    return pd.Series([None if v is None else [None if x is None else unicodedata.normalize("NFKC", x) for x in v] for v in s], dtype=object)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _folded_items(s: pd.Series) -> pd.Series:
+    return pd.Series([None if v is None else [None if x is None else unicodedata.normalize("NFKC", x).casefold() for x in v] for v in s], dtype=object)
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -58,6 +73,20 @@ def normalize_unicode(c: Column | str) -> Column:
     return F.coalesce(_nfkc(F.when(~c.rlike(_STABLE), c)), c)
 
 
+def _odd_items(c: Column) -> Column:
+    return F.when(F.exists(c, lambda x: ~x.rlike(_STABLE)), c)
+
+
+def normalize_items(c: Column | str) -> Column:
+    """NFKC of each item of an array; only arrays that it may change are sent to Python."""
+    return F.coalesce(_nfkc_items(_odd_items(col(c))), col(c))
+
+
+def fold_items(c: Column | str) -> Column:
+    """As normalize_items, with such arrays in full case folding too; casefold() does the rest."""
+    return F.coalesce(_folded_items(_odd_items(col(c))), col(c))
+
+
 def is_nullish(c: Column | str, kind: str = "string") -> Column:
     """Null, blank text, an empty array or map, or NaN, by kind: string, array, map, double or other."""
     c = col(c)
@@ -72,13 +101,20 @@ def clean_text(c: Column | str, nfkc: bool = True) -> Column:
 
 
 def casefold(c: Column | str) -> Column:
-    """Lower case, with ß as ss and final sigma as sigma; long s comes from NFKC as s."""
+    """Lower case, with ß as ss and final sigma as sigma; other letters that fold otherwise are folded with NFKC."""
     return F.translate(F.replace(F.lower(col(c)), F.lit("ß"), F.lit("ss")), "ς", "σ")
 
 
 def match_text(c: Column | str, nfkc: bool = True) -> Column:
     """Text for comparison without case, with plain quotes and dashes; null as the empty string."""
-    return F.coalesce(collapse(F.translate(casefold(clean_text(c, nfkc)), "’‘“”–—", "''\"\"--")), F.lit(""))
+    c = col(c)
+    folded = casefold(F.coalesce(_folded(F.when(~c.rlike(_STABLE), c)), c) if nfkc else c)
+    return F.coalesce(collapse(F.translate(folded, "’‘“”–—", "''\"\"--")), F.lit(""))
+
+
+def match_items(c: Column | str) -> Column:
+    """match_text of each item of an array."""
+    return F.transform(fold_items(c), lambda x: match_text(x, False))
 
 
 def exact_text_match(a: Column | str, b: Column | str, nfkc: bool = True) -> Column:
@@ -170,10 +206,10 @@ def word_len(c: Column | str, kind: str = "string") -> Column:
 
 
 def phrase_containment(matched: Column | str, phrases: Column | str) -> Column:
-    """Every phrase stands in the source, given as its match_text in a column of its own; true for none."""
-    text = col(matched)
-    items = F.transform(col(phrases), lambda p: match_text(p, False))
-    return F.coalesce(F.forall(items, lambda p: F.contains(text, p)), F.lit(True))
+    """Every phrase stands in the source, given as its match_text; true for none."""
+    items = match_items(phrases)
+    pairs = F.arrays_zip(items.alias("phrase"), F.array_repeat(col(matched), F.size(items)).alias("text"))
+    return F.coalesce(F.forall(pairs, lambda x: F.contains(x["text"], x["phrase"])), F.lit(True))
 
 
 def non_ascii(c: Column | str) -> Column:

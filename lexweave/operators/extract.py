@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..functions.text import user_prompt
+from ..functions.text import int_from_id, user_prompt
 
 #: make() runs once a task and returns ask(system, user) -> reply, so clients need not be pickled.
 MakeClient = Callable[[], Callable[[str, str], str]]
@@ -48,7 +48,8 @@ def chat_client(base_url: str, model: str, temperature: float = 0.1, max_tokens:
 
         def ask(system: str, user: str) -> str:
             body = {"model": model, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}], "temperature": temperature, "max_tokens": max_tokens}
-            request = urllib.request.Request(f"{base_url.rstrip('/')}/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {api_key}"})
+            headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {api_key}"} if api_key else {})
+            request = urllib.request.Request(f"{base_url.rstrip('/')}/chat/completions", json.dumps(body).encode(), headers)
             with urllib.request.urlopen(request, timeout=timeout) as reply:
                 return json.load(reply)["choices"][0]["message"]["content"]
 
@@ -81,7 +82,12 @@ def not_done(entries: DataFrame, done: DataFrame) -> DataFrame:
     return entries.join(ids, F.col("entry_id").cast("string") == F.col("_id"), "left_anti")
 
 
-def next_batch(entries: DataFrame, done: DataFrame, skip: int = 0, most: int | None = 10, order: str = "entry_id") -> DataFrame:
-    """The entries of a resumed run: not done, after the first `skip`, `most` of them; failures count and come again."""
-    rest = not_done(entries, done).orderBy(order).offset(skip)
+def next_batch(entries: DataFrame, done: DataFrame, skip: int = 0, most: int | None = 10, order: str | None = None) -> DataFrame:
+    """The entries of a resumed run: not done, after the first `skip`, `most` of them.
+
+    They come in order of the column `order`, such as the place that read_entries gives; without one by the number at the
+    end of the id, then by the id.
+    """
+    by = [order] if order else [int_from_id("entry_id").asc_nulls_last(), "entry_id"]
+    rest = not_done(entries, done).orderBy(*by).offset(skip)
     return rest if most is None else rest.limit(most)

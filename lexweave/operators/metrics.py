@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions import text as T
 
@@ -45,37 +50,60 @@ def unordered_match_rows(df: DataFrame, key: str, source: str, output: str, nfkc
     return sums.select(key, "n_source", "n_output", "matched", p.alias("precision"), r.alias("recall"), f1.alias("f1"))
 
 
-def _walked(steps: Column, through: Column) -> Column:
-    """How many of `steps` are found one after another in `through`; a step not found costs nothing."""
-    start = F.struct(F.lit(1).alias("pos"), F.lit(0).alias("n"))
+def _counted(a: pd.Series, b: pd.Series, f) -> pd.Series:
+    return pd.Series([f(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="int32")
 
-    def walk(state: Column, token: Column) -> Column:
-        at = F.coalesce(F.array_position(F.slice(through, state["pos"], F.greatest(F.size(through) - state["pos"] + 1, F.lit(0))), token).cast("int"), F.lit(0))
-        return F.when(at > 0, F.struct((state["pos"] + at).alias("pos"), (state["n"] + 1).alias("n"))).otherwise(state)
 
-    return F.aggregate(steps, start, walk)["n"]
+@F.pandas_udf(IntegerType())
+def _overlap(source: pd.Series, output: pd.Series) -> pd.Series:
+    """Tokens in common, as often as both have them."""
+    return _counted(source, output, lambda x, y: (Counter(x) & Counter(y)).total())
 
 
-def ordered_match_output_driven(source: Column, output: Column) -> Column:
-    """Struct of matched, precision, recall, f1: each output token is sought in the source after the last one found."""
-    n = _walked(output, source)
-    p, r, f1 = rates(n, F.size(output), F.size(source))
-    return F.struct(n.alias("matched"), p.alias("precision"), r.alias("recall"), f1.alias("f1"))
+def _walk(steps: list[str], through: list[str], strict: bool) -> int:
+    """How many of `steps` are found one after another in `through`, by the places of each token.
 
+    A step not found costs nothing, or with `strict` uses up all that is left.
+    """
+    places: dict[str, list[int]] = {}
+    for i, token in enumerate(through):
+        places.setdefault(token, []).append(i)
+    at = n = 0
+    for token in steps:
+        own = places.get(token, [])
+        k = bisect_left(own, at)
+        if k < len(own):
+            at, n = own[k] + 1, n + 1
+        elif strict:
+            break
+    return n
+
+
+@F.pandas_udf(IntegerType())
+def _output_walked(source: pd.Series, output: pd.Series) -> pd.Series:
+    return _counted(source, output, lambda x, y: _walk(y, x, False))
 
-def ordered_match_source_driven(source: Column, output: Column) -> Column:
-    """The same with the source walked: a source token not found uses up the whole output."""
-    start = F.struct(F.lit(1).alias("pos"), F.lit(0).alias("n"))
 
-    def walk(state: Column, token: Column) -> Column:
-        at = F.coalesce(F.array_position(F.slice(output, state["pos"], F.greatest(F.size(output) - state["pos"] + 1, F.lit(0))), token).cast("int"), F.lit(0))
-        return F.when(at > 0, F.struct((state["pos"] + at).alias("pos"), (state["n"] + 1).alias("n"))).otherwise(F.struct((F.size(output) + 1).alias("pos"), state["n"].alias("n")))
+@F.pandas_udf(IntegerType())
+def _source_walked(source: pd.Series, output: pd.Series) -> pd.Series:
+    return _counted(source, output, lambda x, y: _walk(x, y, True))
 
-    n = F.aggregate(source, start, walk)["n"]
+
+def _ordered(n: Column, source: Column, output: Column) -> Column:
     p, r, f1 = rates(n, F.size(output), F.size(source))
     return F.struct(n.alias("matched"), p.alias("precision"), r.alias("recall"), f1.alias("f1"))
 
 
+def ordered_match_output_driven(source: Column, output: Column) -> Column:
+    """Struct of matched, precision, recall, f1: each output token is sought in the source after the last one found."""
+    return _ordered(_output_walked(source, output), source, output)
+
+
+def ordered_match_source_driven(source: Column, output: Column) -> Column:
+    """The same with the source walked: a source token not found uses up the whole output."""
+    return _ordered(_source_walked(source, output), source, output)
+
+
 def field_metrics(merged: DataFrame, fields: dict[str, str], key: str = "entry_id") -> DataFrame:
     """Long frame (key, field, system, six metrics): outputs of both systems against their source text.
 
@@ -89,9 +117,10 @@ def field_metrics(merged: DataFrame, fields: dict[str, str], key: str = "entry_i
             rows.append(F.struct(F.lit(name).alias("field"), F.lit(s).alias("system"), F.col(f"source_text_{s}").alias("source"), text.alias("output"), (F.coalesce(c, F.array().cast("array<string>")) if kind == "array" else F.array_compact(F.array(c))).alias("items")))
     long = merged.select(key, F.explode(F.array(*rows)).alias("x")).select(key, "x.*")
     long = long.withColumns({"src": T.tokenize("source"), "out": T.tokenize("output"), "text": T.match_text("source")})
-    long = long.withColumns({"u": unordered_match(F.col("src"), F.col("out")), "o": ordered_match_output_driven(F.col("src"), F.col("out"))})
-    items = F.filter(F.transform("items", lambda x: T.match_text(x, False)), lambda x: x != "")
-    inside = F.filter(items, lambda x: F.contains(F.col("text"), x))
+    u = rates(_overlap("src", "out"), F.size("out"), F.size("src"))
+    unordered = F.struct(*[x.alias(m) for x, m in zip(u, ("precision", "recall", "f1"), strict=True)])
+    long = long.withColumns({"u": unordered, "o": ordered_match_output_driven(F.col("src"), F.col("out")), "items": F.filter(T.match_items("items"), lambda x: x != "")})
+    items, inside = F.col("items"), F.filter("items", lambda x: F.contains(F.col("text"), x))
     long = long.withColumns({"all_output_in_source": F.size(inside) == F.size(items), "unmatched_output_items": F.array_except(items, inside), "output_coverage_in_source": F.try_divide(F.size(inside).cast("double"), F.size(items))})
     six = [F.col(f"{a}.{m}").alias(f"{b}_{m}") for a, b in (("u", "unordered"), ("o", "ordered")) for m in ("precision", "recall", "f1")]
     return long.select(key, "field", "system", *six, "all_output_in_source", "unmatched_output_items", "output_coverage_in_source")

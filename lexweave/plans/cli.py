@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 
 from pyspark.sql import SparkSession
 
@@ -25,13 +26,24 @@ def run_rules(spark: SparkSession, c: Config) -> None:
 
 
 def run_model(spark: SparkSession, c: Config, make: extract.MakeClient | None = None) -> None:
-    """Ask the model for entries not yet done and add to the outputs."""
-    entries, done = readers.read_entries(spark, c.input_path), readers.done_ids(spark, c.output_jsonl)
-    batch = extract.next_batch(entries, done, c.get("skip_unfinished_rows", 0), c.get("max_new_rows", 10))
-    make = make or extract.chat_client(c.base_url, c.model_name, c.get("temperature", 0.1), c.get("max_tokens", 1200))
-    replies = extract.ask_model(batch, make, readers.load_prompt(c.system_prompt), readers.load_prompt(c.parser_prompt)).persist()
-    records = extract.read_replies(replies)
-    sinks.append_split(extract.good(records), extract.bad(records), c.output_jsonl, c.error_jsonl)
+    """Ask the model for entries not yet done, in the order of the input, until `max_new_rows` have a good reply.
+
+    Failed entries are passed over in this run and come again in the next. The key for the endpoint is `api_key`, or the
+    environment variable that `api_key_env` names.
+    """
+    entries, skip, left = readers.read_entries(spark, c.input_path, with_place=True), c.get("skip_unfinished_rows", 0), c.get("max_new_rows")
+    key = c.get("api_key") or os.environ.get(c.get("api_key_env", ""), "")
+    make = make or extract.chat_client(c.base_url, c.model_name, c.get("temperature", 0.1), c.get("max_tokens", 1200), key)
+    while left is None or left > 0:
+        batch = extract.next_batch(entries, readers.done_ids(spark, c.output_jsonl), skip, left, "place")
+        replies = extract.ask_model(batch, make, readers.load_prompt(c.system_prompt), readers.load_prompt(c.parser_prompt)).persist()
+        records = extract.read_replies(replies)
+        sinks.append_split(extract.good(records), extract.bad(records), c.output_jsonl, c.error_jsonl)
+        asked, good = replies.count(), extract.good(records).count()
+        replies.unpersist()
+        if left is None or asked < left:
+            break
+        left, skip = left - good, skip + asked - good
 
 
 def run_evaluation(spark: SparkSession, c: Config) -> None:
@@ -39,10 +51,13 @@ def run_evaluation(spark: SparkSession, c: Config) -> None:
     rule = normalize.normalize_rule(readers.read_jsonl(spark, c.rule_output, RULE_RECORD))
     model = normalize.normalize_model(normalize.flatten_model(readers.read_jsonl(spark, c.genai_output, MODEL_RECORD)), c.get("genai_id_offset", 0))
     maps = readers.load_map(c.get("pos_map")), readers.load_map(c.get("region_map"))
-    merged = compare.merge_outputs(normalize.apply_maps(rule, *maps), normalize.apply_maps(model, *maps)).persist()
+    rule, model = normalize.apply_maps(rule, *maps), normalize.apply_maps(model, *maps)
+    merged = compare.merge_outputs(rule, model).persist()
     sinks.write_jsonl(merged, c.merged_jsonl)
     sinks.write_presence_summary(merged, c.presence_csv)
     sinks.write_exact_match_summary(merged, c.exact_match_csv)
+    if c.get("workbook"):
+        sinks.write_workbook({"merged": merged, "rule_norm": rule, "genai_norm": model}, c.workbook)
     if c.get("report_dir"):
         sinks.write_sheets({"merged": compare.with_presence(merged), "presence": compare.presence_summary(merged), "exact_match": compare.exact_match_summary(merged), "alignment": compare.alignment_summary(merged)}, c.report_dir)
 

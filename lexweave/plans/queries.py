@@ -185,8 +185,16 @@ _STRINGS = ["headword_raw", "headword", "pronunciation", "pronunciation_2", "par
 _ARRAYS = ["variant_forms", "grammatical_labels", "cross_references", "parse_notes"]
 
 
-def _parse_sql(name: str) -> str:
-    own = PARSES[name][1]
+#: Entries that the other profile reads otherwise.
+PARSES_V12: dict[str, tuple[str, dict[str, str]]] = {
+    "c04": ("concat(p_name, ', see.')", PARSES["c04"][1] | {"parse_notes": "'Incomplete cross-reference target'"}),
+    "c11": ("concat(p_name, ' /', p_brand, '/ also fu, fo etc. n. ', lower(p_type))", {"pronunciation": "p_brand", "variant_forms": "'fu|fo'", "part_of_speech": "'n.'", "definition": "lower(p_type)", "parse_confidence": "0.9"}),
+    "c12": PARSES["c12"],
+}
+
+
+def _parse_sql(name: str, parses: dict = PARSES) -> str:
+    own = parses[name][1]
     base = {"headword_raw": "p_name", "entry_type": "'lexical'", "rule_branch": f"'{name.upper().replace('C0', 'C')}'"} | own
     base.setdefault("headword", f"lower({base['headword_raw']})")
     columns = [f"cast({base.get(c, 'null')} as varchar) as {c}" for c in _STRINGS] + [f"{base.get(c, repr(''))} as {c}" for c in _ARRAYS]
@@ -197,16 +205,18 @@ def _shown(records: DataFrame) -> DataFrame:
     return records.select("para_id", *_STRINGS, *[_joined(c).alias(c) for c in _ARRAYS], "parse_confidence")
 
 
-def _parse_query(entry: str):
+def _parse_query(entry: str, profile: str = "src"):
     def run(spark, sf):
         rows = _table(spark, sf, "part").select(F.col("p_partkey").alias("para_id"), F.expr(entry).alias("text"))
-        return _shown(cascade.parse(rows))
+        return _shown(cascade.parse(rows, profile))
 
     return run
 
 
 for _name, (_entry, _) in PARSES.items():
     query(f"q_parse_{_name}", _parse_sql(_name))(_parse_query(_entry))
+for _name, (_entry, _) in PARSES_V12.items():
+    query(f"q_parse_v12_{_name}", _parse_sql(_name, PARSES_V12))(_parse_query(_entry, "v12"))
 
 
 @query("q_parse_mix", " union all ".join(f"(select * from ({_parse_sql(n)}) where para_id % {len(PARSES)} = {i})" for i, n in enumerate(PARSES)))
@@ -228,6 +238,26 @@ def list_clean(spark, sf):
     )
 
 
+_WIDE = "".join(chr(ord(c) + 0xFEE0) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+@query("q_list_nfkc", "select n_nationkey, 'fi' || n_name || '|' || n_name || '|x2' as cleaned, n_name || '|ff' as prons, lower(n_name) || '|ss' as pos, n_name || '|FI' as xrefs, 'x2' || lower(n_name) || '|θάι' as matched, true as inside from nation")
+def list_nfkc(spark, sf):
+    """Ligatures, full-width letters and other compatibility forms in lists."""
+    wide = f"translate(n_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '{_WIDE}')"
+    arr = lambda *x: F.array(*[F.expr(e) for e in x])
+    matched = A.to_text_list(arr(f"concat('x²', {wide})", "'ϑᾴ'", "' '", "null"))
+    return _table(spark, sf, "nation").select(
+        "n_nationkey",
+        _joined(A.clean_list(arr("concat('ﬁ', n_name)", wide, "n_name", "'x²'"))).alias("cleaned"),
+        _joined(A.clean_pronunciations(arr(f"concat('/', {wide}, '／')", "n_name", "'/ﬀ/'"))).alias("prons"),
+        _joined(A.clean_pos(arr(wide, "lower(n_name)", "'ẞ'", "'ß'"))).alias("pos"),
+        _joined(A.clean_cross_refs(arr(wide, "n_name", "'ﬁ'"))).alias("xrefs"),
+        _joined(matched).alias("matched"),
+        T.phrase_containment(T.match_text(F.expr(f"concat('ﬁrst ', {wide}, ' ²')")), arr("concat('FI', 'RST')", wide, "'2'")).alias("inside"),
+    )
+
+
 _POS_MAP = {"ECONOMY": "noun|adjective", "PROMO": "verb"}
 
 
@@ -271,11 +301,11 @@ def _stub():
     return ask
 
 
-_STUB_SQL = "select c_name as entry_id, c_custkey % 10 % 4 as kind from customer where c_custkey % 10 < 8"
+_STUB_SQL = "select c_name as entry_id, c_custkey % 10 % 4 as kind from customer"
 
 
 def _replies(spark, sf):
-    rows = _table(spark, sf, "customer").where("c_custkey % 10 < 8").select(F.col("c_name").alias("entry_id"), F.col("c_name").alias("entry_text"))
+    rows = _table(spark, sf, "customer").select(F.col("c_name").alias("entry_id"), F.col("c_name").alias("entry_text"))
     return extract.read_replies(extract.ask_model(rows, lambda: _stub(), "system", "Word: {{ entry_text }}"))
 
 
@@ -390,9 +420,15 @@ def qc_empty(spark, sf):
     return compare.empty_counts(_merged(spark, sf), ["definition", "headword", "pronunciations"])
 
 
-@query("q_tokens", f"select doc_id, len({s_words('text')}) as tokens, array_to_string({s_words('left(text, 200)')}, '|') as first from documents")
+@query("q_tokens", f"select doc_id, len({s_words('text')}) as tokens, sha256(array_to_string({s_words('text')}, '|')) as tokens_sha256 from documents")
 def tokens(spark, sf):
-    return _table(spark, sf, "documents").select("doc_id", F.size(T.tokenize("text")).cast("long").alias("tokens"), _joined(T.tokenize(F.left("text", F.lit(200)))).alias("first"))
+    words = _table(spark, sf, "documents").select("doc_id", T.tokenize("text").alias("words"))
+    return words.select("doc_id", F.size("words").cast("long").alias("tokens"), F.sha2(_joined("words"), 256).alias("tokens_sha256"))
+
+
+@query("q_lines", "select doc_id, length(text) - length(replace(text, chr(10), '')) + 1 as lines, regexp_matches(text, '[^\\x00-\\x7F]') as non_ascii from documents")
+def lines(spark, sf):
+    return _table(spark, sf, "documents").select("doc_id", T.line_count("text").cast("long").alias("lines"), T.non_ascii("text").alias("non_ascii"))
 
 
 def _turns(spark, sf) -> DataFrame:
@@ -415,12 +451,20 @@ def _turn_tokens(spark, sf) -> DataFrame:
     return _turns(spark, sf).select("conv_id", "turn", T.tokenize("source").alias("src"), T.tokenize("output").alias("out"))
 
 
-@query("q_ordered_out")
+def _s_walk(steps: str, through: str, lost: str) -> str:
+    """Tokens of one side walked through the other's, one a step; `lost` is the place after a token that is not found."""
+    return f"""with recursive t as (select conv_id, turn, {s_words('source')} as src, {s_words('output')} as out from (select u.conv_id, u.turn, u.text as source, a.text as output from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1 where u.role = 'user' and a.role = 'assistant')),
+    walk as (select conv_id, turn, src, out, 0 as i, 0 as pos, 0 as n from t union all
+        select conv_id, turn, src, out, i + 1, case when p > 0 then pos + p else {lost} end, n + cast(p > 0 as integer) from (select *, cast(coalesce(list_position({through}[pos + 1:], {steps}[i + 1]), 0) as integer) as p from walk where i < len({steps})))
+    select conv_id, turn, n as matched, round(n / nullif(len(out), 0), 6) as precision, round(n / nullif(len(src), 0), 6) as recall from walk where i = len({steps})"""
+
+
+@query("q_ordered_out", _s_walk("out", "src", "pos"))
 def ordered_out(spark, sf):
     return _turn_tokens(spark, sf).select("conv_id", "turn", metrics.ordered_match_output_driven(F.col("src"), F.col("out")).alias("m")).select("conv_id", "turn", "m.matched", F.round("m.precision", 6).alias("precision"), F.round("m.recall", 6).alias("recall"))
 
 
-@query("q_ordered_src")
+@query("q_ordered_src", _s_walk("src", "out", "len(out)"))
 def ordered_src(spark, sf):
     return _turn_tokens(spark, sf).select("conv_id", "turn", metrics.ordered_match_source_driven(F.col("src"), F.col("out")).alias("m")).select("conv_id", "turn", "m.matched", F.round("m.precision", 6).alias("precision"), F.round("m.recall", 6).alias("recall"))
 
@@ -428,7 +472,28 @@ def ordered_src(spark, sf):
 _FIELDS = {"headword": "string", "definition": "string", "pronunciations": "array"}
 
 
-@query("q_token_summary")
+def _s_items(x: str) -> str:
+    return f"list_filter(list_transform(coalesce({x}, []), lambda x: {s_match('x')}), lambda x: x <> '')"
+
+
+_S_SYSTEM = " union all ".join(
+    f"select entry_id, '{field}' as field, '{system}' as system, {s_words(f'st_{s}')} as src, {s_words(text.format(s))} as out, {s_match(f'st_{s}')} as source, {_s_items(items.format(s))} as items from merged"
+    for field, text, items in (("headword", "hw_{0}", "case when hw_{0} is not null then [hw_{0}] end"), ("definition", "d_{0}", "case when d_{0} is not null then [d_{0}] end"), ("pronunciations", "replace(p_{0}, '|', ' ')", "string_split(p_{0}, '|')"))
+    for system, s in (("rule", "r"), ("genai", "g"))
+)
+#: The six metrics of every entry, field and system, and whether the output's items stand in the source.
+S_METRICS = f"""with recursive merged as materialized (select * from {S_MERGED}), f as materialized ({_S_SYSTEM}),
+    walk as (select entry_id, field, system, src, out, 0 as i, 0 as pos, 0 as n from f union all
+        select entry_id, field, system, src, out, i + 1, pos + p, n + cast(p > 0 as integer) from (select *, cast(coalesce(list_position(src[pos + 1:], out[i + 1]), 0) as integer) as p from walk where i < len(out))),
+    counted as (select f.*, w.n, coalesce(list_sum(list_transform(list_distinct(f.out), lambda x: least(len(list_filter(f.src, lambda y: y = x)), len(list_filter(f.out, lambda y: y = x))))), 0) as u,
+        len(list_filter(f.items, lambda x: contains(f.source, x))) as inside from f join walk w using (entry_id, field, system) where w.i = len(f.out)),
+    m as (select entry_id, field, system, u / nullif(len(out), 0) as up, u / nullif(len(src), 0) as ur, n / nullif(len(out), 0) as op, n / nullif(len(src), 0) as r, inside = len(items) as whole, inside / nullif(len(items), 0) as coverage from counted)"""
+
+
+@query(
+    "q_token_summary",
+    f"{S_METRICS} select field, system, round(avg(up), 6) as unordered_precision, round(avg(ur), 6) as unordered_recall, round(avg(2 * up * ur / nullif(up + ur, 0)), 6) as unordered_f1, round(avg(op), 6) as ordered_precision, round(avg(r), 6) as ordered_recall, round(avg(2 * op * r / nullif(op + r, 0)), 6) as ordered_f1 from m group by 1, 2",
+)
 def token_summary(spark, sf):
     got = metrics.token_summary(metrics.field_metrics(_merged(spark, sf), _FIELDS))
     return got.select("field", "system", *[F.round(c, 6).alias(c) for c in got.columns[2:]])
@@ -440,11 +505,12 @@ def containment_report(spark, sf):
     return got.select("entry_id", "all_output_in_source")
 
 
-@query("q_phrase", f"select d.doc_id, contains({s_match('d.text')}, {s_match('b.text')}) as contained from documents d join benchmark b on b.item_id = d.doc_id % 40")
+@query("q_phrase", f"select doc_id, contains({s_match('text')}, {s_match('lang')}) as one, contains({s_match('text')}, {s_match('lang')}) and contains({s_match('text')}, {s_match('source')}) as both_in from documents where lang is not null and source is not null union all select doc_id, true, true from documents where lang is null or source is null")
 def phrase(spark, sf):
-    b = _table(spark, sf, "benchmark").select((F.col("item_id")).alias("k"), F.col("text").alias("item"))
-    d = _table(spark, sf, "documents").withColumn("k", F.col("doc_id") % 40)
-    return d.join(b, "k").withColumn("matched", T.match_text("text")).select("doc_id", T.phrase_containment("matched", F.array("item")).alias("contained"))
+    """Whether a document's language, and its source too, are named in its whole text; null phrases ask for nothing."""
+    matched, known = T.match_text("text"), F.col("lang").isNotNull() & F.col("source").isNotNull()
+    asked = lambda *c: T.phrase_containment(matched, F.when(known, F.array(*c)))
+    return _table(spark, sf, "documents").select("doc_id", asked("lang").alias("one"), asked("lang", "source").alias("both_in"))
 
 
 @query("q_length_diag", f"select entry_id, cast(length(coalesce(st_r, st_g)) as integer) as source_char_len, cast(coalesce(length(hw_r), 0) + coalesce(length(d_r), 0) as integer) as extracted_char_len_rule, coalesce((coalesce(length(hw_r), 0) + coalesce(length(d_r), 0)) / length(coalesce(st_r, st_g)) > 1.2, false) as possible_overgeneration_rule from {S_MERGED}")
@@ -465,7 +531,10 @@ def length_summary(spark, sf):
     return metrics.length_summary(metrics.length_diagnostics(_merged(spark, sf), {"headword": "string", "definition": "string"}))
 
 
-@query("q_failures")
+@query(
+    "q_failures",
+    f"{S_METRICS} select entry_id, field, system, 'phrase' as kind, round(coalesce(coverage, 0), 6) as value from m where not whole union all select entry_id, field, system, 'unordered', round(up, 6) from m where up < 1 union all select entry_id, field, system, 'ordered', round(op, 6) from m where op < 1",
+)
 def failures(spark, sf):
     got = metrics.failures(metrics.field_metrics(_merged(spark, sf), _FIELDS))
     return got.withColumn("value", F.round("value", 6))

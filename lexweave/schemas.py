@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Names and order of the fields of every record.
 PARAGRAPH = "para_id int, text string, text_hash string"
 ENTRY = "entry_id string, entry_text string"
 RULE_RECORD = (
@@ -16,7 +17,7 @@ MODEL_RECORD = f"entry_id string, source_text string, data struct<{MODEL_DATA}>,
 
 CORE_FIELDS = ["entry_id", "source_text", "headword_raw", "headword", "variant_forms_raw", "variant_forms", "pronunciations", "part_of_speech", "definition", "examples", "etymology", "cross_references", "region_mentions", "needs_review"]
 #: Fields compared as text; the rest of COMPARED is compared as lists.
-TEXT_FIELDS = ["headword_raw", "headword", "definition", "etymology"]
+TEXT_FIELDS = ["headword", "headword_raw", "definition", "etymology"]
 LIST_FIELDS = ["variant_forms", "pronunciations", "part_of_speech", "examples", "cross_references", "region_mentions"]
 COMPARED = ["headword_raw", "headword", "variant_forms_raw", "variant_forms", "pronunciations", "part_of_speech", "definition", "examples", "etymology", "cross_references", "region_mentions"]
 # The fields that tell two runs' records apart.

@@ -1,14 +1,14 @@
-"""DOCX data source over zip and XML, one partition per file."""
+"""Paragraphs of DOCX files from any store that Spark reads."""
 
 from __future__ import annotations
 
-import glob
-import os
+import io
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -29,31 +29,16 @@ def paragraph_texts(data) -> Iterator[str]:
         yield "".join(parts)
 
 
-class DocxSource(DataSource):
-    """spark.read.format("docx").load(path): path of a file, folder or pattern that all nodes can open."""
+def read_docx(spark: SparkSession, path: str) -> DataFrame:
+    """path, para_id (from 1, blank paragraphs counted), text of a file, or of the .docx files of a folder or pattern."""
+    reader = spark.read.format("binaryFile")
+    files = (reader if path.endswith(".docx") else reader.option("pathGlobFilter", "*.docx")).load(path).select("path", "content")
 
-    @classmethod
-    def name(cls) -> str:
-        return "docx"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                texts = list(paragraph_texts(io.BytesIO(batch.column("content")[i].as_py())))
+                columns = [pa.array([batch.column("path")[i].as_py()] * len(texts), pa.string()), pa.array(range(1, len(texts) + 1), pa.int32()), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["path", "para_id", "text"])
 
-    def schema(self) -> str:
-        return "path string, para_id int, text string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
-
-    def partitions(self) -> list[InputPartition]:
-        path = self.path.removeprefix("file://")
-        files = sorted(glob.glob(os.path.join(path, "*.docx") if os.path.isdir(path) else path))
-        if not files:
-            raise FileNotFoundError(self.path)
-        return [InputPartition(f) for f in files]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for i, text in enumerate(paragraph_texts(partition.value), 1):
-            yield partition.value, i, text
+    return files.mapInArrow(run, "path string, para_id int, text string")

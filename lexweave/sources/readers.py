@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import hash_text, strip
 from ..schemas import ENTRY
+from .docx import read_docx
 
 
 def split_paragraphs(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -26,10 +27,7 @@ def text_paragraphs(spark: SparkSession, path: str) -> DataFrame:
 
 def docx_paragraphs(spark: SparkSession, path: str) -> DataFrame:
     """Paragraphs of DOCX files: para_id, text, text_hash."""
-    from .docx import DocxSource
-
-    spark.dataSource.register(DocxSource)
-    rows = spark.read.format("docx").load(path)
+    rows = read_docx(spark, path)
     return rows.select("para_id", strip("text").alias("text")).where(F.col("text") != "").withColumn("text_hash", hash_text("text"))
 
 
@@ -38,18 +36,24 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    """entry_id, entry_text from a JSON list, a JSON object from id to text, or JSON lines."""
+def read_entries(spark: SparkSession, path: str, with_place: bool = False) -> DataFrame:
+    """entry_id, entry_text from a JSON list, a JSON object from id to text, or JSON lines.
+
+    `with_place` adds the struct `place`, by which the entries stand in the order of the input.
+    """
     kind = os.path.splitext(path)[1].lower()
     if kind in (".jsonl", ".ndjson"):
-        return read_jsonl(spark, path, ENTRY)
+        lines = read_jsonl(spark, path, ENTRY)
+        place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+        return lines.select("*", place.alias("place")) if with_place else lines
     if kind != ".json":
         raise ValueError(f"unknown kind of input: {kind or path}")
     whole = spark.read.text(path, wholetext=True).select(strip("value").alias("value"))
-    listed = F.explode(F.from_json("value", f"array<struct<{ENTRY.replace(' string', ': string')}>>", {"mode": "FAILFAST"}))
-    rows = whole.where(F.col("value").startswith("[")).select(listed.alias("e")).select("e.*")
-    mapped = F.explode(F.from_json("value", "map<string,string>", {"mode": "FAILFAST"}))
-    return rows.unionByName(whole.where(~F.col("value").startswith("[")).select(mapped.alias("entry_id", "entry_text")))
+    listed = F.posexplode(F.from_json("value", f"array<struct<{ENTRY.replace(' string', ': string')}>>", {"mode": "FAILFAST"}))
+    rows = whole.where(F.col("value").startswith("[")).select(listed.alias("place", "e")).select("e.*", "place")
+    mapped = F.posexplode(F.from_json("value", "map<string,string>", {"mode": "FAILFAST"}))
+    rows = rows.unionByName(whole.where(~F.col("value").startswith("[")).select(mapped.alias("place", "entry_id", "entry_text")))
+    return rows.withColumn("place", F.struct("place")) if with_place else rows.drop("place")
 
 
 def done_ids(spark: SparkSession, path: str) -> DataFrame:

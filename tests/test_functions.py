@@ -4,6 +4,7 @@ import json
 import re
 import unicodedata
 import zipfile
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from lexweave.operators.runs import Registry, compare_runs
 from lexweave.plans import cli
 from lexweave.schemas import MODEL_RECORD, RULE_RECORD
 from lexweave.sources import readers, sinks
+from lexweave.sources.xlsx import workbook
 from lexweave.streaming.extract import extract_stream
 
 ODD = [None, "", "  ", " a  b\u001c", "\u001c", "Straße ﬁne Ⅷ", "‘x’ “y” – —", "a , b ;c /x/ , /y/", "ſt x", "it\u0085is"]
@@ -83,6 +85,15 @@ def test_arrays(spark):
     assert values(spark, A.ensure_list, ["a", " ", None]) == [["a"], [], []]
 
 
+def test_lists_are_normalised_and_folded(spark):
+    df = spark.createDataFrame([(["ﬁne", "Ａ", "x²", None, "fine"],), (["ΑᾼΣ", "Straße", "STRASSE"],), (None,)], "x array<string>")
+    assert [r[0] for r in df.select(A.clean_list("x")).collect()] == [["fine", "A", "x2"], ["ΑᾼΣ", "Straße", "STRASSE"], []]
+    assert [r[0] for r in df.select(A.clean_pos("x")).collect()] == [["fine", "a", "x2"], ["ΑᾼΣ".casefold(), "strasse"], []]
+    assert [r[0] for r in df.select(A.to_text_list("x")).collect()] == [["fine", "a", "x2", "", "fine"][:3] + ["fine"], ["ΑᾼΣ".casefold(), "strasse", "strasse"], []]
+    inline = T.phrase_containment(T.match_text(F.lit("ﬁNE words ᾼ")), F.array(F.lit("Fine"), F.lit("αι")))
+    assert df.select(inline).first()[0] and not df.select(T.phrase_containment(T.match_text(F.lit("x")), "x")).first()[0]
+
+
 def test_merge_keeps_null_keys(spark):
     a = spark.createDataFrame([(1, "t", "h"), (2, "u", "h"), (None, "n", "h")], "entry_id int, source_text string, headword string")
     b = spark.createDataFrame([(1, "T", "h"), (3, "u", "h"), (None, "n", "h")], a.schema)
@@ -113,6 +124,8 @@ def docx(path, paragraphs):
 
 def test_sources(spark, tmp_path):
     docx(tmp_path / "a.docx", ["A", " ", "craic /kræk/ n. fun."])
+    (tmp_path / "other.txt").write_text("no document")
+    assert readers.docx_paragraphs(spark, str(tmp_path)).count() == 2
     assert [(r["para_id"], r["text"]) for r in readers.docx_paragraphs(spark, str(tmp_path / "a.docx")).orderBy("para_id").collect()] == [(1, "A"), (3, "craic /kræk/ n. fun.")]
     forms = {"l.json": json.dumps([{"entry_id": "1", "entry_text": "a"}], indent=1), "m.json": json.dumps({"1": "a"}), "n.jsonl": '{"entry_id": "1", "entry_text": "a"}\n\n'}
     for name, body in forms.items():
@@ -123,13 +136,36 @@ def test_sources(spark, tmp_path):
     (tmp_path / "done.jsonl").write_text('{"entry_id": "4"}\nbroken\n{"entry_id": 4}\n')
     assert [r[0] for r in readers.done_ids(spark, str(tmp_path / "done.jsonl")).collect()] == ["4"]
     assert readers.done_ids(spark, str(tmp_path / "none")).count() == 0 and readers.load_map(None) == {}
-    df = spark.createDataFrame([(float("nan"), ["a"], None)], "x double, y array<string>, z string")
+    df = spark.createDataFrame([(float("nan"), ["a"], None, (float("nan"), 1), {"k": float("nan")})], "x double, y array<string>, z string, s struct<d: double, i: int>, m map<string, double>")
     sinks.write_jsonl(df, str(tmp_path / "out"))
-    assert json.loads(spark.read.text(str(tmp_path / "out")).first()[0]) == {"x": None, "y": ["a"], "z": None}
+    assert json.loads(spark.read.text(str(tmp_path / "out")).first()[0]) == {"x": None, "y": ["a"], "z": None, "s": {"d": None, "i": 1}, "m": {"k": None}}
     sinks.write_csv(df, str(tmp_path / "csv"))
     assert spark.read.csv(str(tmp_path / "csv"), header=True, escape='"').first()["y"] == '["a"]'
 
 
+def test_workbook(spark, tmp_path):
+    df = spark.createDataFrame([(1, float("nan"), ["a"], True, "x < & \x01y"), (2, 1.5, None, None, None)], "i int, d double, l array<string>, b boolean, s string")
+    sinks.write_workbook({"merged": df.orderBy("i"), "a/b" + "c" * 40: df.limit(0)}, str(tmp_path / "b.xlsx"))
+    with zipfile.ZipFile(tmp_path / "b.xlsx") as z:
+        parts = {n: ElementTree.fromstring(z.read(n)) for n in z.namelist()}
+    assert {"[Content_Types].xml", "_rels/.rels", "xl/workbook.xml", "xl/worksheets/sheet1.xml", "xl/worksheets/sheet2.xml"} <= set(parts)
+    assert [s.get("name") for s in parts["xl/workbook.xml"][0]] == ["merged", "a_b" + "c" * 28]
+    cells = [["".join(c.itertext()) for c in row] for row in parts["xl/worksheets/sheet1.xml"][0]]
+    assert cells == [["i", "d", "l", "b", "s"], ["1", "", '["a"]', "1", "x < & y"], ["2", "1.5", "", "", ""]]
+    workbook(str(tmp_path / "c.xlsx"), {"s": (["h"], [[i] for i in range(5)])}, most_rows=3)
+    with zipfile.ZipFile(tmp_path / "c.xlsx") as z:
+        assert [len(ElementTree.fromstring(z.read(f"xl/worksheets/sheet{k}.xml"))[0]) for k in (1, 2, 3)] == [3, 3, 2]
+
+
+def test_batches_follow_the_input(spark, tmp_path):
+    for name, body in {"a.json": json.dumps([{"entry_id": i, "entry_text": "good"} for i in ("b10", "b9", "b1")]), "b.json": json.dumps({i: "good" for i in ("b10", "b9", "b1")}), "c.jsonl": "".join(json.dumps({"entry_id": i, "entry_text": "good"}) + "\n" for i in ("b10", "b9", "b1"))}.items():
+        (tmp_path / name).write_text(body)
+        entries = readers.read_entries(spark, str(tmp_path / name), with_place=True)
+        done = spark.createDataFrame([("b9",)], "entry_id string")
+        assert [r["entry_id"] for r in extract.next_batch(entries, done, 0, 1, "place").collect()] == ["b10"]
+        assert [r["entry_id"] for r in extract.next_batch(entries, done, 0, None).collect()] == ["b1", "b10"]
+
+
 def stub():
     return lambda system, user: '{"headword": "h", "definition": "d", "part_of_speech": "n."}' if "good" in user else "none"
 
