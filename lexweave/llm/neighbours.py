@@ -14,11 +14,11 @@ from .common import written
 from .hilbert import hilbert_keys
 
 #: Curves, projected dimensions, bits of each; rows of a block, and ranks on either side of a query.
-CURVES, DIMS, BITS, BLOCK, REACH = 3, 6, 8, 2048, 512
+CURVES, DIMS, BITS, BLOCK, REACH = 3, 6, 8, 512, 512
 #: Query classes that one completion task takes.
 QUERY_BLOCK = 2048
 #: Queries of one matrix product, and blocks that are scored together.
-SCORE_ROWS, PAGE = 256, 8
+SCORE_ROWS, PAGE = 256, 16
 #: Outlines of blocks that one task compares with a block of queries.
 SHAPE_PAGE = 4096
 
@@ -146,25 +146,31 @@ def _complete(asked: DataFrame, blocked: DataFrame, found: DataFrame, k: int) ->
     q = written(asked.join(kth.withColumnRenamed("query", "cls"), "cls", "left").select(groups.alias("grp"), "cls", "embedding", F.coalesce("kth", F.lit(float("-inf"))).alias("kth")), "completion-queries")
     groups_n, pages_n = max(1, -(-asked.count() // QUERY_BLOCK)), max(1, -(-shapes.count() // SHAPE_PAGE))
     each_page = q.withColumn("page", F.explode(F.sequence(F.lit(0), F.lit(pages_n - 1))))
-    page = F.pmod(F.xxhash64("block"), F.lit(pages_n)).cast("int")
+    page = F.pmod(F.floor(F.col("block") / PAGE), F.lit(pages_n)).cast("int")
     each_group = shapes.withColumn("page", page).withColumn("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups_n - 1).cast("long"))))
 
     def reach(queries: pd.DataFrame, outlines: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"grp": [], "block": [], "cls": [], "embedding": [], "kth": []})]
+        pages: dict[int, tuple[set, set]] = {}
         if len(queries) and len(outlines):
-            x, floor = _matrix(queries["embedding"]), queries["kth"].to_numpy()
+            x, floor, names = _matrix(queries["embedding"]), queries["kth"].to_numpy(), queries["cls"].to_numpy()
             norm = np.linalg.norm(x, axis=1)
             for o in outlines.itertuples():
                 bound = np.minimum(norm * o.longest, x @ np.asarray(o.centre) + norm * o.radius)
-                out.append(queries[bound * (1 + 1e-9) + 1e-12 >= floor].assign(block=o.block)[["grp", "block", "cls", "embedding", "kth"]])
-        return pd.concat(out)
-
+                near = names[bound * (1 + 1e-9) + 1e-12 >= floor]
+                if len(near):
+                    blocks, own = pages.setdefault(int(o.block) // PAGE, (set(), set()))
+                    blocks.add(int(o.block))
+                    own.update(near.tolist())
+        grp = int(queries["grp"].iloc[0]) if len(queries) else 0
+        return pd.DataFrame([(grp, page, sorted(blocks), sorted(own)) for page, (blocks, own) in pages.items()], columns=["grp", "page", "block", "cls"])
+
+    # A row for each group of queries and page: its blocks and queries by name; vectors are joined once a page.
     keys = ["grp", "page"]
-    met = each_page.groupBy(*keys).cogroup(_renewed(each_group, *each_group.columns).groupBy(*keys)).applyInPandas(reach, "grp long, block long, cls long, embedding array<double>, kth double")
+    met = each_page.groupBy(*keys).cogroup(_renewed(each_group, *each_group.columns).groupBy(*keys)).applyInPandas(reach, "grp long, page long, block array<long>, cls array<long>")
     met = written(met, "completion-pairs")
-    met = met.withColumn("page", F.floor(F.col("block") / PAGE))
-    points = _renewed(first.join(met.select("grp", "block", "page").distinct(), "block"), "grp", "page", "cls", "embedding")
-    asks = met.dropDuplicates(["grp", "page", "cls"])
+    wanted = met.select("grp", "page", F.explode("block").alias("block")).distinct()
+    points = _renewed(first.join(wanted, "block"), "grp", "page", "cls", "embedding")
+    asks = met.select("grp", "page", F.explode("cls").alias("cls")).distinct().join(_renewed(q, "grp", "cls", "embedding", "kth"), ["grp", "cls"])
 
     def in_pair(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         return _score(queries, points, k + 1) if len(queries) and len(points) else pd.DataFrame({"query": [], "near": [], "score": []})

@@ -111,6 +111,20 @@ def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> tuple[list[Seque
     return out, [_Pool._piece(x) for t in order for x in pools[t].items]
 
 
+def pack_rest(rest: list[tuple[int, int, int]]) -> list[Sequence]:
+    """The last pieces of a task in full sequences whose lengths are the powers of two of their sum."""
+    total = sum(n for _, _, n in rest)
+    out: list[Sequence] = []
+    for bit in reversed(range(total.bit_length())):
+        if total >> bit & 1:
+            out.append(Sequence(1 << bit))
+            while gap := out[-1].tier - out[-1].used:
+                doc, start, length = rest[0]
+                out[-1].add((doc, start, min(gap, length)))
+                rest = [(doc, start + gap, length - gap), *rest[1:]] if length > gap else rest[1:]
+    return out
+
+
 def step_groups(sequences: list[Sequence], first: int, step_ids: int = STEP_IDS) -> list[int]:
     """A group number per sequence: one tier a group, dealt back and forth by attention cost."""
     groups = [0] * len(sequences)
@@ -129,7 +143,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, separator_id: int = 1,
 
     A document's ids end with `separator_id`. Each input partition is packed in one pass, a
     bounded window of ids at a time, without a shuffle; what fills no sequence waits for the next
-    window, and only a partition's last sequence is padded. step_group numbers groups of
+    window, and a partition's last pieces make sequences of smaller powers of two, so none is padded. step_group numbers groups of
     equal padded size and like attention cost. Sequence numbers hold the partition, so a task
     that runs again gives the same rows. Null or empty text is the separator alone; a null
     id stays null, rows with the same id are packed each for itself, an empty table gives no row.
@@ -148,9 +162,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, separator_id: int = 1,
             nonlocal names, ids, spans, n_seq, n_group, held
             sequences, rest = pack([n for _, n in spans], tiers)
             if last and rest:
-                sequences.append(Sequence(max(tiers)))
-                for piece in rest:
-                    sequences[-1].add(piece)
+                sequences += pack_rest(rest)
             groups = step_groups(sequences, n_group)
             rows: list[list] = [[] for _ in range(10)]
             for s, group in zip(sequences, groups, strict=True):

@@ -1,36 +1,49 @@
-"""Quality by an interpolated modified Kneser-Ney n-gram model of trusted text (operator 7)."""
+"""Quality by an interpolated modified Kneser-Ney n-gram model of trusted text (operator 7).
+
+Symbols are the bytes of UTF-8, so no letters are folded together, and a gram with its language fits one long:
+the language's hash above, the bytes below. The model is a set of tables as large as the grams of the trusted text; it is
+never broadcast. Documents meet it by joins: each chunk of documents asks for its different grams once,
+the answers come back to the chunk, and its documents are scored there.
+"""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, texts_of, written
+from .common import discard, steps, texts_of, written
 
-ORDER = 4
-#: Bits of a symbol; 64 symbols give at most 64^ORDER grams a language, which bounds the model.
-SYMBOL_BITS = 6
+ORDER = 5
+SYMBOL_BITS = 8
+#: A language's hash has the bits above those of the longest gram.
+LANG_SHIFT = 40
 POOL = "*"
+#: Languages with a model of their own, the most frequent ones; there are fewer languages in the world.
+LANGS_MOST = 10_000
+#: Text that a chunk of documents holds, about, and symbols that are coded at a time.
+CHUNK_BYTES = 32 << 20
 _BLOCK = 1 << 20
+#: Grams that a task sums before it passes them on.
+_SUM_MOST = 4 << 20
+#: Bits of the filter by which most documents without trust stay out of the join with the trusted ids.
+FILTER_BITS = 1 << 25
+FILTER_HASHES = 4
+
 
-# Symbol classes of UTF-8 bytes. 0 stands before and after a text.
-_SYMBOL = np.full(256, 63, dtype=np.int64)
-for _i, _c in enumerate(b"abcdefghijklmnopqrstuvwxyz", 1):
-    _SYMBOL[_c] = _i
-_SYMBOL[ord("A") : ord("Z") + 1] = np.arange(26) // 6 + 27
-_SYMBOL[ord("0") : ord("9") + 1] = 32
-for _i, _c in enumerate(b" \n.,;:!?'\"-|#$%&*()/@=", 33):
-    _SYMBOL[_c] = _i
-_SYMBOL[0x80:0xC0] = 55 + (np.arange(0x40) % 4)
-_SYMBOL[0xC0:0x100] = 59 + (np.arange(0x40) >= 4) + (np.arange(0x40) >= 32)
+def lang_key(lang: str) -> int:
+    """23 bits of the language's hash, above the gram's."""
+    return (zlib.crc32(lang.encode("utf-8", "replace")) & ((1 << 23) - 1)) << LANG_SHIFT
 
 
 def symbols(text: str) -> np.ndarray:
-    own = _SYMBOL[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)]
+    """The bytes of a text after ORDER - 1 zeros and before one, which stand for its edges."""
+    own = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
     return np.concatenate([np.zeros(ORDER - 1, np.int64), own, [0]])
 
 
@@ -43,140 +56,298 @@ def gram_codes(s: np.ndarray, order: int = ORDER) -> np.ndarray:
     return code
 
 
-def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, code, n) of all grams of the highest order, summed in each task before the shuffle.
+def text_codes(text: str) -> Iterator[np.ndarray]:
+    """Codes of the grams of a whole text, in blocks."""
+    s = symbols(text)
+    for at in range(0, len(s) - ORDER + 1, _BLOCK):
+        yield gram_codes(s[at : at + _BLOCK + ORDER - 1])
 
-    Every language's grams also count for the pool of all languages, from the same sums.
-    """
+
+def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, key, n) of all grams of the highest order, summed in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        held: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        size = 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            keys, at = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_inverse=True)
+            return keys, np.bincount(at, np.concatenate([np.zeros(0, np.int64), *counts]), len(keys)).astype(np.int64)
+
+        def rows(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(keys), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 16)]), pa.array(n[at : at + (1 << 16)])], names=["key", "n"])
+
         for batch in steps(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), texts_of(batch, "text"), strict=True):
-                if lang not in sums and len(sums) < 4:
-                    sums[lang] = np.zeros(1 << (SYMBOL_BITS * ORDER), dtype=np.uint32)
-                code, n = np.unique(gram_codes(symbols(text)), return_counts=True)
-                if lang in sums:
-                    sums[lang][code] += n.astype(np.uint32)
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(n, pa.int64())], names=["lang", "code", "n"])
-        for lang, total in sums.items():
-            code = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code, pa.int64()), pa.array(total[code], pa.int64())], names=["lang", "code", "n"])
+                for codes in text_codes(text):
+                    keys, n = np.unique(codes, return_counts=True)
+                    held.append(keys | lang_key(lang))
+                    counts.append(n)
+                    size += len(keys)
+                if size > _SUM_MOST:
+                    keys, n = summed()
+                    if len(keys) > _SUM_MOST // 2:
+                        yield from rows(keys, n)
+                        keys, n = keys[:0], n[:0]
+                    held, counts, size = [keys], [n], len(keys)
+        yield from rows(*summed())
 
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit(POOL)).alias("lang"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    own = rows.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    own = written(own, "grams")
-    return own.where(F.col("lang") != POOL).unionByName(own.groupBy("code").agg(F.sum("n").alias("n")).select(F.lit(POOL).alias("lang"), "code", "n"))
+    return rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _low(key: Column, size: int) -> Column:
+    """The gram of `size` symbols that ends a longer one, with the language."""
+    return key.bitwiseAND(F.lit(-(1 << LANG_SHIFT) | ((1 << (SYMBOL_BITS * size)) - 1)))
+
 
+def _context(key: Column) -> Column:
+    """All symbols of a gram but the last, with the language."""
+    lang = key.bitwiseAND(F.lit(-(1 << LANG_SHIFT)))
+    return lang.bitwiseOR(F.shiftright(key.bitwiseAND(F.lit((1 << LANG_SHIFT) - 1)), SYMBOL_BITS))
 
-def kneser_ney(grams: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, size, code, ctx, logp, backoff): interpolated log probability of each gram in its context.
+
+def kneser_ney(grams: DataFrame, order: int = ORDER) -> dict[int, DataFrame]:
+    """For each size the table (key, p, ctx, gamma): interpolated probability of each gram in its context.
 
     Counts of a lower order are the numbers of different symbols before the gram. Each order
     has three discounts a language from its counts of counts (Chen and Goodman, 1999). An order's
-    table joins its context sums, then the table of the order below, all dealt by hash of the code.
-    size is the length of the gram, backoff the weight that its context leaves to shorter ones.
+    table joins its context sums, then the table of the order below, all dealt by hash of the gram.
+    gamma is the weight that a context leaves to shorter ones.
     """
-    tables = {order: grams.select("lang", "code", "n")}
+    counted = {order: written(grams.select("key", "n"), f"grams-{order}")}
     for k in range(order - 1, 0, -1):
-        low = F.col("code").bitwiseAND(F.lit((1 << (SYMBOL_BITS * k)) - 1))
-        tables[k] = tables[k + 1].groupBy("lang", low.alias("code")).agg(F.count("*").alias("n"))
-    below = None
-    out = None
+        counted[k] = written(counted[k + 1].groupBy(_low(F.col("key"), k).alias("key")).agg(F.count("*").alias("n")), f"grams-{k}")
+    lang = F.shiftright("key", LANG_SHIFT).alias("lang")
+    out: dict[int, DataFrame] = {}
     for k in range(1, order + 1):
-        t = tables[k]
-        c = [F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
-        d = t.groupBy("lang").agg(*c)
+        t = counted[k].select(lang, "key", "n", _context(F.col("key")).alias("ctx"))
+        d = t.groupBy("lang").agg(*[F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)])
         y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
         raw = [i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")) for i in (1, 2, 3)]
         d = d.select("lang", *[F.greatest(F.lit(0.05), F.least(F.lit(i * 0.95), F.coalesce(r, F.lit(i * 0.5)))).alias(f"d{i}") for i, r in enumerate(raw, 1)])
-        t = t.join(d, "lang").withColumn("ctx", F.shiftright("code", SYMBOL_BITS))
+        # One row a language, at most LANGS_MOST of them and the pool.
         off = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        sums = t.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.sum(off).alias("mass"))
-        t = t.join(sums, ["lang", "ctx"])
-        own = (F.col("n") - off) / F.col("total")
-        gamma = F.col("mass") / F.col("total")
-        if below is None:
-            t = t.select("lang", "code", "ctx", (own + gamma / (1 << SYMBOL_BITS)).alias("p"), gamma.alias("gamma"))
+        t = t.join(F.broadcast(d), "lang").select("key", "n", "ctx", off.alias("off"))
+        sums = t.groupBy("ctx").agg(F.sum("n").alias("total"), F.sum("off").alias("mass"))
+        own, gamma = (F.col("n") - F.col("off")) / F.col("total"), F.col("mass") / F.col("total")
+        t = t.join(sums.hint("merge"), "ctx").select("key", "ctx", own.alias("own"), gamma.alias("gamma"))
+        if k == 1:
+            t = t.select("key", (F.col("own") + F.col("gamma") / (1 << SYMBOL_BITS)).alias("p"), "ctx", "gamma")
         else:
-            t = t.withColumn("low", F.col("code").bitwiseAND(F.lit((1 << (SYMBOL_BITS * (k - 1))) - 1))).join(below.select("lang", F.col("code").alias("low"), F.col("p").alias("q")), ["lang", "low"])
-            t = t.select("lang", "code", "ctx", (own + gamma * F.col("q")).alias("p"), gamma.alias("gamma"))
-        below = written(t, f"kneser-ney-{k}")
-        part = below.select("lang", F.lit(k).alias("size"), "code", "ctx", F.log("p").alias("logp"), F.log("gamma").alias("backoff"))
-        out = part if out is None else out.unionByName(part)
+            low = out[k - 1].select(F.col("key").alias("low"), F.col("p").alias("q"))
+            t = t.withColumn("low", _low(F.col("key"), k - 1)).join(low.hint("merge"), "low").select("key", (F.col("own") + F.col("gamma") * F.col("q")).alias("p"), "ctx", "gamma")
+        out[k] = written(t, f"kneser-ney-{k}")
+    for table in counted.values():
+        discard(table)
     return out
 
 
-class GramTable:
-    """log P of every gram of the highest order, worked out for one language into a dense array."""
-
-    def __init__(self, sizes: np.ndarray, codes: np.ndarray, contexts: np.ndarray, logp: np.ndarray, backoff: np.ndarray, order: int = ORDER):
-        table = np.full(1 << SYMBOL_BITS, -SYMBOL_BITS * np.log(2), dtype=np.float32)
-        for k in range(1, order + 1):
-            on = sizes == k
-            gamma = np.zeros(1 << (SYMBOL_BITS * (k - 1)), dtype=np.float32)
-            gamma[contexts[on]] = backoff[on]
-            if k > 1:
-                # Contexts repeat in front of the lower order's table.
-                table = (np.broadcast_to(table.reshape(1, -1), (1 << SYMBOL_BITS, len(table))).reshape(-1, 1 << SYMBOL_BITS) + gamma[:, None]).astype(np.float32).ravel()
-            else:
-                table = table + gamma[0]
-            table[codes[on]] = logp[on]
-        self.table = table
-
-    def score(self, text: str) -> tuple[float, int]:
-        """Sum of log P and number of symbols of a whole text."""
-        s = symbols(text)
-        total, n = 0.0, len(s) - ORDER + 1
-        for at in range(0, n, _BLOCK):
-            total += float(self.table[gram_codes(s[at : at + _BLOCK + ORDER - 1])].sum(dtype=np.float64))
-        return total, n
+def gram_scores(keys: DataFrame, model: dict[int, DataFrame], order: int = ORDER) -> DataFrame:
+    """(key, logp) for the different grams `key`: of a gram that the model lacks, by its context's weight and the next shorter gram."""
+    seen = keys.join(model[order].select("key", "p").hint("merge"), "key", "left")
+    seen = written(seen, f"asked-{order}")
+    weights = model[order].select("ctx", "gamma").distinct()
+    gone = seen.where(F.col("p").isNull()).select("key", _context(F.col("key")).alias("ctx"), _low(F.col("key"), order - 1).alias("low"))
+    gone = gone.join(weights.hint("merge"), "ctx", "left").select("key", "low", F.coalesce(F.log("gamma"), F.lit(0.0)).alias("more"))
+    if order == 1:
+        rest = gone.select("key", (F.col("more") - F.log(F.lit(float(1 << SYMBOL_BITS)))).alias("logp"))
+    else:
+        below = gram_scores(gone.select(F.col("low").alias("key")).distinct(), model, order - 1)
+        rest = gone.join(below.select(F.col("key").alias("low"), "logp").hint("merge"), "low").select("key", (F.col("more") + F.col("logp")).alias("logp"))
+    out = written(seen.where(F.col("p").isNotNull()).select("key", F.log("p").alias("logp")).unionByName(rest), f"scores-{order}")
+    discard(seen)
+    return out
 
 
-def score_quality(docs: DataFrame, trusted: DataFrame, low: float = 0.005, high: float = 0.995, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity, low, high, keep for every whole text.
+def _slots(c: Column) -> list[Column]:
+    return [F.pmod(F.xxhash64(c, F.lit(i)), F.lit(FILTER_BITS)) for i in range(FILTER_HASHES)]
+
+
+def trusted_documents(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """doc_id, lang and text of the documents whose id is in `ids`.
+
+    A filter of FILTER_BITS bits, built by sums and broadcast, keeps out most others before their texts, deflated, are
+    dealt by id; the join with the ids themselves decides.
+    """
+    own = ids.select(F.col(id_col).cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull()).distinct()
+    slot = F.explode(F.array(*_slots(F.col("doc_id"))))
+    words = own.select(slot.alias("slot")).groupBy(F.shiftright("slot", 5).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(31)).cast("int"))).alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS >> 5, dtype=np.uint32)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in steps(batches, 4096):
+            keep = np.ones(batch.num_rows, dtype=bool)
+            for i in range(FILTER_HASHES):
+                at = batch.column(f"h{i}").to_numpy()
+                keep &= (table[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) > 0
+            for part in steps(iter([batch.filter(pa.array(keep))])):
+                packed = [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in texts_of(part, "text")]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(packed, pa.binary())], names=["doc_id", "lang", "text"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            texts = [zlib.decompress(x).decode("utf-8", "surrogatepass") for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(texts, pa.string())], names=["doc_id", "lang", "text"])
+
+    key = F.col(id_col).cast("long")
+    rows = docs.where(key.isNotNull() & F.col(text_col).isNotNull()).select(key.alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), *[h.alias(f"h{i}") for i, h in enumerate(_slots(key))])
+    picked = rows.mapInArrow(pick, "doc_id long, lang string, text binary")
+    return picked.join(own.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(unpack, "doc_id long, lang string, text string")
 
-    The model is trained on all of `trusted` (columns as in `docs`), per language and pooled for
-    languages without trusted text. keep is true where the perplexity lies between the language's
-    quantiles, taken over the trusted documents. The model has at most 64^ORDER grams a language however large the
-    corpus, which bounds what is broadcast; it travels language by language. Null text is empty and
-    is not kept; null lang goes by the pool; without trusted text perplexity is null and all is kept.
+
+def _sorted_grams(texts: Iterator[tuple[int, str]]) -> np.ndarray:
+    """The different grams of (language key, text), in order."""
+    keys, held, size = np.zeros(0, np.int64), [], 0
+    for lang, text in texts:
+        for codes in text_codes(text) if text else ():
+            held.append(codes | lang)
+            size += len(codes)
+            if size > _SUM_MOST:
+                keys, held, size = _different([keys, *held]), [], 0
+    return _different([keys, *held])
+
+
+def _different(held: list[np.ndarray]) -> np.ndarray:
+    keys = np.sort(np.concatenate(held))
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
+def perplexities(docs: DataFrame, model: dict[int, DataFrame], langs: set[str], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """doc_id, lang, n_symbols, perplexity of every whole text; languages outside `langs` go by the pool.
+
+    First every task gives its different grams, whose scores come from joins with the model's tables. Then the
+    documents of a task are packed into chunks of about CHUNK_BYTES. Chunks are dealt once and used
+    twice: to ask for the scores of their grams, and, with the answers, to score their documents.
     """
     spark = docs.sparkSession
-    model = kneser_ney(count_grams(trusted, text_col, lang_col))
-    tables = {}
-    for lang in sorted(r[0] for r in model.select("lang").distinct().collect()):
-        frame = model.where(F.col("lang") == lang).drop("lang").toPandas()
-        kinds = {"size": np.int8, "code": np.int32, "ctx": np.int32, "logp": np.float32, "backoff": np.float32}
-        tables[lang] = spark.sparkContext.broadcast([frame[c].to_numpy(dtype=k) for c, k in kinds.items()])
+    known, trained = spark.sparkContext.broadcast(frozenset(langs)), bool(model)
+
+    def keyed(batch: pa.RecordBatch) -> Iterator[tuple[int, str]]:
+        for lang, text in zip(batch.column("lang").to_pylist(), texts_of(batch, "text"), strict=True):
+            yield lang_key(lang if lang in known.value else POOL), text
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in steps(batches, 4096):
+            held.append(_sorted_grams(keyed(batch)))
+            size += len(held[-1])
+            if size > _SUM_MOST:
+                held, size = [_different(held)], 0
+                if len(held[0]) > _SUM_MOST // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(held.pop())], names=["key"])
+                size = sum(map(len, held))
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(_different(held))], names=["key"])
+
+    def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size, n, part = 0, 0, TaskContext.get().partitionId()
+
+        def close() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+                out.write_table(pa.Table.from_batches(held).combine_chunks())
+            return pa.RecordBatch.from_arrays([pa.array([part << 24 | n], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "body"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, GramTable] = {}
         for batch in steps(batches):
-            rows = []
-            for name, lang, trust, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "trust", "text")), strict=True):
-                use = lang if lang in tables else POOL
-                value, n = None, len((text or "").encode("utf-8", "replace"))
-                if use in tables and n:
-                    if use not in held:
-                        if len(held) >= 5:
-                            held.clear()
-                        held[use] = GramTable(*tables[use].value)
-                    total, count = held[use].score(text)
-                    value = float(np.exp(-total / count))
-                rows.append((name, lang, trust, n, value))
-            kinds = [("doc_id", pa.int64()), ("lang", pa.string()), ("trust", pa.bool_()), ("n_symbols", pa.int64()), ("perplexity", pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], names=[k for k, _ in kinds])
-
-    sure = trusted.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(True).alias("trust")).distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.lit(False).alias("trust"), F.col(text_col).alias("text"))
-    scored = written(rows.mapInArrow(run, "doc_id long, lang string, trust boolean, n_symbols long, perplexity double").drop("trust").join(sure, "doc_id", "left"), "perplexity")
+            held.append(batch)
+            size += batch.column("text").nbytes
+            if size >= CHUNK_BYTES:
+                yield close()
+                held, size, n = [], 0, n + 1
+        if held:
+            yield close()
+
+    def opened(body: bytes) -> Iterator[pa.RecordBatch]:
+        return steps(iter(pa.ipc.open_stream(body)))
+
+    def asked(body: bytes) -> np.ndarray:
+        return _sorted_grams(x for batch in opened(body) for x in keyed(batch))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, 1):
+            block, keys = batch.column("block")[0].as_py(), asked(batch.column("body")[0].as_py())
+            for at in range(0, len(keys), 1 << 16):
+                own = keys[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block)), pa.array(np.arange(at, at + len(own), dtype=np.int32)), pa.array(own)], names=["block", "i", "key"])
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        logp = np.zeros(right.num_rows)
+        logp[right.column("i").to_numpy()] = right.column("logp").to_numpy()
+        out: dict[str, list] = {"doc_id": [], "lang": [], "n_symbols": [], "perplexity": []}
+        for body in left.column("body").to_pylist():
+            keys = asked(body) if trained else np.zeros(0, np.int64)
+            if len(keys) != len(logp):
+                raise ValueError("the answers are not those to the chunk's own grams")
+            for batch in opened(body):
+                out["doc_id"] += batch.column("doc_id").to_pylist()
+                out["lang"] += batch.column("lang").to_pylist()
+                for key, text in keyed(batch):
+                    total, n = 0.0, 0
+                    for codes in text_codes(text) if text and trained else ():
+                        total += float(logp[np.searchsorted(keys, codes | key)].sum())
+                        n += len(codes)
+                    out["n_symbols"].append(len(text.encode("utf-8", "replace")))
+                    out["perplexity"].append(float(np.exp(-total / n)) if n else None)
+        kinds = [("doc_id", pa.int64()), ("lang", pa.string()), ("n_symbols", pa.int64()), ("perplexity", pa.float64())]
+        return pa.table({name: pa.array(out[name], kind) for name, kind in kinds})
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    dealt = rows.mapInArrow(chunk, "block long, body binary").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
+    if trained:
+        scores = gram_scores(rows.select("lang", "text").mapInArrow(grams, "key long").distinct(), model)
+        asks = dealt.mapInArrow(ask, "block long, i int, key long")
+        answers = asks.join(scores.hint("merge"), "key").select("block", "i", F.col("logp").cast("float").alias("logp"))
+    else:
+        answers = spark.createDataFrame([], "block long, i int, logp float")
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, lang string, n_symbols long, perplexity double")
+
+
+def held_out(id_col: str) -> Column:
+    """True for the fifth of the ids on which thresholds are set; the model is trained on the rest."""
+    return F.crc32(F.col(id_col).cast("string")) % 5 == 0
+
+
+def score_quality(docs: DataFrame, trusted: DataFrame, low: float = 0.005, high: float = 0.995, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """doc_id, lang, n_symbols, perplexity, low, high, keep for every whole text.
+
+    The model is trained on the documents whose id is in `trusted`, but for the fifth of held_out(); per language, and
+    pooled for documents whose language has no trusted text (or comes after the LANGS_MOST most frequent). keep is true
+    where the perplexity lies between the language's quantiles over the held-out trusted documents; a language without
+    them goes by those of all languages. Null text is empty and
+    is not kept; null lang goes by the pool; without trusted text perplexity is null and all is kept. Rows with
+    the same id are scored each for itself, an empty table gives no row, other columns are not read.
+    """
+    fit = trusted_documents(docs, trusted.where(~held_out(id_col)), id_col, text_col, lang_col)
+    common = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang")).join(trusted.where(~held_out(id_col)).select(F.col(id_col).cast("long").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+    langs = {r["lang"] for r in common.where(F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS_MOST).collect()}
+    counted = written(count_grams(fit), "grams")
+    model: dict[int, DataFrame] = {}
+    if not counted.isEmpty():
+        mapped = F.coalesce(F.col(lang_col).isin(sorted(langs)), F.lit(False))
+        own = F.shiftright("key", LANG_SHIFT).isin(sorted(lang_key(x) >> LANG_SHIFT for x in langs))
+        grams = counted.where(own)
+        if not docs.where(~mapped).isEmpty():
+            pool = F.col("key").bitwiseAND(F.lit((1 << LANG_SHIFT) - 1)).bitwiseOR(F.lit(lang_key(POOL)))
+            grams = grams.unionByName(counted.groupBy(pool.alias("key")).agg(F.sum("n").alias("n")))
+        model = kneser_ney(grams)
+    scored = written(perplexities(docs, model, langs, id_col, text_col, lang_col), "perplexity")
+    discard(counted)
+    sure = trusted.where(held_out(id_col)).select(F.col(id_col).cast("long").alias("doc_id")).distinct()
+    checked = scored.where(held_out("doc_id")).join(sure.hint("shuffle_hash"), "doc_id", "left_semi")
     edges = F.percentile_approx("perplexity", [low, high], 10_000)
-    cuts = scored.where("trust").groupBy("lang").agg(edges.alias("e"))
-    pool = scored.where("trust").agg(edges.alias("e")).first()["e"] or [None, None]
-    cuts = cuts.select(F.col("lang").alias("cut_lang"), F.col("e")[0].alias("low"), F.col("e")[1].alias("high"))
-    out = scored.join(cuts, F.col("lang").eqNullSafe(F.col("cut_lang")), "left").drop("cut_lang", "trust")
+    pool = checked.agg(edges.alias("e")).first()["e"] or [None, None]
+    # One row a language of `langs`.
+    cuts = checked.where(F.col("lang").isin(sorted(langs))).groupBy(F.col("lang").alias("cut_lang")).agg(edges.alias("e"))
+    cuts = cuts.select("cut_lang", F.col("e")[0].alias("low"), F.col("e")[1].alias("high"))
+    out = scored.join(F.broadcast(cuts), F.col("lang") == F.col("cut_lang"), "left").drop("cut_lang")
     out = out.withColumn("low", F.coalesce("low", F.lit(pool[0]).cast("double"))).withColumn("high", F.coalesce("high", F.lit(pool[1]).cast("double")))
     keep = (F.col("n_symbols") > 0) & F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(True))
     return out.withColumn("keep", keep)

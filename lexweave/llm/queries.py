@@ -49,10 +49,8 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    # Labels grow with the corpus, so they are dealt like the documents at every size.
-    good = table(spark, sf_dir, "labels").where(F.col("quality") == 1).select("doc_id").distinct().hint("shuffle_hash")
-    return score_quality(docs, docs.join(good, "doc_id", "left_semi"))
+    good = table(spark, sf_dir, "labels").where(F.col("quality") == 1).select("doc_id")
+    return score_quality(table(spark, sf_dir, "documents"), good)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

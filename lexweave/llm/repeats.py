@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, steps, written
@@ -18,8 +19,12 @@ from .run_index import RunIndex
 ANCHOR = 48
 #: Bytes of contexts that one index takes, about.
 INDEX_BYTES = 4 << 20
-#: Different contexts of one anchor that meet in an index; more go by counted windows.
+#: Different contexts of one anchor that meet in an index; of a fuller anchor some are indexed and the others streamed.
 GROUP_MOST = 1500
+#: Contexts of a fuller anchor that are indexed, about, and that are streamed in one block.
+INDEXED, STREAMED = 256, 4096
+#: Parts into which the different contexts of an anchor are dealt in joins.
+SALTS = 64
 #: Window starts that share one core in the count of fuller anchors.
 PIECE = 32
 _SEGMENT = 1 << 19
@@ -96,6 +101,7 @@ def _sorted_spans(batch: pa.RecordBatch) -> list[list[tuple[int, int]]]:
 
 
 SPANS = "spans array<struct<start: int, end: int>>"
+_OPEN = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())]))
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
@@ -106,7 +112,9 @@ def remove_repeats(docs: DataFrame, window: int = 400, with_text: bool = True, i
        its windows; only its hashes are dealt, and anchors seen once end there.
     2. A context that occurs twice is repeated as a whole. Contexts that share an anchor but
        differ meet in a RunIndex, many anchors in one, which gives all their long matches.
-    3. An anchor with more than GROUP_MOST different contexts is not gathered: windows are counted,
+    3. An anchor with more than GROUP_MOST different contexts is not gathered: about INDEXED of them make a
+       RunIndex, through which the others stream in blocks. Windows whose matching statistic is long enough are
+       repeated, here and in the index. The other windows can only be repeated among the streamed: they are counted,
        first PIECE at a time by the bytes that they have in common, then singly where
        that core occurs twice.
     4. The spans go back to the documents, in one join on (id, hash of the text).
@@ -131,17 +139,19 @@ def remove_repeats(docs: DataFrame, window: int = 400, with_text: bool = True, i
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=["anchor", "context", "key", "mark", "start", "n", "lead"])
 
     places = written(rows.where(F.octet_length("text") >= window).mapInArrow(find, "anchor long, context long, key long, mark long, start int, n int, lead int"), "anchors")
-    again = places.groupBy("anchor").agg(F.count("*").alias("times"), (F.min("context") != F.max("context")).alias("mixed")).where(F.col("times") > 1)
-    repeated = written(places.join(again.select("anchor", "mixed"), "anchor"), "repeated-anchors")
+    salt = F.pmod("context", F.lit(SALTS)).alias("salt")
+    parts = places.groupBy("anchor", salt).agg(F.count("*").alias("times"), F.min("context").alias("least"), F.max("context").alias("most"))
+    again = _of_all_parts(parts, F.sum("times").alias("times"), (F.min("least") != F.max("most")).alias("mixed")).where(F.col("times") > 1)
+    repeated = written(places.withColumn("salt", salt).join(again.select("anchor", "salt", "mixed").hint("merge"), ["anchor", "salt"]), "repeated-anchors")
     discard(places)
     source = F.struct("key", "mark", "start", "n", "lead")
-    contexts = repeated.groupBy("anchor", "context").agg(F.count("*").alias("times"), F.first("mixed").alias("mixed"), F.min(source).alias("at"))
+    contexts = repeated.groupBy("anchor", "salt", "context").agg(F.count("*").alias("times"), F.first("mixed").alias("mixed"), F.min(source).alias("at"))
     contexts = written(contexts, "contexts")
     whole = contexts.where(F.col("times") > 1).select("anchor", "context", F.array(F.struct(F.lit(0).alias("start"), (F.col("at.n") + window - 1).cast("int").alias("end"))).alias("spans"))
 
     mixed = contexts.where("mixed")
-    fuller = mixed.groupBy("anchor").agg(F.count("*").alias("many"))
-    asked = mixed.join(fuller, "anchor").select("anchor", "context", "times", "many", F.col("at.key").alias("key"), F.col("at.mark").alias("mark"), F.col("at.start").alias("start"), F.col("at.n").alias("n"), F.col("at.lead").cast("long").alias("lead"))
+    fuller = _of_all_parts(mixed.groupBy("anchor", "salt").agg(F.count("*").alias("many")), F.sum("many").alias("many"))
+    asked = mixed.join(fuller.hint("merge"), ["anchor", "salt"]).select("anchor", "context", "times", "many", F.col("at.key").alias("key"), F.col("at.mark").alias("mark"), F.col("at.start").alias("start"), F.col("at.n").alias("n"), F.col("at.lead").cast("long").alias("lead"))
     wanted = asked.groupBy("key", "mark").agg(F.collect_list(F.struct("anchor", "context", "many", "lead", "start", "n")).alias("asked"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,10 +187,11 @@ def remove_repeats(docs: DataFrame, window: int = 400, with_text: bool = True, i
 
     calm = bodies.where((F.col("many") <= GROUP_MOST)).select("anchor", "context", "body").repartition(max(1, -(-total // INDEX_BYTES)), "anchor")
     indexed = calm.mapInArrow(match, f"anchor long, context long, {SPANS}")
-    full = bodies.where(F.col("many") > GROUP_MOST)
-    spans = whole.unionByName(indexed).unionByName(_counted(full, window))
+    streamed = written(_streamed(bodies.where(F.col("many") > GROUP_MOST), window), "streamed-contexts")
+    left = streamed.where(F.size("open") > 0).join(bodies.select("anchor", "context", "lead", "body").hint("merge"), ["anchor", "context"])
+    spans = whole.unionByName(indexed).unionByName(streamed.where(F.size("spans") > 0).select("anchor", "context", "spans")).unionByName(_counted(left, window))
 
-    own = repeated.join(spans, ["anchor", "context"]).select("key", "mark", "start", F.explode("spans").alias("s"))
+    own = repeated.join(spans.hint("merge"), ["anchor", "context"]).select("key", "mark", "start", F.explode("spans").alias("s"))
     own = own.select("key", "mark", F.struct((F.col("start") + F.col("s.start")).alias("start"), (F.col("start") + F.col("s.end")).alias("end")).alias("s")).distinct()
     listed = written(own.groupBy("key", "mark").agg(F.collect_list("s").alias("spans")), "removed-spans")
 
@@ -198,8 +209,64 @@ def remove_repeats(docs: DataFrame, window: int = 400, with_text: bool = True, i
     return joined.mapInArrow(strip, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, {SPANS}, kept binary")
 
 
+def _of_all_parts(parts: DataFrame, *sums: Column) -> DataFrame:
+    """`sums` over all parts of an anchor for each of its parts, so that an anchor's rows stay dealt."""
+    return parts.select("anchor", "salt").join(parts.groupBy("anchor").agg(*sums).hint("merge"), "anchor")
+
+
+def _ranges(mask: np.ndarray) -> list[tuple[int, int]]:
+    """First place and length of each run of true values."""
+    turns = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
+    return [(int(a), int(b - a)) for a, b in zip(turns[::2], turns[1::2], strict=True)]
+
+
+def _streamed(bodies: DataFrame, window: int) -> DataFrame:
+    """anchor, context, spans that match the anchor's index, and `open`: starts of windows that do not."""
+    blocks = F.ceil(F.col("many") / STREAMED)
+    held = F.pmod(F.xxhash64("context"), F.col("many")) < INDEXED
+    columns = ["anchor", "context", "body"]
+    index = bodies.where(held).select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.lit(False).alias("asks"))
+    others = bodies.where(~held).select(*columns, F.pmod(F.xxhash64("context", F.lit(7)), blocks).alias("block"), F.lit(True).alias("asks"))
+    dealt = index.unionByName(others).repartition("anchor", "block").sortWithinPartitions("anchor", "block", "asks", "context")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(batch.column(c).to_pylist() for c in ("anchor", "block", "asks", "context", "body")), strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (anchor, block), group in groupby(rows(batches), key=lambda r: r[:2]):
+            own = list(group)
+            kept, others = [r for r in own if not r[2]], [r for r in own if r[2]]
+            found: dict[int, list[tuple[int, int]]] = {r[3]: [] for r in own}
+            free: dict[int, list[tuple[int, int]]] = {r[3]: [(0, len(r[4]) - window + 1)] for r in others}
+            if kept:
+                index = RunIndex([r[4] for r in kept], stream=True)
+                marks = [index.long_matches(window)] if block == 0 else []
+                for r, (length, place) in zip(others, index.matching_statistics([r[4] for r in others]), strict=True):
+                    long = length >= window
+                    found[r[3]] = _merged([(int(i), int(i + length[i])) for i in np.flatnonzero(long)])
+                    free[r[3]] = _ranges(~long[: len(length) - window + 1])
+                    # The longest of each run of overlapping matches stands for those inside it.
+                    first = np.flatnonzero(long & ~np.concatenate([[False], long[:-1] & (place[1:] == place[:-1] + 1)]))
+                    marks.append((place[first].astype(np.int64), length[first].astype(np.int64)))
+                at, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*marks, strict=True)) if marks else (np.zeros(0, np.int64),) * 2
+                string, offset = index.where(at)
+                for s, o, k in zip(string.tolist(), offset.tolist(), n.tolist(), strict=True):
+                    found[kept[s][3]].append((o, o + k))
+            out = [(name, _merged(spans), free.get(name, [])) for name, spans in found.items() if spans or free.get(name)]
+            yield _batch({"anchor": ([anchor] * len(out), pa.int64()), "context": ([x[0] for x in out], pa.int64()), "spans": ([[{"start": a, "end": b} for a, b in x[1]] for x in out], _SPAN), "open": ([[{"start": a, "n": n} for a, n in x[2]] for x in out], _OPEN)})
+
+    return dealt.mapInArrow(run, f"anchor long, context long, {SPANS}, open array<struct<start: int, n: int>>")
+
+
 def _counted(bodies: DataFrame, window: int) -> DataFrame:
-    """Repeated windows among contexts of which one anchor has very many, by counting hashes."""
+    """Repeated windows among the `open` ones of contexts of which one anchor has very many, by counting hashes."""
+
+    def open_windows(ranges: list[dict], count: int) -> np.ndarray:
+        mask = np.zeros(count, dtype=bool)
+        for x in ranges:
+            mask[x["start"] : x["start"] + x["n"]] = True
+        return mask
 
     def digests(body: bytes, starts: list[int], size: int) -> tuple[list[int], list[int]]:
         both = [xxhash.xxh3_128_intdigest(body[a : a + size]) for a in starts]
@@ -208,9 +275,12 @@ def _counted(bodies: DataFrame, window: int) -> DataFrame:
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, 1024):
             out = {c: ([], pa.int64()) for c in ("anchor", "context", "h1", "h2")} | {c: ([], pa.int32()) for c in ("start", "n")}
-            for a, c, lead, body in zip(*(batch.column(x).to_pylist() for x in ("anchor", "context", "lead", "body")), strict=True):
+            for a, c, lead, body, ranges in zip(*(batch.column(x).to_pylist() for x in ("anchor", "context", "lead", "body", "open")), strict=True):
                 count = len(body) - window + 1
+                mask = open_windows(ranges, count)
                 for s in range(lead % PIECE - PIECE if lead % PIECE else 0, count, PIECE):  # told off from the anchor
+                    if not mask[max(s, 0) : s + PIECE].any():
+                        continue
                     h1, h2 = digests(body, [s + PIECE - 1], window - PIECE + 1)
                     first = max(s, 0)
                     for k, v in (("anchor", a), ("context", c), ("h1", h1[0]), ("h2", h2[0]), ("start", first), ("n", min(s + PIECE, count) - first)):
@@ -224,8 +294,9 @@ def _counted(bodies: DataFrame, window: int) -> DataFrame:
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, 256):
             out = {c: ([], pa.int64()) for c in ("anchor", "context", "h1", "h2")} | {"start": ([], pa.int32())}
-            for a, c, body, own in zip(*(batch.column(x).to_pylist() for x in ("anchor", "context", "body", "pieces")), strict=True):
-                starts = [s for x in own for s in range(x["start"], x["start"] + x["n"])]
+            for a, c, body, ranges, own in zip(*(batch.column(x).to_pylist() for x in ("anchor", "context", "body", "open", "pieces")), strict=True):
+                mask = open_windows(ranges, len(body) - window + 1)
+                starts = [s for x in own for s in range(x["start"], x["start"] + x["n"]) if mask[s]]
                 h1, h2 = digests(body, starts, window)
                 for k, v in (("anchor", [a] * len(starts)), ("context", [c] * len(starts)), ("h1", h1), ("h2", h2), ("start", starts)):
                     out[k][0].extend(v)

@@ -29,6 +29,8 @@ CONTEXT = re.compile(rf"""{_NAMES}["']?\x20*[:=]\x20*(?!["']?{_NAMES}["']?\x20*[
 CONTEXT_HINTS = ("pass", "pwd", "credential", "auth", "bearer", "key", "secret", "token", "pin", "kennwort", "contraseña")
 #: log10 of guesses from which a value counts as a secret.
 MIN_COST = 10.0
+#: log10 of guesses that a further part adds.
+JOIN = 0.3
 
 # Common parts of passwords by rank, and rows of keyboards.
 COMMON = "password qwerty dragon monkey letmein login welcome admin master hello football baseball shadow sunshine princess secret iloveyou trustno abc love user root test guest default changeme example none null true false your here placeholder string value name the and for with this that have from".split()
@@ -37,6 +39,8 @@ RANKS = {word: rank for rank, word in enumerate(COMMON, 1)}
 WORD = re.compile(r"(?<!\w)[^\W\d_]{2,}+(?!\w)")
 WORD_MOST = 32
 _FLUSH = 500_000
+#: Words of a guesser's dictionary, the most frequent ones of the corpus; the rest is no better known than brute force.
+WORDS_MOST = 100_000
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "1qaz2wsx3edc4rfv5tgb6yhn7ujm8ik,9ol.0p;", "qwertzuiop", "azertyuiop")
 _LINES = [line for row in (*ROWS, "abcdefghijklmnopqrstuvwxyz") for line in (row, row[::-1])]
 LEET = str.maketrans("4@310$5!7", "aaeiossit")
@@ -64,9 +68,8 @@ def _plain(value: str) -> tuple[str, str]:
 def guess_cost(value: str, ranks: dict[str, int] = RANKS) -> tuple[float, list[tuple[str, int, int]]]:
     """log10 of the guesses for a value, and the cheapest split into (kind, start, end).
 
-    best[j] is the least cost of value[:j]; a last span i..j is a word of `ranks` (also in leet
-    or mixed case), a date, a repeat of one block, a keyboard walk or brute force. Parts add
-    up in log10, and each further part costs 0.3, for the guesser must also know the order.
+    A span is a word of `ranks` (also in leet or mixed case), a date, a repeat of one block, a keyboard walk or
+    brute force. Parts add up in log10, and each further part costs JOIN, for the guesser must also know the order.
     Words, dates and walks have a greatest length and blocks of repeats have 8 characters at most, so
     the work is linear in the value, which is judged whole.
     """
@@ -95,24 +98,28 @@ def guess_cost(value: str, ranks: dict[str, int] = RANKS) -> tuple[float, list[t
             times = same[block][i] // block + 1
             if times >= 2 and times * block >= 3:
                 spans[i].append((i + times * block, block * 1.4 + math.log10(times), "repeat"))
-    best = [0.0] + [math.inf] * n
-    back: list[tuple[int, str]] = [(0, "")] * (n + 1)
+    # Least cost of value[:j] whose last part is brute force (0) or another (1), and how it came about.
+    best = [[0.0, 0.0]] + [[math.inf, math.inf] for _ in range(n)]
+    back: list[list[tuple[int, int, str]]] = [[(0, 0, ""), (0, 0, "")] for _ in range(n + 1)]
     for i in range(n):
         c = value[i]
         single = 1.0 if c.isdigit() else math.log10(26) if c.isalpha() else 1.5
         for j, cost, kind in [(i + 1, single, "brute"), *spans[i]]:
-            join = 0.0 if i == 0 or kind == back[i][1] == "brute" else 0.3
-            if best[i] + cost + join < best[j]:
-                best[j], back[j] = best[i] + cost + join, (i, kind)
-    parts, j = [], n
+            ends = int(kind != "brute")
+            for state in (0, 1):
+                total = best[i][state] + cost + (0.0 if i == 0 or state == ends == 0 else JOIN)
+                if total < best[j][ends]:
+                    best[j][ends], back[j][ends] = total, (i, state, kind)
+    parts, j, state = [], n, int(best[n][1] < best[n][0])
+    least = min(best[n])
     while j:
-        i, kind = back[j]
+        i, state, kind = back[j][state]
         if kind == "brute" and parts and parts[-1][0] == "brute" and parts[-1][1] == j:
             parts[-1] = ("brute", i, parts[-1][2])
         else:
             parts.append((kind, i, j))
         j = i
-    return best[n], parts[::-1]
+    return least, parts[::-1]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
@@ -154,8 +161,8 @@ def word_ranks(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
     """Ranks of the words of all texts that occur in some value in credential context.
 
     A word's rank is the number of words that are at least as frequent, from sums of all words outside
-    such values, so that a secret never makes itself a word. Only the words that a value holds
-    reach the driver; the rest give just how many words have each count.
+    such values, so that a secret never makes itself a word. A guesser's dictionary has the words of rank
+    WORDS_MOST or better, which bounds what reaches the driver and is broadcast; of them only those that a value holds come.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,10 +199,13 @@ def word_ranks(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
     rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n long, asked boolean")
     held = written(rows.groupBy("word").agg(F.sum("n").alias("n"), F.max("asked").alias("asked")).where(F.col("n") > 0), "words")
     ranks, rank = {}, 0
-    for r in sorted(held.groupBy("n").agg(F.count("*").alias("words")).collect(), key=lambda r: -r["n"]):
+    for r in held.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(WORDS_MOST).collect():
         rank += r["words"]
+        if rank > WORDS_MOST:
+            break
         ranks[r["n"]] = rank
-    own = {r["word"]: ranks[r["n"]] for r in held.where("asked").select("word", "n").collect()}
+    known = held.where(F.col("asked") & (F.col("n") >= min(ranks, default=1 << 62))).select("word", "n")
+    own = {r["word"]: ranks[r["n"]] for r in known.collect()}
     discard(held)
     return own | {word: min(rank, own.get(word, rank)) for word, rank in RANKS.items()}
 

@@ -17,7 +17,7 @@ from .common import steps, texts_of, written
 from .elias_fano import EliasFano
 from .tokens import encoder, read_spec
 
-MAGIC = b"LXTK1\0"
+MAGIC = b"LXTK2\0"
 #: A file is closed when it holds so many ids.
 FILE_IDS = 1 << 20
 
@@ -34,17 +34,22 @@ FILE_SCHEMA = T.StructType(
 
 
 def pack_file(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
-    """One file: header, document ids with a null mask, boundaries, then the ids side by side.
+    """One file: header, document ids, boundaries, then the token ids side by side.
 
-    Ids take 2 bytes while all are below 65,536 and 4 bytes otherwise; document i spans
-    boundary i-1 (0 for the first) up to boundary i.
+    Token ids take 2 bytes while all are below 65,536 and 4 bytes otherwise; document i spans
+    boundary i-1 (0 for the first) up to boundary i. Document ids ascend, null ones first, so what they exceed the
+    least one by is encoded like the boundaries.
     """
+    nulls = sum(x is None for x in doc_ids)
+    known = [int(x) for x in doc_ids[nulls:]]  # a null after an id raises
+    if any(a > b for a, b in zip(known, known[1:], strict=False)):
+        raise ValueError("document ids must ascend")
+    least = known[0] if known else 0
+    names = EliasFano.encode(np.array([x - least for x in known], dtype=np.uint64)).to_bytes()
     ends = EliasFano.encode(np.cumsum([len(x) for x in ids], dtype=np.uint64)).to_bytes()
     flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
     width = 2 if len(flat) == 0 or int(flat.max()) < 1 << 16 else 4
-    known = np.packbits([x is not None for x in doc_ids], bitorder="little").tobytes()
-    names = np.array([x or 0 for x in doc_ids], dtype="<i8").tobytes()
-    return b"".join([MAGIC, struct.pack("<BQQ", width, len(ids), len(flat)), known, names, ends, flat.astype(f"<u{width}").tobytes()])
+    return b"".join([MAGIC, struct.pack("<BQQQq", width, len(ids), len(flat), nulls, least), names, ends, flat.astype(f"<u{width}").tobytes()])
 
 
 class TokenFile:
@@ -54,14 +59,16 @@ class TokenFile:
         if raw[: len(MAGIC)] != MAGIC:
             raise ValueError("not a token file")
         at = len(MAGIC)
-        width, n, total = struct.unpack_from("<BQQ", raw, at)
-        at += struct.calcsize("<BQQ")
-        known = np.unpackbits(np.frombuffer(raw, np.uint8, (n + 7) // 8, at), bitorder="little")[:n]
-        at += (n + 7) // 8
-        names = np.frombuffer(raw, "<i8", n, at)
-        self.doc_ids = [int(x) if k else None for x, k in zip(names, known, strict=True)]
-        self.ends, used = EliasFano.from_bytes(raw[at + 8 * n :])
-        self.flat = np.frombuffer(raw, f"<u{width}", total, at + 8 * n + used)
+        width, n, total, nulls, least = struct.unpack_from("<BQQQq", raw, at)
+        at += struct.calcsize("<BQQQq")
+        names, used = EliasFano.from_bytes(raw[at:])
+        at += used
+        self.doc_ids = [None] * nulls + [int(x) + least for x in names.values()]
+        self.ends, used = EliasFano.from_bytes(raw[at:])
+        at += used
+        self.flat = np.frombuffer(raw, f"<u{width}", total, at)
+        if len(self.doc_ids) != n:
+            raise ValueError("not a token file")
 
     def __len__(self) -> int:
         return len(self.doc_ids)

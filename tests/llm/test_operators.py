@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexweave.llm import langid, neighbours, packing, quality, repeats, secrets, sharding, simhash
@@ -63,16 +64,12 @@ def test_packing(spark, ids):
             assert r["ids_crc32"] == crc(whole[at : at + r["length"]])
             at += r["length"]
         assert at == len(whole)
-    padded = used = 0
     for own in seqs.values():
         at = 0
         for r in sorted(own, key=lambda r: r["offset"]):
             assert r["offset"] == at
             at += r["length"]
-        assert at <= 2048
-        used += at
-        padded += at if at & (at - 1) == 0 else 2048
-    assert padded <= used + 2048 * 2
+        assert at <= 2048 and at & (at - 1) == 0
     groups = defaultdict(lambda: defaultdict(int))
     for r in rows:
         groups[r["tier"], r["step_group"]][r["sequence_id"]] += r["length"] ** 2
@@ -207,6 +204,33 @@ def test_repeats_passage_in_many(spark, monkeypatch):
     assert got == brute_repeats(texts)
 
 
+def test_matching_statistics():
+    rng = np.random.default_rng(5)
+    for letters in (b"ab", b"abcd"):
+        for _ in range(30):
+            word = lambda x, most=40: bytes(rng.choice(list(x), rng.integers(1, most)).astype(np.uint8))  # noqa: B023, E731
+            strings = [word(letters) for _ in range(rng.integers(1, 8))]
+            strings += [strings[0][2:]] if len(strings[0]) > 3 else []
+            patterns = [word(letters + b"z") for _ in range(4)] + strings[:2] + [b""]
+            index = RunIndex(strings, stream=True)
+            for p, (length, place) in zip(patterns, index.matching_statistics(patterns), strict=True):
+                for i in range(len(p)):
+                    n = max(n for n in range(len(p) - i + 1) if any(p[i : i + n] in x for x in strings))
+                    assert n == length[i] and index.data[place[i] : place[i] + n].tobytes() == p[i : i + n]
+
+
+def test_repeats_streamed_through_an_index(spark, monkeypatch):
+    for name, value in {"GROUP_MOST": 3, "INDEXED": 4, "STREAMED": 6, "SALTS": 3}.items():
+        monkeypatch.setattr(repeats, name, value)
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(rng.choice(list("abcdefgh é"), n))
+    passage, other = word(520), word(430)
+    texts = [word(50 + 7 * i) + passage[i % 9 : 500 + i % 17] + word(20 + 5 * i) for i in range(30)] + [passage + other, other[3:] + passage, other + other, word(3000)]
+    texts += [t + "!" for t in texts[:5]] + texts[:3]
+    got = [tuple(r)[1:] for r in repeats.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").orderBy("doc_id").collect()]
+    assert got == brute_repeats(texts)
+
+
 def test_run_index_counts_down():
     rng = np.random.default_rng(4)
     for letters in (b"ab", b"abcd"):
@@ -223,6 +247,16 @@ def test_run_index_counts_down():
             assert got == [{j for i in range(len(x) - 4) if seen[x[i : i + 5]] > 1 for j in range(i, i + 5)} for x in own]
 
 
+def test_language_scores_by_hand(spark, docs):
+    model = langid.fit_language_model(docs)
+    for text in ("The same WORDS, again 12!", "é", "öfter " * 9):
+        raw = b" " + b" ".join(re.sub(rb"[^A-Za-z\x80-\xff]", b" ", text.lower().encode()).split()) + b" "
+        rows = [(k << langid.BUCKET_BITS) + (int.from_bytes(raw[i : i + n], "big") * 2654435761 % 2**32 >> 32 - langid.BUCKET_BITS) for k, n in enumerate(langid.ORDERS) for i in range(len(raw) - n + 1)]
+        z = (sum(model.table[r] for r in rows) / len(rows) + model.bias) / model.temperature
+        p = np.exp(z) / np.exp(z).sum()
+        assert model.predict(text) == (model.languages[int(p.argmax())], pytest.approx(p.max()))
+
+
 def test_language_held_out_accuracy(spark, docs):
     rows = QUERIES["op5_language"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     test = [r for r in rows if r["held_out"]]
@@ -249,6 +283,26 @@ def test_decontaminate(spark, docs, texts):
         assert r["items_sha256"] == hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
+@pytest.mark.parametrize(("pack", "share", "chunk"), [(8, 1 << 20, 1 << 20), (8, 1 << 20, 60), (1, 30, 1 << 20)])
+def test_decontaminate_with_many_automata(spark, monkeypatch, pack, share, chunk):
+    from lexweave.llm import decontaminate
+
+    rng = np.random.default_rng(3)
+    items = [(i, " ".join(rng.choice(list("abcde"), rng.integers(0, 14)))) for i in range(12)] + [(3, "a a a a"), (None, "b b"), (13, None)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(list("abcdef"), rng.integers(0, 60)))) for i in range(40)] + [(None, None), (99, "")], "doc_id long, text string").coalesce(2)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, find_contamination(docs, bench, size=4).collect()), key=repr)
+    for name, value in {"PACK_WORDS": pack, "SHARE_BYTES": share, "CHUNK_BYTES": chunk}.items():
+        monkeypatch.setattr(decontaminate, name, value)
+    assert sorted((tuple(r)[:-1] for r in find_contamination(docs, bench, size=4, carry=True).collect()), key=repr) == want
+    hits = {r["doc_id"]: set(r["items"]) for r in find_contamination(docs, bench, size=4).collect()}
+    for r in docs.where("doc_id is not null and text <> ''").collect():
+        own = f" {r['text']} "
+        wins = {str(k) if k is not None else "": [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] for k, t in items if k != 3 and (w := (t or "").split())}
+        wins["3"] = [" ".join(w[i : i + 4]) for k, t in items if k == 3 for w in [t.split()] for i in range(max(1, len(w) - 3)) if w]
+        assert hits[r["doc_id"]] == {k for k, x in wins.items() if any(f" {w} " in own for w in x)}
+
+
 def test_decontaminate_spans(spark):
     docs = spark.createDataFrame([(1, "Hé! One, two THREE é four."), (2, None)], "doc_id long, text string")
     bench = spark.createDataFrame([(7, "one two three"), (8, None), (9, "?!")], "item_id long, text string")
@@ -257,12 +311,64 @@ def test_decontaminate_spans(spark):
     assert (r[1]["n_words"], r[1]["contaminated"]) == (0, False)
 
 
-def test_kneser_ney_sums_to_one(spark):
-    docs = spark.createDataFrame([(1, "the cat sat on the mat. " * 5 + "a dog", "en"), (2, "der Hund und die Katze", "de"), (3, None, "en")], "doc_id long, text string, lang string")
-    model = quality.kneser_ney(quality.count_grams(docs)).where("lang = 'en'").toPandas()
-    table = quality.GramTable(*(model[c].to_numpy() for c in ("size", "code", "ctx", "logp", "backoff"))).table
-    sums = np.exp(table.astype(np.float64)).reshape(-1, 64).sum(axis=1)
-    assert np.allclose(sums, 1, atol=1e-3)
+def kneser_ney_by_hand(texts, order=5):
+    """P(symbol | context of up to order - 1 bytes) of an interpolated modified Kneser-Ney model, from dictionaries."""
+    tables = {order: Counter()}
+    for t in texts:
+        raw = bytes(order - 1) + t.encode() + b"\0"
+        tables[order].update(raw[i : i + order] for i in range(len(raw) - order + 1))
+    for k in range(order - 1, 0, -1):
+        tables[k] = Counter(g[1:] for g in tables[k + 1])
+    steps = {}
+    for k, t in tables.items():
+        n = Counter(t.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else None
+        raw = [i - (i + 1) * y * n[i + 1] / n[i] if y is not None and n[i] else i / 2 for i in (1, 2, 3)]
+        steps[k] = [max(0.05, min(0.95 * i, d)) for i, d in enumerate(raw, 1)]
+    sums = {k: defaultdict(list) for k in tables}
+    for k, t in tables.items():
+        for g, n in t.items():
+            sums[k][g[:-1]].append(n)
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / 256
+        ns, low = sums[k].get(g[:-1]), p(g[1:])
+        if not ns:
+            return low
+        off = lambda n: steps[k][min(n, 3) - 1]
+        n = tables[k].get(g, 0)
+        return ((n - off(n)) if n else 0) / sum(ns) + sum(map(off, ns)) / sum(ns) * low
+
+    return p
+
+
+def test_perplexity_matches_a_model_by_hand(spark, monkeypatch):
+    monkeypatch.setattr(quality, "CHUNK_BYTES", 100)
+    train = [(1, "the cat sat on the mat. " * 5 + "a dog", "en"), (2, "der Hund und die Katze, öfter müde", "de"), (3, None, "en"), (4, "the rat sat", "en"), (5, "没有 кот", "xx")]
+    docs = spark.createDataFrame([*train, (7, "the cat ate the mat", "en"), (8, "müde Katze", "de"), (9, "没 кот the", None), (10, "", "en"), (11, "the dog", "zz")], "doc_id long, text string, lang string").repartition(2)
+    grams = quality.count_grams(spark.createDataFrame(train, docs.schema))
+    pooled = F.col("key").bitwiseAND(F.lit((1 << 40) - 1)).bitwiseOR(F.lit(quality.lang_key("*")))
+    pool = grams.groupBy(pooled.alias("key")).agg(F.sum("n").alias("n"))
+    langs = {"en", "de", "xx"}
+    got = {r["doc_id"]: r for r in quality.perplexities(docs, quality.kneser_ney(grams.unionByName(pool)), langs).collect()}
+    by_hand = {x: kneser_ney_by_hand([t for _, t, lang in train if t is not None and x in (lang, "*")]) for x in (*langs, "*")}
+    for r in docs.collect():
+        raw = bytes(4) + (r["text"] or "").encode() + b"\0"
+        p = by_hand[r["lang"] if r["lang"] in langs else "*"]
+        want = np.exp(-np.mean([np.log(p(raw[i : i + 5])) for i in range(len(raw) - 4)])) if r["text"] else None
+        assert got[r["doc_id"]]["perplexity"] == (pytest.approx(want, rel=1e-5) if want else None)
+    p = by_hand["en"]
+    for context in (b"the ", b"q", b""):
+        assert sum(p(context + bytes([c])) for c in range(256)) == pytest.approx(1)
+
+
+def test_trusted_documents_are_those_of_the_ids(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FILTER_BITS", 64)
+    docs = spark.createDataFrame([(i, f"text ü {i} " if i % 7 else None, "en") for i in range(200)] + [(3, "again", "de"), (None, "x", "en")], "doc_id long, text string, lang string")
+    ids = spark.createDataFrame([(3,), (3,), (7,), (199,), (500,), (None,)], "doc_id long")
+    assert Counter(r["text"] for r in quality.trusted_documents(docs, ids).collect()) == Counter(["text ü 3 ", "again", "text ü 199 "])
 
 
 def test_quality_finds_noise(spark):
@@ -282,12 +388,34 @@ def test_sharding(spark, docs, texts):
     assert all(sorted(s) == list(range(len(s))) for s in shards.values()) and set(shards) <= set(range(40))
     rng = np.random.default_rng(0)
     sizes = np.stack([rng.integers(1, 9000, 5000), rng.integers(1, 900, 5000), np.ones(5000, int)], axis=1)
+    loads = np.zeros(40)
+    for r in rows:
+        loads[r["shard"]] += r["size"]
     at = sharding.place(sizes, 40)
     for c in range(3):
         sums = np.bincount(at, sizes[:, c], 40)
         assert sums.max() / sums.mean() < 1.02
 
 
+def test_sharding_law_and_groups(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "TASK_ROWS", 700)
+    rng = np.random.default_rng(1)
+    texts = [f"{i} " + "x" * int(n) for i, n in enumerate(rng.integers(0, 900, 3000))]
+    texts += ["copy a" * 100] * 25 + ["copy b" * 40] * 30 + ["hot" * 200] * 700 + [""] * 50 + [None] * 50
+    rows = sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), 10).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(len(texts)))
+    sizes, groups, slots = np.zeros(10), defaultdict(set), defaultdict(list)
+    for r in rows:
+        assert r["size"] == len((texts[r["doc_id"]] or "").encode()) + 16
+        sizes[r["shard"]] += r["size"]
+        groups[texts[r["doc_id"]]].add(r["shard"])
+        slots[r["shard"]].append(r["slot"])
+    assert sizes.max() / sizes.mean() < 1.02 and sizes.min() / sizes.mean() > 0.98
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    part = sizes.mean()
+    assert {t for t, x in groups.items() if len(x) > 1} == {t for t in groups if t and texts.count(t) * (len(t) + 16) > part}
+
+
 def test_token_files(spark, ids):
     rows = {r["doc_id"]: r for r in QUERIES["op9_token_files"](spark, SF).collect()}
     at = 0
@@ -295,8 +423,14 @@ def test_token_files(spark, ids):
         whole = [*ids[k], 2]
         assert (rows[k]["start"], rows[k]["n_tokens"], rows[k]["ids_crc32"]) == (at, len(whole), crc(whole))
         at += len(whole)
-    file = TokenFile(pack_file([5, None], [np.array([1, 70000], np.uint32), np.array([], np.uint32)]))
-    assert file.doc_ids == [5, None] and file.ids(0).tolist() == [1, 70000] and file.ids(1).tolist() == []
+    names = [None, None, -5, 3, 3, 1 << 62]
+    file = TokenFile(pack_file(names, [np.array([1, 70000], np.uint32), np.array([], np.uint32), *[np.array([i], np.uint32) for i in range(4)]]))
+    assert file.doc_ids == names and file.ids(0).tolist() == [1, 70000] and file.ids(1).tolist() == [] and file.ids(5).tolist() == [3]
+    assert TokenFile(pack_file([], [])).doc_ids == [] and TokenFile(pack_file([None], [np.array([2], np.uint32)])).doc_ids == [None]
+    many = [np.array([7], np.uint32)] * 1000
+    assert len(pack_file(list(range(10**9, 10**9 + 1000)), many)) < 1000 * (2 + 2)  # ids of 2 bytes, and little more
+    with pytest.raises(ValueError):
+        pack_file([5, 4], many[:2])
 
 
 def test_elias_fano():
@@ -329,6 +463,56 @@ def test_guess_cost():
     assert secrets.find_secrets("pwd: password, auth: qwerty")[1] == []
 
 
+def brute_cost(value, ranks):
+    """The least cost over all splits into parts, each judged by itself."""
+    lines = [x for row in secrets.ROWS + ("abcdefghijklmnopqrstuvwxyz",) for x in (row, row[::-1])]
+
+    def parts(a, b):
+        v, low = value[a:b], value[a:b].lower()
+        out = [("brute", 1.0 if v.isdigit() else np.log10(26) if v.isalpha() else 1.5)] if len(v) == 1 else []
+        cased = 0.0 if v.islower() else 0.5
+        soft = low.translate(secrets.LEET)
+        if soft.isalpha() and len(v) <= secrets.WORD_MOST:
+            out += [("word", np.log10(ranks[x] + 1) + more + cased) for x, more in ((low, 0.0), (soft, 0.5)) if x in ranks]
+        m = secrets.DATE.match(value, a)
+        if m and m.end() == b:
+            out.append(("date", 2.1 if b - a == 4 else 4.6))
+        if len(v) >= 3 and any(low in x for x in lines) and not (b < len(value) and any(value[a : b + 1].lower() in x for x in lines)):
+            out.append(("walk", 1.7 + np.log10(len(v))))
+        for block in range(1, 9):
+            times = len(v) // block
+            longer = value[a : b + block] == v[:block] * (times + 1)
+            if times >= 2 and len(v) == times * block >= 3 and v == v[:block] * times and not longer:
+                out.append(("repeat", block * 1.4 + np.log10(times)))
+        return out
+
+    best = {(0, "brute"): 0.0}
+    for b in range(1, len(value) + 1):
+        for kind in ("brute", "other"):
+            found = [best[a, last] + cost + (0.0 if a == 0 or last == name == "brute" else 0.3) for a in range(b) for name, cost in parts(a, b) if (name == "brute") == (kind == "brute") for last in ("brute", "other") if (a, last) in best]
+            if found:
+                best[b, kind] = min(found)
+    return min(v for (b, _), v in best.items() if b == len(value))
+
+
+def test_guess_cost_matches_all_splits():
+    rng = np.random.default_rng(7)
+    ranks = {"pass": 3, "word": 9, "password": 1, "so": 40, "dog": 700, "as": 20}
+    bits = ["pass", "Word", "p4ss", "so", "dog", "1999", "12.3.2001", "abab", "aaaa", "qwer", "fdsa", "xyz", "Q", "7", "!", "é", "ẞ", "$0"]
+    for _ in range(400):
+        value = "".join(rng.choice(bits, rng.integers(1, 5)))
+        cost, parts = secrets.guess_cost(value, ranks)
+        assert cost == pytest.approx(brute_cost(value, ranks)), value
+        assert [a for _, a, _ in parts] == [0, *(b for _, _, b in parts[:-1])] and parts[-1][2] == len(value)
+
+
+def test_dictionary_has_a_size(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "WORDS_MOST", 3)
+    monkeypatch.setattr(secrets, "RANKS", {})
+    docs = spark.createDataFrame([(1, "aa aa aa bb bb bb cc cc dd pwd: aabbccddxyz"), (2, None)], "doc_id long, text string")
+    assert secrets.word_ranks(docs) == {"aa": 2, "bb": 2, "cc": 3}
+
+
 def redacted(spark, text):
     return secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["redacted"]
 
@@ -383,7 +567,7 @@ def test_odd_rows(spark, odd):
         "repeats": repeats.remove_repeats,
         "language": lambda d: langid.predict_language(d, langid.fit_language_model(d), carry=True),
         "bench": lambda d: find_contamination(d, bench, carry=True),
-        "quality": lambda d: quality.score_quality(d, d),
+        "quality": lambda d: quality.score_quality(d, d.select("doc_id")),
         "shards": lambda d: sharding.shard_documents(d, 4),
         "files": lambda d: read_token_files(write_token_files(d, TOKENIZER)),
         "secrets": lambda d: secrets.scan_secrets(d, carry=True),
