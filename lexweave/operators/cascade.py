@@ -50,7 +50,10 @@ def _lemma(raw: Column) -> dict[str, Column]:
 
 
 def rules(t: Column, original: Column, profile: str) -> tuple[list[Rule], dict[str, Column]]:
-    """The rules in order, and the repaired text by the name of each repair rule."""
+    """The rules in order, and the repaired text by the name of each repair rule.
+
+    Fixed values: the patterns, confidences and notes of every rule below.
+    """
     pos = T.pos_pattern(profile)
     packed = pos.replace(" ", "")
     dash = "‑" if profile == "src" else "-"
