@@ -31,6 +31,8 @@ CHUNK_BYTES = 32 << 20
 _BLOCK = 1 << 20
 #: Grams that a task sums before it passes them on.
 _SUM_MOST = 4 << 20
+#: Held-out trusted documents from which on a language has quantiles of its own.
+HELD_LEAST = 100
 #: Bits of the filter by which most documents without trust stay out of the join with the trusted ids.
 FILTER_BITS = 1 << 25
 FILTER_HASHES = 4
@@ -320,8 +322,8 @@ def score_quality(docs: DataFrame, trusted: DataFrame, low: float = 0.005, high:
 
     The model is trained on the documents whose id is in `trusted`, but for the fifth of held_out(); per language, and
     pooled for documents whose language has no trusted text (or comes after the LANGS_MOST most frequent). keep is true
-    where the perplexity lies between the language's quantiles over the held-out trusted documents; a language without
-    them goes by those of all languages. Null text is empty and
+    where the perplexity lies between the language's quantiles over the held-out trusted documents; a language with fewer
+    than HELD_LEAST of them goes by those of all languages. Null text is empty and
     is not kept; null lang goes by the pool; without trusted text perplexity is null and all is kept. Rows with
     the same id are scored each for itself, an empty table gives no row, other columns are not read.
     """
@@ -345,7 +347,7 @@ def score_quality(docs: DataFrame, trusted: DataFrame, low: float = 0.005, high:
     edges = F.percentile_approx("perplexity", [low, high], 10_000)
     pool = checked.agg(edges.alias("e")).first()["e"] or [None, None]
     # One row a language of `langs`.
-    cuts = checked.where(F.col("lang").isin(sorted(langs))).groupBy(F.col("lang").alias("cut_lang")).agg(edges.alias("e"))
+    cuts = checked.where(F.col("lang").isin(sorted(langs))).groupBy(F.col("lang").alias("cut_lang")).agg(edges.alias("e"), F.count("*").alias("n")).where(F.col("n") >= HELD_LEAST)
     cuts = cuts.select("cut_lang", F.col("e")[0].alias("low"), F.col("e")[1].alias("high"))
     out = scored.join(F.broadcast(cuts), F.col("lang") == F.col("cut_lang"), "left").drop("cut_lang")
     out = out.withColumn("low", F.coalesce("low", F.lit(pool[0]).cast("double"))).withColumn("high", F.coalesce("high", F.lit(pool[1]).cast("double")))
