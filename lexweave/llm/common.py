@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 #: Texts per step inside an Arrow batch, so that one step stays small.
 STEP_ROWS = 256
+_WRITTEN: set[str] = set()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -35,16 +36,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.lexweave_path = path
+    _WRITTEN.add(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    _WRITTEN.discard(path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what written() stored, once nothing reads it any more."""
     path = getattr(df, "lexweave_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        _delete(df.sparkSession, path)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete all that written() stored in this process; results that were not stored elsewhere can't be read afterwards."""
+    for path in list(_WRITTEN):
+        _delete(spark, path)
 
 
 def steps(batches: Iterator[pa.RecordBatch], rows: int = STEP_ROWS) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ LANGS_MOST = 10_000
 CHUNK_BYTES = 32 << 20
 _BLOCK = 1 << 20
 #: Grams that a task sums before it passes them on.
-_SUM_MOST = 4 << 20
+_SUM_MOST = 1 << 20
 #: Held-out trusted documents from which on a language has quantiles of its own.
 HELD_LEAST = 100
 #: Bits of the filter by which most documents without trust stay out of the join with the trusted ids.
@@ -280,9 +280,36 @@ def perplexities(docs: DataFrame, model: dict[int, DataFrame], langs: set[str],
                 own = keys[at : at + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block)), pa.array(np.arange(at, at + len(own), dtype=np.int32)), pa.array(own)], names=["block", "i", "key"])
 
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The answers of a task as one row for each chunk: places as differences, and scores, both deflated."""
+        held: list[np.ndarray] = []
+        size = 0
+
+        def close() -> pa.RecordBatch:
+            rows = np.concatenate(held)
+            rows = rows[np.lexsort((rows["i"], rows["block"]))]
+            edge = np.concatenate([[0], np.flatnonzero(np.diff(rows["block"])) + 1, [len(rows)]])
+            parts = [rows[a:b] for a, b in zip(edge, edge[1:], strict=False)]
+            columns = [pa.array([zlib.compress(x.tobytes(), 1) for x in own], pa.binary()) for own in ([np.diff(x["i"], prepend=np.int32(0)) for x in parts], [x["logp"].copy() for x in parts])]
+            return pa.RecordBatch.from_arrays([pa.array([x["block"][0] for x in parts], pa.int64()), *columns], names=["block", "places", "scores"])
+
+        for batch in batches:
+            own = np.empty(batch.num_rows, dtype=[("block", np.int64), ("i", np.int32), ("logp", np.float32)])
+            for c in own.dtype.names:
+                own[c] = batch.column(c).to_numpy()
+            held.append(own)
+            size += len(own)
+            if size > 2 * _SUM_MOST:
+                yield close()
+                held, size = [], 0
+        if size:
+            yield close()
+
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        logp = np.zeros(right.num_rows)
-        logp[right.column("i").to_numpy()] = right.column("logp").to_numpy()
+        places = [np.cumsum(np.frombuffer(zlib.decompress(x), np.int32), dtype=np.int32) for x in right.column("places").to_pylist()]
+        logp = np.zeros(sum(map(len, places)))
+        for at, x in zip(places, right.column("scores").to_pylist(), strict=True):
+            logp[at] = np.frombuffer(zlib.decompress(x), np.float32)
         out: dict[str, list] = {"doc_id": [], "lang": [], "n_symbols": [], "perplexity": []}
         for body in left.column("body").to_pylist():
             keys = asked(body) if trained else np.zeros(0, np.int64)
@@ -306,9 +333,9 @@ def perplexities(docs: DataFrame, model: dict[int, DataFrame], langs: set[str],
     if trained:
         scores = gram_scores(rows.select("lang", "text").mapInArrow(grams, "key long").distinct(), model)
         asks = dealt.mapInArrow(ask, "block long, i int, key long")
-        answers = asks.join(scores.hint("merge"), "key").select("block", "i", F.col("logp").cast("float").alias("logp"))
+        answers = asks.join(scores.hint("merge"), "key").select("block", "i", F.col("logp").cast("float").alias("logp")).mapInArrow(gather, "block long, places binary, scores binary")
     else:
-        answers = spark.createDataFrame([], "block long, i int, logp float")
+        answers = spark.createDataFrame([], "block long, places binary, scores binary")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, lang string, n_symbols long, perplexity double")
 
 

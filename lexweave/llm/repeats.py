@@ -194,6 +194,8 @@ def remove_repeats(docs: DataFrame, window: int = 400, with_text: bool = True, i
     own = repeated.join(spans.hint("merge"), ["anchor", "context"]).select("key", "mark", "start", F.explode("spans").alias("s"))
     own = own.select("key", "mark", F.struct((F.col("start") + F.col("s.start")).alias("start"), (F.col("start") + F.col("s.end")).alias("end")).alias("s")).distinct()
     listed = written(own.groupBy("key", "mark").agg(F.collect_list("s").alias("spans")), "removed-spans")
+    for table in (repeated, contexts, bodies, streamed):
+        discard(table)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):

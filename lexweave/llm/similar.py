@@ -95,8 +95,8 @@ def shingle_sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> Dat
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "node long, shingles array<long>")
 
 
-def candidates(classes: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of nodes with close fingerprints or a common band, and the nodes of full buckets.
+def candidates(classes: DataFrame, budget: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Pairs (a, b) of nodes with close fingerprints or a common band, the nodes of full buckets, and the tables read for them.
 
     In a bucket of more than BUCKET_MOST nodes each member meets LEADERS of them, the least under
     orders that differ by bucket; a dense group shares many buckets and so meets many leaders.
@@ -118,7 +118,7 @@ def candidates(classes: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
     same = classes.select("fp", "node").join(firsts.hint("merge"), "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
     crowd = shared.where(F.col("n") > BUCKET_MOST).select("node").distinct()
     all_pairs = met.unionByName(led).unionByName(near).unionByName(same).where(F.col("a") != F.col("b"))
-    return all_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), crowd
+    return all_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), crowd, [shared, firsts]
 
 
 def crowded_links(sets: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
@@ -235,9 +235,11 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
     """
     prints = written(signatures(docs, width, id_col, text_col), "signatures")
     classes = written(prints.groupBy("node", "fp", "sig").agg(F.min("doc_id").alias("least")), "similar-classes")
-    pairs, crowd = candidates(classes, budget)
+    pairs, crowd, used = candidates(classes, budget)
     crowd = written(crowd, "crowded-nodes")
     scored = written(estimated(pairs, classes, similarity), "scored-pairs")
+    for table in used:
+        discard(table)
     links = scored.where(F.col("same") >= SURE).select("a", "b")
     groups = written(connected_components(links), "sure-groups")
     doubt = written(_apart(scored.where(F.col("same") < SURE), groups), "doubtful-pairs")
