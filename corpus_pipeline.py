@@ -15,7 +15,7 @@ from lexweave.llm.similar import similar_documents, with_nodes
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model rejects go."""
+    """Documents whose language the model rejects go, null texts and those without a letter among them; equal rows share their fate."""
     return predict_language(docs, fit_language_model(docs), carry=True).where(~F.col("rejected")).select("row.*")
 
 
@@ -42,13 +42,13 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; null texts have no words and stay."""
     found = find_contamination(docs, table(spark, sf_dir, "benchmark"), with_spans=False, carry=True)
     return found.where(~F.col("contaminated")).select("row.*")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets give way to a mark; n_chars follows the text."""
+    """Secrets give way to a mark; n_chars follows the text. No row goes; one without a secret stays as it is, null text too."""
     found = scan_secrets(docs, carry=True)
     hit = F.col("spans") != ""
     fresh = {"text": F.when(hit, F.col("redacted")).otherwise(F.col("row.text")), "n_chars": F.when(hit, F.length("redacted").cast("long")).otherwise(F.col("row.n_chars"))}
@@ -56,7 +56,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in sequences of several lengths."""
+    """Token ids in sequences of several lengths; null text is a separator alone."""
     return pack_documents(docs, TOKENIZER)
 
 
