@@ -18,7 +18,7 @@ from .run_index import RunIndex
 #: Bytes of an anchor string; each window of a match's least length has one.
 ANCHOR = 48
 #: Bytes of contexts that one index takes, about.
-INDEX_BYTES = 4 << 20
+INDEX_BYTES = 1 << 20
 #: Different contexts of one anchor that meet in an index; of a fuller anchor some are indexed and the others streamed.
 GROUP_MOST = 1500
 #: Contexts of a fuller anchor that are indexed, about, and that are streamed in one block.
