@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -40,6 +41,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, for files that are not one table."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.add(path)
+    return path
+
+
+@contextlib.contextmanager
+def with_settings(spark: SparkSession, settings: dict[str, str]):
+    """Session settings that hold inside the block."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def move(spark: SparkSession, old: str, new: str) -> None:
+    """Rename a folder of the shared store, whose parent is made where it is missing."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = path(old).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(path(new).getParent())
+    if not store.rename(path(old), path(new)):
+        raise OSError(f"can't move {old} to {new}")
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .click_windows import deduplicate_clicks
 from .common import table
 from .decontaminate import find_contamination
 from .langid import fit_language_model, predict_language
@@ -76,4 +77,9 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"), with_text=False).drop("redacted")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_neighbours, op4_repeats, op5_language, op6_decontaminate, op7_quality, op8_sharding, op9_token_files, op10_secrets)}
+def op11_click_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of repeated clicks over eight batches. Rows without click_id or arrived_at take no part; other nulls count as empty."""
+    return deduplicate_clicks(table(spark, sf_dir, "clicks"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_neighbours, op4_repeats, op5_language, op6_decontaminate, op7_quality, op8_sharding, op9_token_files, op10_secrets, op11_click_windows)}
