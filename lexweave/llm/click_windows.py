@@ -26,7 +26,7 @@ SPAN, LATENESS, BATCHES = 24, 96, 8
 BUCKET_ROWS, GATHERED = 20_000, 200_000
 #: Where the operators keep their state: on the executors' disks, each batch's changes in the checkpoint.
 _ROCKS = "spark.sql.streaming.stateStore."
-STATE_STORE = {_ROCKS + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", _ROCKS + "rocksdb.changelogCheckpointing.enabled": "true"}
+STATE_STORE = {_ROCKS + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", _ROCKS + "rocksdb.changelogCheckpointing.enabled": "true", _ROCKS + "rocksdb.allowFAllocate": "false"}
 NEVER, ALWAYS = -(2**31), 2**31 - 1
 
 FEED = "click_id long, hour int, client_id long, kind string, value double, ts timestamp_ntz, props string, third int, batch int"

@@ -61,4 +61,25 @@ select doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items
 from d left join hits using (rid) left join items using (rid)
 """
 
-ORACLES = {"op3_neighbours": NEIGHBOURS, "op4_repeats": REPEATS, "op6_decontaminate": DECONTAMINATE}
+#: Every prefix of every rebuilt conversation is grouped, and counted for each of its own prefixes.
+PREFIX_TRIE = """
+with codes as materialized (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, x: case when a & 1 = 1 then xor(3988292384::bigint, a >> 1) else a >> 1 end)) as tab),
+convs as (select conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} order by turn nulls first) as p from conversations where conv_id is not null group by conv_id),
+headed as (
+    select conv_id, p, conv_id - ((conv_id % 100) + 100) % 100 as base,
+           xor(4294967295::bigint, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda s: ascii(s)::bigint)), lambda a, b: xor(tab[(xor(a, b) & 255) + 1], a >> 8))) % 6 as h
+    from convs, codes
+), paths as (
+    select c.conv_id, list_concat(coalesce(b.p, [])[:c.h], c.p[c.h + 1:]) as p from headed c left join convs b on b.conv_id = c.base
+), member as (select conv_id, len(p) = d as ended, d, p[:d] as k, p[d].text as said from (select conv_id, p, unnest(range(len(p) + 1)) as d from paths)),
+nodes as (
+    select k, d, min(conv_id) as conv, count(*) as n, (count(*) - 1) * coalesce(max(length(said)), 0) as saved,
+           sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ended), '')) as ends from member group by k, d
+), children as (select k[:d - 1] as k, d - 1 as d, count(*) as c from nodes where d > 0 group by all),
+counted as (select nodes.*, coalesce(c, 0) as c from nodes left join children using (k, d)),
+below as (select k[:u] as k, u as d, sum(case when c = 0 then 1 else 0 end) as leaves, sum(saved) as saved from (select *, unnest(range(d + 1)) as u from counted) group by all)
+select x.conv as conv_id, x.d as depth, up.conv as parent_conv_id, x.n as n_convs, x.c as n_children, b.leaves::bigint as n_leaves, b.saved::bigint as saved_tokens, x.ends as ends_sha256
+from counted x join below b using (k, d) left join nodes up on up.d = x.d - 1 and up.k = x.k[:x.d - 1]
+"""
+
+ORACLES = {"op3_neighbours": NEIGHBOURS, "op4_repeats": REPEATS, "op6_decontaminate": DECONTAMINATE, "op12_prefix_trie": PREFIX_TRIE}

@@ -13,6 +13,7 @@ from .langid import fit_language_model, predict_language
 from .neighbours import nearest
 from .oracles import ORACLES as ORACLES
 from .packing import pack_documents
+from .prefix_trie import prefix_trie
 from .quality import score_quality
 from .repeats import remove_repeats
 from .secrets import scan_secrets
@@ -82,4 +83,9 @@ def op11_click_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate_clicks(table(spark, sf_dir, "clicks"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_neighbours, op4_repeats, op5_language, op6_decontaminate, op7_quality, op8_sharding, op9_token_files, op10_secrets, op11_click_windows)}
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations. Turns without conv_id take no part; null roles and texts are empty."""
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_neighbours, op4_repeats, op5_language, op6_decontaminate, op7_quality, op8_sharding, op9_token_files, op10_secrets, op11_click_windows, op12_prefix_trie)}

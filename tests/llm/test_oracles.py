@@ -23,7 +23,7 @@ def same(df, sql, con):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "embeddings"):
+    for table in ("documents", "benchmark", "embeddings", "conversations"):
         con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
     same(QUERIES[name](spark, SF), ORACLES[name], con)
 
