@@ -299,6 +299,6 @@ def prefix_trie(conversations: DataFrame, shard_turns: int = SHARD_TURNS, least_
     partitions = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shards = max(-(-turns // shard_turns), min(partitions, -(-turns // least_turns)), 1)
     trees = written(louds_shards(different_paths(members), shards), "louds")
-    merged = written(open_nodes(trees).groupBy(F.lit(0)).applyInPandas(merge_upper, MERGED), "upper")
+    merged = written(open_nodes(trees).groupBy(F.lit("upper")).applyInPandas(merge_upper, MERGED), "upper")
     nodes = inner_nodes(trees, merged).unionByName(merged.where("owner").select(*[c.split()[0] for c in NODE.split(", ")]))
     return nodes.withColumn("digest", F.lower(F.hex(F.coalesce("digest", F.lit(NOTHING))))).withColumnRenamed("digest", "ends_sha256")
