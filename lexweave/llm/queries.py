@@ -13,6 +13,7 @@ from .langid import fit_language_model, predict_language
 from .neighbours import nearest
 from .oracles import ORACLES as ORACLES
 from .packing import pack_documents
+from .personal_data import find_personal_data, fit_field
 from .prefix_trie import prefix_trie
 from .quality import score_quality
 from .repeats import remove_repeats
@@ -88,4 +89,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_neighbours, op4_repeats, op5_language, op6_decontaminate, op7_quality, op8_sharding, op9_token_files, op10_secrets, op11_click_windows, op12_prefix_trie)}
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, without the texts; null text has none."""
+    docs = table(spark, sf_dir, "documents")
+    return find_personal_data(docs, fit_field(docs), with_text=False).drop("redacted")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_neighbours, op4_repeats, op5_language, op6_decontaminate, op7_quality, op8_sharding, op9_token_files, op10_secrets, op11_click_windows, op12_prefix_trie, op13_personal_data)}
