@@ -11,6 +11,7 @@ from ..config import Config, load_config
 from ..operators import audit, cascade, compare, extract, normalize
 from ..schemas import MODEL_RECORD, RULE_RECORD
 from ..sources import readers, sinks
+from ..sources.append_log import Conflict, extraction_log
 
 
 def run_rules(spark: SparkSession, c: Config) -> None:
@@ -28,22 +29,31 @@ def run_rules(spark: SparkSession, c: Config) -> None:
 def run_model(spark: SparkSession, c: Config, make: extract.MakeClient | None = None) -> None:
     """Ask the model for entries not yet done, in the order of the input, until `max_new_rows` have a good reply.
 
-    Failed entries are passed over in this run and come again in the next. The key for the endpoint is `api_key`, or the
-    environment variable that `api_key_env` names.
+    Every `commit_rows` entries (all by default) are added to both outputs at once, so a crash loses no more than what was
+    asked since; runs side by side don't add an entry twice. Failed entries are passed over in this run and come again in
+    the next. The key for the endpoint is `api_key`, or the environment variable that `api_key_env` names.
     """
     entries, skip, left = readers.read_entries(spark, c.input_path, with_place=True), c.get("skip_unfinished_rows", 0), c.get("max_new_rows")
     key = c.get("api_key") or os.environ.get(c.get("api_key_env", ""), "")
     make = make or extract.chat_client(c.base_url, c.model_name, c.get("temperature", 0.1), c.get("max_tokens", 1200), key)
+    log, step = extraction_log(spark, c.output_jsonl, c.error_jsonl), c.get("commit_rows")
     while left is None or left > 0:
-        batch = extract.next_batch(entries, readers.done_ids(spark, c.output_jsonl), skip, left, "place")
+        version = log.recover()
+        most = min((x for x in (left, step) if x is not None), default=None)
+        batch = extract.next_batch(entries, readers.done_ids(spark, c.output_jsonl), skip, most, "place")
         replies = extract.ask_model(batch, make, readers.load_prompt(c.system_prompt), readers.load_prompt(c.parser_prompt)).persist()
         records = extract.read_replies(replies)
-        sinks.append_split(extract.good(records), extract.bad(records), c.output_jsonl, c.error_jsonl)
         asked, good = replies.count(), extract.good(records).count()
+        try:
+            if asked:
+                log.append({"good": extract.good(records), "bad": extract.bad(records)}, "model", based_on=version)
+        except Conflict:  # another run has added entries: what is left is seen anew
+            replies.unpersist()
+            continue
         replies.unpersist()
-        if left is None or asked < left:
+        if most is None or asked < most:
             break
-        left, skip = left - good, skip + asked - good
+        left, skip = left if left is None else left - good, skip + asked - good
 
 
 def run_evaluation(spark: SparkSession, c: Config) -> None:

@@ -68,9 +68,3 @@ def write_presence_summary(merged: DataFrame, path: str) -> None:
 
 def write_exact_match_summary(merged: DataFrame, path: str) -> None:
     write_csv(exact_match_summary(merged), path)
-
-
-def append_split(good: DataFrame, bad: DataFrame, good_path: str, bad_path: str) -> None:
-    """Add to both outputs of an extraction run."""
-    write_jsonl(good, good_path, "append")
-    write_jsonl(bad, bad_path, "append")
