@@ -188,9 +188,14 @@ def inline_cross_references(c: Column | str) -> Column:
     return F.transform(found, lambda x: F.btrim(x, F.lit(" .)")))
 
 
+def words_of(matched: Column | str) -> Column:
+    """Words of a text that is in comparison form already."""
+    return F.regexp_extract_all(col(matched), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+
+
 def tokenize(c: Column | str, nfkc: bool = True) -> Column:
     """Words of the comparison text."""
-    return F.regexp_extract_all(match_text(c, nfkc), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return words_of(match_text(c, nfkc))
 
 
 def char_len(c: Column | str, kind: str = "string") -> Column:

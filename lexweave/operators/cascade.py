@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .numbering import number_rows
 
 REPAIRS = 3
 STRINGS = ("headword_raw", "headword", "variant_forms_raw", "pronunciation", "pronunciation_2", "pronunciation_3", "pronunciation_4", "part_of_speech", "definition", "etymology")
@@ -195,11 +196,12 @@ NOTES = {"C10": ("Recovered malformed pronunciation closer", 0.78), "C14": ("Rec
 def parse(df: DataFrame, profile: str = "src", text_col: str = "text", id_col: str = "para_id", renumber: bool = False) -> DataFrame:
     """One record for each row of (para_id, text).
 
-    Null text is parsed as empty. With `renumber` ids count the rows by the order of their ids.
+    Null text is parsed as empty. With `renumber` ids count the rows by the order of their ids, then of their texts.
     A text that a repair leaves as it was, or that needs a fourth repair, is unparsed.
     """
-    number = F.row_number().over(Window.orderBy(id_col)) if renumber else F.col(id_col).cast("int")
-    own = df.select(number.alias("para_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_original"))
+    if renumber:
+        df = number_rows(df.select(id_col, text_col), id_col, text_col, name="_number")
+    own = df.select(F.col("_number" if renumber else id_col).cast("int").alias("para_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_original"))
     own = own.withColumn("_text", T.normalize_entry_text("_original")).withColumn("_trail", F.array().cast("array<string>"))
     for depth in range(REPAIRS + 1):
         known, repaired = rules(F.col("_text"), F.col("_original"), profile)

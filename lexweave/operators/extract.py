@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions.text import int_from_id, user_prompt
+from .numbering import slice_rows
 
 #: make() runs once a task and returns ask(system, user) -> reply, so clients need not be pickled.
 MakeClient = Callable[[], Callable[[str, str], str]]
@@ -82,12 +83,18 @@ def not_done(entries: DataFrame, done: DataFrame) -> DataFrame:
     return entries.join(ids, F.col("entry_id").cast("string") == F.col("_id"), "left_anti")
 
 
+#: Up to so many rows a sorted head is taken from every partition; beyond, rows are numbered where they lie.
+HEAD = 10_000
+
+
 def next_batch(entries: DataFrame, done: DataFrame, skip: int = 0, most: int | None = 10, order: str | None = None) -> DataFrame:
     """The entries of a resumed run: not done, after the first `skip`, `most` of them.
 
     They come in order of the column `order`, such as the place that read_entries gives; without one by the number at the
-    end of the id, then by the id.
+    end of the id, then by the id. A short head is taken from every partition, longer slices are cut by the rows' numbers.
     """
     by = [order] if order else [int_from_id("entry_id").asc_nulls_last(), "entry_id"]
-    rest = not_done(entries, done).orderBy(*by).offset(skip)
-    return rest if most is None else rest.limit(most)
+    rest = not_done(entries, done)
+    if most is not None and skip + most <= HEAD:
+        return rest.orderBy(*by).offset(skip).limit(most)
+    return (slice_rows(rest, *by, skip=skip, most=most) if skip or most is not None else rest).orderBy(*by)

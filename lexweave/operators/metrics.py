@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections import Counter
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from ..functions import text as T
+from .token_codes import match_lists, match_many
 
 
 def rates(matched: Column, n_out: Column, n_src: Column) -> tuple[Column, Column, Column]:
@@ -50,43 +48,19 @@ def unordered_match_rows(df: DataFrame, key: str, source: str, output: str, nfkc
     return sums.select(key, "n_source", "n_output", "matched", p.alias("precision"), r.alias("recall"), f1.alias("f1"))
 
 
-def _counted(a: pd.Series, b: pd.Series, f) -> pd.Series:
-    return pd.Series([f(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="int32")
-
-
-@F.pandas_udf(IntegerType())
-def _overlap(source: pd.Series, output: pd.Series) -> pd.Series:
-    """Tokens in common, as often as both have them."""
-    return _counted(source, output, lambda x, y: (Counter(x) & Counter(y)).total())
+@F.arrow_udf(IntegerType())
+def _output_walked(source: pa.Array, output: pa.Array) -> pa.Array:
+    return pa.array(match_lists(source, output)[1], pa.int32())
 
 
-def _walk(steps: list[str], through: list[str], strict: bool) -> int:
-    """How many of `steps` are found one after another in `through`, by the places of each token.
-
-    A step not found costs nothing, or with `strict` uses up all that is left.
-    """
-    places: dict[str, list[int]] = {}
-    for i, token in enumerate(through):
-        places.setdefault(token, []).append(i)
-    at = n = 0
-    for token in steps:
-        own = places.get(token, [])
-        k = bisect_left(own, at)
-        if k < len(own):
-            at, n = own[k] + 1, n + 1
-        elif strict:
-            break
-    return n
+@F.arrow_udf(IntegerType())
+def _source_walked(source: pa.Array, output: pa.Array) -> pa.Array:
+    return pa.array(match_lists(output, source, strict=True)[1], pa.int32())
 
 
-@F.pandas_udf(IntegerType())
-def _output_walked(source: pd.Series, output: pd.Series) -> pd.Series:
-    return _counted(source, output, lambda x, y: _walk(y, x, False))
-
-
-@F.pandas_udf(IntegerType())
-def _source_walked(source: pd.Series, output: pd.Series) -> pd.Series:
-    return _counted(source, output, lambda x, y: _walk(x, y, True))
+@F.arrow_udf(ArrayType(StructType([StructField("unordered", LongType()), StructField("ordered", LongType())])))
+def _matched(source: pa.Array, outputs: pa.Array) -> pa.Array:
+    return match_many(source, outputs)
 
 
 def _ordered(n: Column, source: Column, output: Column) -> Column:
@@ -104,26 +78,39 @@ def ordered_match_source_driven(source: Column, output: Column) -> Column:
     return _ordered(_source_walked(source, output), source, output)
 
 
+SYSTEMS = ("rule", "genai")
+
+
 def field_metrics(merged: DataFrame, fields: dict[str, str], key: str = "entry_id") -> DataFrame:
     """Long frame (key, field, system, six metrics): outputs of both systems against their source text.
 
-    `fields` gives each field's kind, string or array.
+    `fields` gives each field's kind, string or array. A source is brought into comparison form and cut into words once a
+    system; all fields' outputs are matched against it in one step. What is dealt out by field holds counts, and of texts
+    only the items that the source lacks.
     """
-    rows = []
-    for name, kind in fields.items():
-        for s in ("rule", "genai"):
-            c = F.col(f"{name}_{s}")
-            text = F.array_join(c, " ") if kind == "array" else c
-            rows.append(F.struct(F.lit(name).alias("field"), F.lit(s).alias("system"), F.col(f"source_text_{s}").alias("source"), text.alias("output"), (F.coalesce(c, F.array().cast("array<string>")) if kind == "array" else F.array_compact(F.array(c))).alias("items")))
-    long = merged.select(key, F.explode(F.array(*rows)).alias("x")).select(key, "x.*")
-    long = long.withColumns({"src": T.tokenize("source"), "out": T.tokenize("output"), "text": T.match_text("source")})
-    u = rates(_overlap("src", "out"), F.size("out"), F.size("src"))
-    unordered = F.struct(*[x.alias(m) for x, m in zip(u, ("precision", "recall", "f1"), strict=True)])
-    long = long.withColumns({"u": unordered, "o": ordered_match_output_driven(F.col("src"), F.col("out")), "items": F.filter(T.match_items("items"), lambda x: x != "")})
-    items, inside = F.col("items"), F.filter("items", lambda x: F.contains(F.col("text"), x))
-    long = long.withColumns({"all_output_in_source": F.size(inside) == F.size(items), "unmatched_output_items": F.array_except(items, inside), "output_coverage_in_source": F.try_divide(F.size(inside).cast("double"), F.size(items))})
-    six = [F.col(f"{a}.{m}").alias(f"{b}_{m}") for a, b in (("u", "unordered"), ("o", "ordered")) for m in ("precision", "recall", "f1")]
-    return long.select(key, "field", "system", *six, "all_output_in_source", "unmatched_output_items", "output_coverage_in_source")
+    kept, each = merged, {}
+    for s in SYSTEMS:
+        kept = kept.withColumn(f"_text_{s}", T.match_text(f"source_text_{s}"))
+    for s in SYSTEMS:
+        outputs = [T.tokenize(F.array_join(f"{n}_{s}", " ") if kind == "array" else f"{n}_{s}") for n, kind in fields.items()]
+        kept = kept.withColumns({f"_src_{s}": T.words_of(f"_text_{s}"), f"_outs_{s}": F.array(*outputs)})
+        kept = kept.withColumn(f"_items_{s}", F.array(*[F.filter(T.match_items(_items(f"{n}_{s}", kind)), lambda x: x != "") for n, kind in fields.items()]))
+    kept = kept.select(key, *[c for s in SYSTEMS for c in (f"_text_{s}", f"_src_{s}", f"_outs_{s}", f"_items_{s}", _matched(f"_src_{s}", f"_outs_{s}").alias(f"_m_{s}"))])
+    for s in SYSTEMS:
+        text = F.col(f"_text_{s}")
+        for i, n in enumerate(fields):
+            items = F.get(f"_items_{s}", F.lit(i))
+            lost = F.filter(items, lambda x: ~F.contains(text, x))  # noqa: B023  applied at once
+            each[n, s] = F.struct(F.lit(n).alias("field"), F.lit(s).alias("system"), F.size(f"_src_{s}").alias("n_src"), F.size(F.get(f"_outs_{s}", F.lit(i))).alias("n_out"), F.get(f"_m_{s}", F.lit(i)).alias("m"), F.size(items).alias("n_items"), lost.alias("lost"))
+    long = kept.select(key, F.explode(F.array(*each.values())).alias("x")).select(key, "x.*")
+    six = [x.alias(f"{way}_{m}") for way in ("unordered", "ordered") for x, m in zip(rates(F.col(f"m.{way}"), F.col("n_out"), F.col("n_src")), ("precision", "recall", "f1"), strict=True)]
+    coverage = F.try_divide((F.col("n_items") - F.size("lost")).cast("double"), F.col("n_items"))
+    return long.select(key, "field", "system", *six, (F.size("lost") == 0).alias("all_output_in_source"), F.array_distinct("lost").alias("unmatched_output_items"), coverage.alias("output_coverage_in_source"))
+
+
+def _items(name: str, kind: str) -> Column:
+    c = F.col(name)
+    return F.coalesce(c, F.array().cast("array<string>")) if kind == "array" else F.array_compact(F.array(c))
 
 
 def token_summary(metrics: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import text as T
-from ..operators import audit, cascade, compare, extract, metrics, normalize, runs
+from ..operators import audit, cascade, compare, extract, metrics, normalize, numbering, runs
 from ..sources.readers import split_paragraphs
 
 QUERIES: dict = {}
@@ -332,6 +332,28 @@ def batch_window(spark, sf):
     return extract.next_batch(entries, _table(spark, sf, "labels").select(F.col("doc_id").alias("entry_id")), 5, 25, "doc_id").select("doc_id")
 
 
+@query("q_number_paragraphs", f"select doc_id, para_id, row_number() over (order by doc_id, para_id) as number from {S_PARAGRAPHS}")
+def number_paragraphs(spark, sf):
+    """All paragraphs counted through, by document and place."""
+    return numbering.number_rows(_paragraphs(spark, sf).select("doc_id", "para_id"), "doc_id", "para_id")
+
+
+@query("q_slice_paragraphs", f"select doc_id, para_id from {S_PARAGRAPHS} order by text, doc_id, para_id limit 20000 offset 500")
+def slice_paragraphs(spark, sf):
+    """A long slice of the paragraphs in order of their texts."""
+    rows = numbering.slice_rows(_paragraphs(spark, sf).select("doc_id", "para_id", "text"), "text", "doc_id", "para_id", skip=500, most=20_000)
+    return rows.select("doc_id", "para_id")
+
+
+@query("q_renumber", "select cast(row_number() over (order by l_orderkey, l_linenumber) as integer) as para_id, l_orderkey || '-' || l_linenumber as headword, 'n.' as part_of_speech from lineitem")
+def renumber(spark, sf):
+    """Entries of many documents numbered anew as they are parsed."""
+    place = F.struct("l_orderkey", "l_linenumber")
+    rows = _table(spark, sf, "lineitem").select(place.alias("para_id"), F.expr("concat(l_orderkey, '-', l_linenumber)").alias("id"))
+    rows = rows.select("para_id", F.concat("id", F.lit(" n. a thing")).alias("text"))
+    return cascade.parse(rows, renumber=True).select("para_id", "headword", "part_of_speech")
+
+
 def _rule_records(spark, sf) -> DataFrame:
     return _table(spark, sf, "part").select(
         F.col("p_partkey").alias("entry_id"), F.expr("concat(' ', p_name, '  ', p_type)").alias("source_text"), F.col("p_name").alias("headword_raw"), F.lower("p_name").alias("headword"), F.lit(None).cast("string").alias("variant_forms_raw"),
