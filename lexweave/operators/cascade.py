@@ -1,13 +1,14 @@
 """Ordered rules that turn an entry's text into a lexical record, as column expressions.
 
 The first rule that fits wins. A rule has a test, and an expression for each field it sets; every
-field of the record is one CASE over the chosen rule. Two repair rules rewrite the text and
-start again, at most three times.
+field of the record is one CASE over the chosen rule. Patterns are tried only where the text holds
+what they can't do without. Two repair rules rewrite the text and start again, at most three times.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,47 @@ UNDOTTED = "adj|adv|prep|conj|pron|part|int|interj|voc|phr|n|v|num|excl|exclam"
 RECORD = ["entry_id", "para_id", "id", "source_text", *STRINGS[:2], "variant_forms_raw", "variant_forms", *STRINGS[3:8], "grammatical_labels", "definition", "etymology", "cross_references", "examples", "region_mentions", "entry_type", "parse_confidence", "parse_notes", "rule_branch", "repair_depth"]
 
 
+#: What a text must hold, in lower case, for a rule's pattern to have a chance; a rule needs all that are listed for it.
+NEEDS = {
+    "C1": ("/", "see"), "C2": (".", "see"), "C3": (",", "see"), "C4": (",", "see"), "C5": ("/", ",", "in the "), "C6": (",", "in the "), "C7": ("are commonly used",), "C8": ("abbreviation for",),
+    "C9": (",",), "C10": ("/", "?", "."), "C11": ("/",), "C12": (".",), "C13": ("also",), "C14": ("/",), "C15": (),
+}
+MARKS = tuple(dict.fromkeys(m for needs in NEEDS.values() for m in needs))
+
+
+def marks(t: Column) -> Column:
+    """Bits for the MARKS that a text holds, from one look at it.
+
+    The four letters that a pattern without case takes for s, i and k, though lower() doesn't, are folded first.
+    """
+    folded = F.lower(F.translate(t, "İıſK", "iisk"))
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.contains(folded, F.lit(m)), 1 << i).otherwise(0) for i, m in enumerate(MARKS)])
+
+
+def reachable(name: str, bits: Column) -> Column:
+    """Whether a text with these bits can fit the rule at all."""
+    mask = sum(1 << MARKS.index(m) for m in NEEDS[name])
+    return bits.bitwiseAND(F.lit(mask)) == mask
+
+
+def pattern_evaluations(records: DataFrame, profile: str = "src", text_col: str = "text", id_col: str = "para_id") -> DataFrame:
+    """id, rule of the first round, and how many patterns are tried for it: in order, and with the rules out of reach left out."""
+    own = records.select(id_col, T.normalize_entry_text(F.coalesce(text_col, F.lit(""))).alias("_text")).withColumn("_bits", marks(F.col("_text")))
+    known, _ = rules(F.col("_text"), F.col("_text"), profile)
+    own = own.withColumn("_branch", _first(known, F.col("_bits")))
+    place = F.array_position(F.array(*[F.lit(r.name) for r in known]), F.col("_branch")).cast("int")
+    tried = F.size(F.filter(F.slice(F.array(*[reachable(r.name, F.col("_bits")) for r in known]), F.lit(1), place), lambda x: x))
+    return own.select(id_col, F.col("_branch").alias("rule"), place.alias("in_order"), tried.alias("in_reach"))
+
+
+def _first(known: list[Rule], bits: Column) -> Column:
+    """The name of the first rule that fits."""
+    branch = F.lit(None)
+    for rule in reversed(known):
+        branch = F.when(reachable(rule.name, bits) & rule.test, rule.name).otherwise(branch)
+    return branch
+
+
 @dataclass
 class Rule:
     name: str
@@ -205,11 +247,11 @@ def parse(df: DataFrame, profile: str = "src", text_col: str = "text", id_col: s
     own = own.withColumn("_text", T.normalize_entry_text("_original")).withColumn("_trail", F.array().cast("array<string>"))
     for depth in range(REPAIRS + 1):
         known, repaired = rules(F.col("_text"), F.col("_original"), profile)
-        branch = F.lit(None)
-        for rule in reversed(known):
-            branch = F.when(rule.test, rule.name).otherwise(branch)
+        again = F.col("_again") if depth else F.lit(True)
+        own = own.withColumn("_bits", F.when(again, marks(F.col("_text"))))
+        branch = _first(known, F.col("_bits"))
         if depth:  # rows that were settled before keep their rule
-            branch = F.when(F.col("_again"), branch).otherwise(F.col("_branch"))
+            branch = F.when(again, branch).otherwise(F.col("_branch"))
         own = own.withColumn("_branch", branch)
         fixed = F.when(F.col("_branch") == "C10", repaired["C10"]).when(F.col("_branch") == "C14", repaired["C14"])
         own = own.withColumn("_fixed", fixed)

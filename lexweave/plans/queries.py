@@ -226,6 +226,24 @@ def parse_mix(spark, sf):
     return _shown(cascade.parse(_table(spark, sf, "part").select(F.col("p_partkey").alias("para_id"), entry.alias("text"))))
 
 
+_MIX = "case p_partkey % {n} {arms} end".format(n=len(PARSES), arms=" ".join(f"when {i} then {e}" for i, (e, _) in enumerate(PARSES.values())))
+
+
+def _s_effort() -> str:
+    """The rules in order up to the one that each entry is made for, and those among them whose marks the entry holds."""
+    names = list(cascade.NEEDS)
+    holds = lambda name: " and ".join(f"contains(e, '{m}')" for m in cascade.NEEDS[name]) or "true"
+    counted = " + ".join(f"case when rank >= {i + 1} and {holds(name)} then 1 else 0 end" for i, name in enumerate(names))
+    return f"select cast(p_partkey as integer) as para_id, 'C' || rank as rule, rank as in_order, cast({counted} as integer) as in_reach from (select p_partkey, lower({_MIX}) as e, cast(p_partkey % {len(PARSES)} + 1 as integer) as rank from part)"
+
+
+@query("q_parse_effort", _s_effort())
+def parse_effort(spark, sf):
+    """How many patterns an entry meets, in order and within reach."""
+    rows = _table(spark, sf, "part").select(F.col("p_partkey").cast("int").alias("para_id"), F.expr(_MIX).alias("text"))
+    return cascade.pattern_evaluations(rows)
+
+
 @query("q_list_clean", "select p_partkey, p_name || '|' || p_type as cleaned, p_brand || '|' || p_type as prons, lower(p_type) || '|n.' as pos, upper(p_name) || '|' || p_type as xrefs from part where p_name is not null")
 def list_clean(spark, sf):
     arr = lambda *x: F.array(*[F.expr(e) for e in x])
