@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from .common import discard, steps, written
 
 WINDOW_WORDS = 10
-#: Words of the items that one automaton takes (or one item), and bytes of item texts that one pass over the documents broadcasts.
+#: Words of the items that one automaton takes (with one piece of an item more), and bytes of item texts that one pass over the documents broadcasts.
 PACK_WORDS, SHARE_BYTES = 200_000, 32 << 20
 #: Text of the documents that several automata scan in turn before the next documents are taken.
 CHUNK_BYTES = 32 << 20
@@ -75,20 +75,31 @@ def _automaton(packs: list[list[tuple[str, str | None]]], k: int, name: str, siz
     return _BUILT[name, k, size]
 
 
-def _shares(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator[list[list[tuple[str, str | None]]]]:
-    """The items in packs of about PACK_WORDS words, as many at a time as SHARE_BYTES hold."""
+def _pieces(text: str | None, size: int) -> Iterator[str]:
+    """An item of up to PACK_WORDS windows as it is, a longer one as runs of words that share all but one word of a window."""
+    own = words(text)
+    if len(own) - size < PACK_WORDS:
+        yield text or ""
+        return
+    for at in range(0, len(own) - size + 1, PACK_WORDS):
+        yield b" ".join(own[at : at + PACK_WORDS + size - 1]).decode()
+
+
+def _shares(benchmark: DataFrame, item_id: str, item_text: str, size: int = WINDOW_WORDS) -> Iterator[list[list[tuple[str, str | None]]]]:
+    """The items in packs of about PACK_WORDS words, as many at a time as SHARE_BYTES hold; longer items come in several pieces."""
     packs: list[list[tuple[str, str | None]]] = [[]]
     held = in_pack = 0
     for row in benchmark.select(F.col(item_id).cast("string"), F.col(item_text)).toLocalIterator():
-        if held >= SHARE_BYTES:
-            yield packs
-            packs, held, in_pack = [[]], 0, 0
-        elif in_pack >= PACK_WORDS:
-            packs.append([])
-            in_pack = 0
-        packs[-1].append((row[0] or "", row[1]))
-        in_pack += len(words(row[1]))
-        held += len((row[1] or "").encode())
+        for piece in _pieces(row[1], size):
+            if held >= SHARE_BYTES:
+                yield packs
+                packs, held, in_pack = [[]], 0, 0
+            elif in_pack >= PACK_WORDS:
+                packs.append([])
+                in_pack = 0
+            packs[-1].append((row[0] or "", piece))
+            in_pack += len(words(piece))
+            held += len(piece.encode())
     yield packs
 
 
@@ -143,7 +154,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
     spark, row = docs.sparkSession, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(None).cast(_HITS).alias("hits"), F.lit(0).cast("long").alias("n_words"), *row)
     shared = scan = before = None
-    for packs in _shares(benchmark, item_id, item_text):
+    for packs in _shares(benchmark, item_id, item_text, size):
         if shared is not None:
             rows = written(rows.mapInArrow(scan, rows.schema), "scanned")
             shared.destroy()

@@ -31,8 +31,10 @@ CHUNK_BYTES = 32 << 20
 _BLOCK = 1 << 20
 #: Grams that a task sums before it passes them on.
 _SUM_MOST = 1 << 20
-#: Held-out trusted documents from which on a language has quantiles of its own.
-HELD_LEAST = 100
+#: Quantiles of the held-out trusted documents between which a document stays.
+LOW, HIGH = 0.005, 0.97
+#: So many held-out documents of a language weigh as much as those of all languages together.
+HELD_EVEN = 200
 #: Bits of the filter by which most documents without trust stay out of the join with the trusted ids.
 FILTER_BITS = 1 << 25
 FILTER_HASHES = 4
@@ -344,13 +346,30 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 5 == 0
 
 
-def score_quality(docs: DataFrame, trusted: DataFrame, low: float = 0.005, high: float = 0.995, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def thresholds(checked: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
+    """cut_lang, low, high: the quantiles of each language's perplexities in (lang, perplexity), by one rule at every size.
+
+    A language has its own median. How far its quantiles lie from that, in logarithms, is the mean of what its own n documents
+    say, with weight n, and of what those of all languages say about theirs, with weight HELD_EVEN: the tail of a few
+    documents is no more than its extremes. One row a language; the tail of all is one row.
+    """
+    logs = checked.where(F.col("perplexity") > 0).select("lang", F.log("perplexity").alias("x"))
+    middle = logs.groupBy(F.col("lang").alias("cut_lang")).agg(F.percentile_approx("x", 0.5, 10_000).alias("m"), F.count("*").alias("n"))
+    apart = logs.join(F.broadcast(middle), F.col("lang") == F.col("cut_lang")).withColumn("r", F.col("x") - F.col("m"))
+    edges = F.percentile_approx("r", [low, high], 10_000).alias("e")
+    shared = apart.agg(edges).first()["e"] or [0.0, 0.0]
+    own = F.col("n") / (F.col("n") + HELD_EVEN)
+    at = lambda i: F.exp(F.col("m") + own * F.col("e")[i] + (1 - own) * F.lit(shared[i]))
+    return apart.groupBy("cut_lang", "m", "n").agg(edges).select("cut_lang", at(0).alias("low"), at(1).alias("high"))
+
+
+def score_quality(docs: DataFrame, trusted: DataFrame, low: float = LOW, high: float = HIGH, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, lang, n_symbols, perplexity, low, high, keep for every whole text.
 
     The model is trained on the documents whose id is in `trusted`, but for the fifth of held_out(); per language, and
     pooled for documents whose language has no trusted text (or comes after the LANGS_MOST most frequent). keep is true
-    where the perplexity lies between the language's quantiles over the held-out trusted documents; a language with fewer
-    than HELD_LEAST of them goes by those of all languages. Null text is empty and
+    where the perplexity lies between the language's quantiles over the held-out trusted documents (thresholds() says how
+    few of them are made up for). Null text is empty and
     is not kept; null lang goes by the pool; without trusted text perplexity is null and all is kept. Rows with
     the same id are scored each for itself, an empty table gives no row, other columns are not read.
     """
@@ -373,9 +392,7 @@ def score_quality(docs: DataFrame, trusted: DataFrame, low: float = 0.005, high:
     checked = scored.where(held_out("doc_id")).join(sure.hint("shuffle_hash"), "doc_id", "left_semi")
     edges = F.percentile_approx("perplexity", [low, high], 10_000)
     pool = checked.agg(edges.alias("e")).first()["e"] or [None, None]
-    # One row a language of `langs`.
-    cuts = checked.where(F.col("lang").isin(sorted(langs))).groupBy(F.col("lang").alias("cut_lang")).agg(edges.alias("e"), F.count("*").alias("n")).where(F.col("n") >= HELD_LEAST)
-    cuts = cuts.select("cut_lang", F.col("e")[0].alias("low"), F.col("e")[1].alias("high"))
+    cuts = thresholds(checked.where(F.col("lang").isin(sorted(langs))), low, high)
     out = scored.join(F.broadcast(cuts), F.col("lang") == F.col("cut_lang"), "left").drop("cut_lang")
     out = out.withColumn("low", F.coalesce("low", F.lit(pool[0]).cast("double"))).withColumn("high", F.coalesce("high", F.lit(pool[1]).cast("double")))
     keep = (F.col("n_symbols") > 0) & F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(True))

@@ -28,8 +28,6 @@ BUCKET_MOST = 16
 LEADERS = 3
 #: Nodes, and shingles of all their sets, that one side of a block holds where holders of a rare shingle meet.
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 20
-#: Of the values, a pair under SURE of which agree is checked exactly; so many agree at 0.8 or less with a chance of 0.00002.
-SURE = 95
 #: Standard deviations below the similarity at which the values rule a pair out.
 SLACK = 4.0
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -227,9 +225,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), node and component (its group's name) per row.
 
     Two documents are linked if the sets of their word shingles have a Jaccard similarity of at least
-    `similarity`. Pairs that agree in SURE or more values count as linked; all others are
-    checked on whole texts, first the closest candidate of each node, then those still apart, then
-    those that share only full buckets, by their rarest shingles.
+    `similarity`. Every link is checked on whole texts: first the closest candidate of each node,
+    then the pairs still apart, then those that share only full buckets, by their rarest shingles.
     Rows with equal words are one class, so copies never multiply. Texts without words are copies of each other. Rows
     with a null id are grouped too but name no component, unless all ids are null, when it is null. Rows with the same id each give a row.
     """
@@ -240,9 +237,9 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
     scored = written(estimated(pairs, classes, similarity), "scored-pairs")
     for table in used:
         discard(table)
-    links = scored.where(F.col("same") >= SURE).select("a", "b")
-    groups = written(connected_components(links), "sure-groups")
-    doubt = written(_apart(scored.where(F.col("same") < SURE), groups), "doubtful-pairs")
+    doubt = scored
+    links = written(doubt.select("a", "b").limit(0), "no-links")
+    groups = written(connected_components(links), "no-groups")
     crowded = not crowd.isEmpty()
     if crowded or not doubt.isEmpty():
         ends = doubt.select(F.col("a").alias("node")).unionByName(doubt.select(F.col("b").alias("node"))).unionByName(crowd).distinct()

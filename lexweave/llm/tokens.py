@@ -29,15 +29,17 @@ class TokenEncoder:
 
     A tokenizer that lower-cases and splits at words is fed word by word: every word of a
     text is looked up in a bounded cache and only new words reach the library. Texts with
-    characters outside the plain range, and other kinds of tokenizers, go to the library whole.
+    characters outside the plain range or with one of the file's added tokens, in any case of
+    letters, and other kinds of tokenizers, go to the library whole.
     """
 
     def __init__(self, spec: str, cache_words: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
         parts = json.loads(spec)
+        added = [re.escape(t["content"].lower()) for t in parts.get("added_tokens", []) if t["content"]]
+        self.added = re.compile("|".join(added)) if added else None
         normal = [x.get("type") for x in (parts.get("normalizer") or {}).get("normalizers", [])]
         split = [x.get("pattern", {}).get("Regex") for x in (parts.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         self.by_word = normal == WORD_NORMALIZERS and split[:1] == [WORD_SPLIT]
@@ -78,10 +80,11 @@ class TokenEncoder:
         words: dict[int, list[str]] = {}
         rest = []
         for i, text in enumerate(texts):
-            if self.odd.search(text):
+            low = text.lower()
+            if self.odd.search(text) or (self.added and self.added.search(low)):
                 rest.append(i)
             else:
-                words[i] = self.word.findall(text.lower())
+                words[i] = self.word.findall(low)
         for i, ids in zip(rest, self._whole([texts[i] for i in rest]), strict=True):
             out[i] = ids
         if len(self.cache) > self.cache_words:

@@ -42,7 +42,6 @@ def texts(docs):
 @pytest.fixture(scope="module")
 def ids(texts):
     tok = Tokenizer.from_file(TOKENIZER)
-    tok.encode_special_tokens = True
     return {k: tok.encode(t, add_special_tokens=False).ids for k, t in texts.items()}
 
 
@@ -374,7 +373,66 @@ def test_trusted_documents_are_those_of_the_ids(spark, monkeypatch):
 def test_quality_finds_noise(spark):
     rows = QUERIES["op7_quality"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
     kept = lambda q: np.mean([r["keep"] for r in rows if r["quality"] == q])
-    assert kept(1) > 0.95 and kept(0) < 0.5
+    assert kept(1) > 0.95 and kept(0) < 0.1
+
+
+def test_quality_by_language(spark):
+    """One rule at every size: with more data each language keeps good documents and few bad ones."""
+    sf = "/root/testdata/sf0.1"
+    rows = QUERIES["op7_quality"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("lang", "quality").agg(F.avg(F.col("keep").cast("double")).alias("k"), F.count("*").alias("n")).collect()
+    assert {r["lang"] for r in rows} == {"de", "en", "es", "fr"}
+    for r in rows:
+        assert r["k"] >= 0.95 if r["quality"] == 1 else r["k"] <= 0.1, r
+
+
+def test_thresholds_by_hand(spark):
+    """A language's own tail and the tail of all, by the number of its documents; one bad document of a few opens no gate."""
+    rng = np.random.default_rng(2)
+    groups = {"many": np.exp(rng.normal(1.0, 0.1, 4000)), "some": np.exp(rng.normal(2.0, 0.2, 200)), "few": np.exp([1.5, 1.5, 1.5, 1.5, 9.0])}
+    df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v] + [("none", None)], "lang string, perplexity double")
+    got = {r["cut_lang"]: (r["low"], r["high"]) for r in quality.thresholds(df, 0.01, 0.95).collect()}
+    logs = {k: np.log(v) for k, v in groups.items()}
+    middle = {k: np.quantile(v, 0.5, method="inverted_cdf") for k, v in logs.items()}
+    shared = np.quantile(np.concatenate([v - middle[k] for k, v in logs.items()]), [0.01, 0.95], method="inverted_cdf")
+    assert set(got) == set(groups)
+    for k, v in logs.items():
+        own = np.quantile(v - middle[k], [0.01, 0.95], method="inverted_cdf")
+        w = len(v) / (len(v) + quality.HELD_EVEN)
+        assert np.allclose(np.log(got[k]), middle[k] + w * own + (1 - w) * shared, atol=0.02)
+    assert np.log(got["few"][1]) < 2.0
+
+
+def test_special_tokens_are_the_librarys(spark):
+    """Texts that name an added token, in any case of letters, give the library's ids, in sequences and in files."""
+    texts = [(1, "hello <|endoftext|> world"), (2, "<|startoftext|>a<|endoftext|>"), (3, "A <|ENDOFTEXT|> b"), (4, "plain <| endoftext |> words"), (5, "<|endoftext|>" * 300), (6, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    tok = Tokenizer.from_file(TOKENIZER)
+    want = {k: tok.encode(t or "", add_special_tokens=False).ids for k, t in texts}
+    assert want[1] == [3306, 49407, 1002]
+    read = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in read_token_files(write_token_files(docs, TOKENIZER)).collect()}
+    assert read == {k: (len(v) + 1, crc([*v, 2])) for k, v in want.items()}
+    pieces = defaultdict(list)
+    for r in packing.pack_documents(docs, TOKENIZER, with_ids=False).collect():
+        pieces[r["doc_id"]].append((r["start"], r["length"], r["ids_crc32"]))
+    for k, own in pieces.items():
+        whole = [*want[k], 1]
+        assert [x[2] for x in sorted(own)] == [crc(whole[a : a + n]) for a, n, _ in sorted(own)] and sum(n for _, n, _ in own) == len(whole)
+
+
+def test_items_of_any_number_of_words():
+    """An item with more different words than there are characters comes in pieces that have all its windows once."""
+    from lexweave.llm import decontaminate
+
+    item = " ".join(f"w{i}" for i in range(1_150_000))
+    pieces = list(decontaminate._pieces(item, 10))
+    own, starts = decontaminate.words(item), []
+    for p in pieces:
+        w = decontaminate.words(p)
+        at = int(w[0][1:])
+        assert own[at : at + len(w)] == w and len(w) <= decontaminate.PACK_WORDS + 9
+        starts += range(at, at + len(w) - 9)
+    assert starts == list(range(len(own) - 9))
+    assert decontaminate.WordAutomaton([("x", pieces[-1])]).automaton is not None
 
 
 def test_sharding(spark, docs, texts):

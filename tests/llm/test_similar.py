@@ -91,3 +91,12 @@ def test_one_of_each_group_stays_whatever_its_id(spark):
     assert kept(rows) == Counter(["Alone  without an id", "a second one of these", "one text", "Quite another text", long, "A b c", None])
     assert kept([(None, t) for _, t in rows]) == Counter(["Alone  without an id", "a second one of these", "one text", "Quite another text", kept([(None, long), (None, long + " end")]).popitem()[0], "A b c", None])
     assert kept([r for r in rows if r[0] in (8, 9, 10)]) == Counter([long, "A b c"])
+
+
+def test_every_link_is_checked(spark, monkeypatch):
+    """Values that agree by chance link nothing: whole texts decide."""
+    monkeypatch.setattr(similar, "min_hashes", lambda hashes: np.zeros(similar.VALUES, dtype="<u2"))
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[:30] + [f"x{i}_{j}" for j in range(30)])) for i in range(6)] + [(10, " ".join(words)), (11, " ".join(words + ["end"]))]
+    got = similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {**{i: i for i in range(6)}, 10: 10, 11: 10}
