@@ -4,38 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions.text import int_from_id, user_prompt
+from .asking import RateBudget, in_order, retrying
 from .numbering import slice_rows
 
 #: make() runs once a task and returns ask(system, user) -> reply, so clients need not be pickled.
 MakeClient = Callable[[], Callable[[str, str], str]]
 
 
-def ask_model(df: DataFrame, make: MakeClient, system_prompt: str, template: str) -> DataFrame:
+def ask_model(df: DataFrame, make: MakeClient, system_prompt: str, template: str, parallel: int = 1, attempts: int = 1, per_second: float | None = None) -> DataFrame:
     """entry_id, entry_text, raw_reply, ask_error for each entry; a failed call is the row's own error.
 
-    Every request is made once per task attempt; write the result before reading it twice.
+    A task keeps up to `parallel` requests under way and gives the replies in the order of its rows. A request that may
+    succeed later is made up to `attempts` times. `per_second` bounds the requests of the whole job, an even share of which
+    falls to each task that can run at a time. Every request is made once per task attempt; write the result before reading
+    it twice.
     """
     rows = df.select(F.col("entry_id").cast("string").alias("entry_id"), "entry_text", user_prompt(template, F.coalesce("entry_text", F.lit(""))).alias("prompt"))
+    share = None if per_second is None else per_second / df.sparkSession.sparkContext.defaultParallelism
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ask = make()
-        for batch in batches:
-            replies: list[str | None] = []
-            errors: list[str | None] = []
-            for prompt in batch.column("prompt").to_pylist():
-                try:
-                    replies.append(ask(system_prompt, prompt))
-                    errors.append(None)
-                except Exception as error:  # noqa: BLE001  any failure belongs to its row
-                    replies.append(None)
-                    errors.append(str(error) or type(error).__name__)
-            yield pa.RecordBatch.from_arrays([batch.column("entry_id"), batch.column("entry_text"), pa.array(replies, pa.string()), pa.array(errors, pa.string())], names=["entry_id", "entry_text", "raw_reply", "ask_error"])
+        ask = retrying(make(), attempts, RateBudget(share))
+
+        def answer(prompt: str) -> tuple[str | None, str | None]:
+            try:
+                return ask(system_prompt, prompt), None
+            except Exception as error:  # noqa: BLE001  any failure belongs to its row
+                return None, str(error) or type(error).__name__
+
+        with ThreadPoolExecutor(parallel) as pool:
+            for batch in batches:
+                replies = list(in_order(pool, answer, batch.column("prompt").to_pylist(), 2 * parallel))
+                columns = [batch.column("entry_id"), batch.column("entry_text"), *(pa.array([r[i] for r in replies], pa.string()) for i in (0, 1))]
+                yield pa.RecordBatch.from_arrays(columns, names=["entry_id", "entry_text", "raw_reply", "ask_error"])
 
     return rows.mapInArrow(run, "entry_id string, entry_text string, raw_reply string, ask_error string")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import parse_hash
 from ..functions.text import hash_text
 from ..schemas import COMPARE_COLS
+from ..sources.store import Store
 
 REGISTRY = (
     "run_id int, run_name string, timestamp_utc string, parser_label string, parser_code_version string, notes string, previous_run_id int, docx_path string, "
@@ -45,34 +47,62 @@ def compare_runs(old: DataFrame, new: DataFrame, key: str = "para_id", compare:
 
 
 class Registry:
-    """Append-only table of runs; a later version of a run replaces the earlier one on reading."""
+    """Append-only table of runs, safe for writers side by side.
+
+    A run's id, and the number of each of its versions, is claimed by a file that only one writer can create. A version
+    holds the fields that it sets; reading takes each field from the newest version that has it, so updates of different
+    fields at the same time all count.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path, self.store = spark, path, Store(spark, path)
 
     def frame(self) -> DataFrame:
-        """The newest version of each run, with the id of the run before it."""
+        """Each run with its newest values and the id of the run before it."""
         try:
             rows = self.spark.read.schema(REGISTRY).parquet(self.path)
         except Exception as error:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(error):
+            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER" not in str(error):
                 raise
             return self.spark.createDataFrame([], REGISTRY)
         return latest(rows)
 
+    def _claim(self, name: str, first: int) -> int:
+        """The lowest number from `first` on that nobody has."""
+        taken = [int(n.rpartition("-")[2]) for n in self.store.names("_claims") if n.startswith(name)]
+        number = max([first, *(t + 1 for t in taken)])
+        while not self.store.claim(f"_claims/{name}{number:09d}", ""):
+            number += 1
+        return number
+
+    def _add(self, values: dict) -> None:
+        kinds = [f.split() for f in REGISTRY.split(", ")]
+        row = self.spark.createDataFrame([tuple(values.get(name) for name, _ in kinds)], REGISTRY)
+        if values["version"] == 0:
+            row = row.withColumn("timestamp_utc", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"))
+        aside = f"_rows/{uuid.uuid4().hex}"  # Spark's own appends to one folder can't run side by side
+        row.coalesce(1).write.parquet(self.store.full(aside))
+        for part in (n for n in self.store.names(aside) if n.startswith("part-")):
+            self.store.move(f"{aside}/{part}", part)
+        self.store.delete(aside)
+
     def start(self, parser_label: str, parser_code_version: str, docx_path: str = "", notes: str = "") -> int:
-        runs = self.frame()
-        last = runs.agg(F.max("run_id")).first()[0]
-        run = (last or 0) + 1
-        values = {"run_id": run, "run_name": f"run_{run:03d}", "parser_label": parser_label, "parser_code_version": parser_code_version, "notes": notes, "previous_run_id": last, "docx_path": docx_path, "version": 0}
-        row = self.spark.createDataFrame([tuple(values.get(f.split()[0]) for f in REGISTRY.split(", "))], REGISTRY)
-        row.withColumn("timestamp_utc", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")).write.mode("append").parquet(self.path)
+        last = self.frame().agg(F.max("run_id")).first()[0] or 0
+        run = self._claim("run-", last + 1)
+        self._add({"run_id": run, "run_name": f"run_{run:03d}", "parser_label": parser_label, "parser_code_version": parser_code_version, "notes": notes, "previous_run_id": run - 1 or None, "docx_path": docx_path, "version": 0})
         return run
 
     def update(self, run_id: int, **values) -> None:
-        row = self.frame().where(F.col("run_id") == run_id)
-        kinds = dict(row.dtypes)
-        row.withColumns({k: F.lit(v).cast(kinds[k]) for k, v in values.items()} | {"version": F.col("version") + 1}).write.mode("append").parquet(self.path)
+        """Set fields of a run; null sets nothing."""
+        unknown = set(values) - {f.split()[0] for f in REGISTRY.split(", ")}
+        if unknown:
+            raise ValueError(f"no such fields: {sorted(unknown)}")
+        kinds = dict(f.split() for f in REGISTRY.split(", "))
+        typed = {k: v if v is None or kinds[k] == "string" else int(v) for k, v in values.items()}
+        now = self.frame().where(F.col("run_id") == run_id).select("version").first()
+        if now is None:
+            raise ValueError(f"no run {run_id}")
+        self._add(typed | {"run_id": run_id, "version": self._claim(f"version-{run_id:09d}-", now["version"] + 1)})
 
     def previous(self, run_id: int) -> DataFrame:
         runs = self.frame()
@@ -81,8 +111,10 @@ class Registry:
 
 
 def latest(rows: DataFrame) -> DataFrame:
-    """Newest version of each run."""
-    return rows.groupBy("run_id").agg(F.max_by(F.struct("*"), "version").alias("r")).select("r.*")
+    """Each run once, each field from the newest version that has it."""
+    version = F.col("version")
+    fields = [F.max(version).alias(c) if c == "version" else F.max_by(c, F.when(F.col(c).isNotNull(), version)).alias(c) for c in rows.columns if c != "run_id"]
+    return rows.groupBy("run_id").agg(*fields).select(*rows.columns)
 
 
 def with_previous(runs: DataFrame) -> DataFrame:

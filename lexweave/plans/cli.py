@@ -31,7 +31,7 @@ def run_model(spark: SparkSession, c: Config, make: extract.MakeClient | None =
 
     Every `commit_rows` entries (all by default) are added to both outputs at once, so a crash loses no more than what was
     asked since; runs side by side don't add an entry twice. Failed entries are passed over in this run and come again in
-    the next. The key for the endpoint is `api_key`, or the environment variable that `api_key_env` names.
+    the next. `parallel`, `attempts` and `per_second` are those of ask_model(). The key for the endpoint is `api_key`, or the environment variable that `api_key_env` names.
     """
     entries, skip, left = readers.read_entries(spark, c.input_path, with_place=True), c.get("skip_unfinished_rows", 0), c.get("max_new_rows")
     key = c.get("api_key") or os.environ.get(c.get("api_key_env", ""), "")
@@ -41,7 +41,7 @@ def run_model(spark: SparkSession, c: Config, make: extract.MakeClient | None =
         version = log.recover()
         most = min((x for x in (left, step) if x is not None), default=None)
         batch = extract.next_batch(entries, readers.done_ids(spark, c.output_jsonl), skip, most, "place")
-        replies = extract.ask_model(batch, make, readers.load_prompt(c.system_prompt), readers.load_prompt(c.parser_prompt)).persist()
+        replies = extract.ask_model(batch, make, readers.load_prompt(c.system_prompt), readers.load_prompt(c.parser_prompt), c.get("parallel", 1), c.get("attempts", 1), c.get("per_second")).persist()
         records = extract.read_replies(replies)
         asked, good = replies.count(), extract.good(records).count()
         try:
