@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import hash_text, strip
 from ..schemas import ENTRY
 from .docx import read_docx
+from .json_split import split_json
 
 
 def split_paragraphs(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -37,7 +38,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_entries(spark: SparkSession, path: str, with_place: bool = False) -> DataFrame:
-    """entry_id, entry_text from a JSON list, a JSON object from id to text, or JSON lines.
+    """entry_id, entry_text from a JSON list, a JSON object from id to text, or JSON lines, all read in blocks.
 
     `with_place` adds the struct `place`, by which the entries stand in the order of the input.
     """
@@ -48,12 +49,13 @@ def read_entries(spark: SparkSession, path: str, with_place: bool = False) -> Da
         return lines.select("*", place.alias("place")) if with_place else lines
     if kind != ".json":
         raise ValueError(f"unknown kind of input: {kind or path}")
-    whole = spark.read.text(path, wholetext=True).select(strip("value").alias("value"))
-    listed = F.posexplode(F.from_json("value", f"array<struct<{ENTRY.replace(' string', ': string')}>>", {"mode": "FAILFAST"}))
-    rows = whole.where(F.col("value").startswith("[")).select(listed.alias("place", "e")).select("e.*", "place")
-    mapped = F.posexplode(F.from_json("value", "map<string,string>", {"mode": "FAILFAST"}))
-    rows = rows.unionByName(whole.where(~F.col("value").startswith("[")).select(mapped.alias("place", "entry_id", "entry_text")))
-    return rows.withColumn("place", F.struct("place")) if with_place else rows.drop("place")
+    cut = split_json(spark, path)
+    strict = {"mode": "FAILFAST"}
+    listed = F.from_json("text", f"struct<{ENTRY.replace(' string', ': string')}>", strict)
+    rows = cut.where("kind = '['").select(listed.alias("e"), "place").select("e.*", "place")
+    named = F.explode(F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), "map<string,string>", strict))
+    rows = rows.unionByName(cut.where("kind = '{'").select(named.alias("entry_id", "entry_text"), "place"))
+    return rows if with_place else rows.drop("place")
 
 
 def done_ids(spark: SparkSession, path: str) -> DataFrame:
