@@ -29,16 +29,18 @@ def build_parsed(records: DataFrame, compare: list[str] = COMPARE_COLS) -> DataF
     return full.select(*[c for c in head if c in full.columns], *[c for c in full.columns if c not in head])
 
 
-def compare_runs(old: DataFrame, new: DataFrame, key: str = "para_id", compare: list[str] = COMPARE_COLS) -> DataFrame:
+def compare_runs(old: DataFrame, new: DataFrame, key: str = "para_id", compare: list[str] = COMPARE_COLS, null_keys: bool = True) -> DataFrame:
     """Full outer join of two runs with change_status, changed_columns, their number, source_changed and parse_changed.
 
-    Null keys meet each other; values are compared by type, null equal to null.
+    Null keys meet each other; values are compared by type, null equal to null. Runs whose keys are never null may say so
+    by `null_keys=False`: the join is then one of plain equality, for which buckets and sorted tables serve.
     """
     keep = ["source_text", "source_hash", "parse_hash", *[c for c in compare if c in old.columns and c in new.columns]]
     compare = keep[3:]
     side = lambda df, s: df.select(F.col(key).alias(f"_k_{s}"), F.lit(True).alias(f"_in_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in keep])
     hashed = lambda df: df if "parse_hash" in df.columns else df.withColumns({"source_hash": hash_text("source_text"), "parse_hash": parse_hash(compare)})
-    both = side(hashed(old), "old").join(side(hashed(new), "new"), F.col("_k_old").eqNullSafe(F.col("_k_new")), "full")
+    same = F.col("_k_old").eqNullSafe(F.col("_k_new")) if null_keys else F.col("_k_old") == F.col("_k_new")
+    both = side(hashed(old), "old").join(side(hashed(new), "new"), same, "full")
     met = F.col("_in_old").isNotNull() & F.col("_in_new").isNotNull()
     status = F.when(F.col("_in_new").isNull(), "removed").when(F.col("_in_old").isNull(), "added").when(F.col("parse_hash_old") == F.col("parse_hash_new"), "unchanged").otherwise("changed")
     changed = F.array_compact(F.array(*[F.when(met & ~F.col(f"{c}_old").eqNullSafe(F.col(f"{c}_new")), c) for c in compare]))

@@ -29,10 +29,8 @@ def paragraph_texts(data) -> Iterator[str]:
         yield "".join(parts)
 
 
-def read_docx(spark: SparkSession, path: str) -> DataFrame:
-    """path, para_id (from 1, blank paragraphs counted), text of a file, or of the .docx files of a folder or pattern."""
-    reader = spark.read.format("binaryFile")
-    files = (reader if path.endswith(".docx") else reader.option("pathGlobFilter", "*.docx")).load(path).select("path", "content")
+def docx_rows(files: DataFrame) -> DataFrame:
+    """path, para_id (from 1, blank paragraphs counted), text of every file of (path, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -41,4 +39,10 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
                 columns = [pa.array([batch.column("path")[i].as_py()] * len(texts), pa.string()), pa.array(range(1, len(texts) + 1), pa.int32()), pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["path", "para_id", "text"])
 
-    return files.mapInArrow(run, "path string, para_id int, text string")
+    return files.select("path", "content").mapInArrow(run, "path string, para_id int, text string")
+
+
+def read_docx(spark: SparkSession, path: str) -> DataFrame:
+    """docx_rows() of a file, or of the .docx files of a folder or pattern."""
+    reader = spark.read.format("binaryFile")
+    return docx_rows((reader if path.endswith(".docx") else reader.option("pathGlobFilter", "*.docx")).load(path))

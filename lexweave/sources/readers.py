@@ -27,9 +27,13 @@ def text_paragraphs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def docx_paragraphs(spark: SparkSession, path: str) -> DataFrame:
-    """Paragraphs of DOCX files: para_id, text, text_hash."""
-    rows = read_docx(spark, path)
-    return rows.select("para_id", strip("text").alias("text")).where(F.col("text") != "").withColumn("text_hash", hash_text("text"))
+    """Paragraphs of DOCX files: para_id, text, text_hash, and the path of the file, within which ids count."""
+    return clean_paragraphs(read_docx(spark, path))
+
+
+def clean_paragraphs(rows: DataFrame) -> DataFrame:
+    """Stripped texts that are not blank, of (path, para_id, text)."""
+    return rows.select("para_id", strip("text").alias("text"), "path").where(F.col("text") != "").select("para_id", "text", hash_text("text").alias("text_hash"), "path")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from lexweave.plans import round_trips as round_trips
 from lexweave.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
