@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: A group larger than this share of a shard is placed before all others, whole if a shard can hold it.
+#: A group with more than this share of a shard's bytes or rows is placed before all others, whole if a shard can hold its bytes.
 HOT_SHARE = 1 / 32
 #: Weights of bytes, tokens and rows in the dot product, and what they count at least once a shard is full: bytes, whose law
 #: must hold, without end, the others nothing.
@@ -44,8 +44,8 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     """Shard and slot of every row: doc_id, size, tokens, text_crc32, shard, slot.
 
     Rows with equal texts make a group that stays together where one shard can hold it: groups with more than HOT_SHARE
-    of a shard's bytes are placed first, all at once; by their sizes there are at most shards / HOT_SHARE of
-    them, which bounds what the driver holds and broadcasts. Only one larger than a shard is cut, by a hash of the id. All
+    of a shard's bytes, or of its rows, are placed first, all at once; by their sizes there are at most 2 * shards / HOT_SHARE of
+    them, which bounds what the driver holds and broadcasts, and no other group fills a task. Only one larger than a shard is cut, by a hash of the id. All
     others are dealt to tasks of about TASK_ROWS rows by a hash; each task balances its own groups over what the first
     ones left in all shards, so the sums balance. Size
     is the UTF-8 bytes plus 16, tokens are counted by blanks. slot numbers the rows of a
@@ -66,7 +66,8 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     sums = ["size", "tokens"]
     totals = rows.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums]).first()
     limit = totals["size"] / shards
-    hot = rows.groupBy(*group).agg(F.sum("size").alias("bytes")).where(F.col("bytes") > limit * HOT_SHARE).collect()
+    many = max(totals["n"] / shards * HOT_SHARE, 1)
+    hot = rows.groupBy(*group).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).where((F.col("bytes") > limit * HOT_SHARE) | (F.col("n") > many)).collect()
     cut = spark.createDataFrame([(*[r[c] for c in group], max(1, -(-r["bytes"] // max(1, int(limit))))) for r in hot], "text_key long, text_crc32 long, size long, parts long")
     salted = rows.join(F.broadcast(cut), group, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0).cast("long")))
     known = salted.where(F.col("parts").isNotNull()).groupBy(*group, "part").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("words"), F.count("*").alias("rows"))

@@ -474,6 +474,19 @@ def test_sharding_law_and_groups(spark, monkeypatch):
     assert {t for t, x in groups.items() if len(x) > 1} == {t for t in groups if t and texts.count(t) * (len(t) + 16) > part}
 
 
+def test_sharding_balances_all_three(spark, monkeypatch):
+    """Texts with many words a byte and thousands of short copies: bytes, tokens and rows are shared out together, and no task gets all copies."""
+    monkeypatch.setattr(sharding, "TASK_ROWS", 1000)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(["w" * (1 if i % 20 == 0 else 6)] * int(n)) for i, n in enumerate(rng.integers(20, 400, 4000))] + [""] * 3000 + [None] * 10
+    out = sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), 8)
+    rows = out.groupBy("shard").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()
+    ratio = {c: max(r[c] for r in rows) / np.mean([r[c] for r in rows]) for c in "btn"}
+    assert len(rows) == 8 and ratio["b"] < 1.02 and ratio["t"] < 1.05
+    # The empty texts are one group, which one shard's bytes can hold, so its rows stay together there.
+    assert {r["shard"] for r in out.where("size = 16 and text_crc32 = 0").select("shard").distinct().collect()}.__len__() <= 2
+
+
 def test_token_files(spark, ids):
     rows = {r["doc_id"]: r for r in QUERIES["op9_token_files"](spark, SF).collect()}
     at = 0
