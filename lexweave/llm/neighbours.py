@@ -42,17 +42,36 @@ def _renewed(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in names])
 
 
+def _in_order(q: np.ndarray, p: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of rows i of q and columns j of p, summed from the first component to the last."""
+    total = np.zeros(len(i))
+    for d in range(len(p)):
+        total += q[i, d] * p[d, j]
+    return total
+
+
 def _score(queries: pd.DataFrame, points: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best classes among the points for each query class, ties too; of those at least its `kth` where it has one."""
+    """The k best classes among the points for each query class, ties to smaller names; none below its `kth` where it has one.
+
+    A matrix product rounds by its shape, so all that may be among the best within the bound of rounding are kept, summed
+    in order and cut by that sum.
+    """
     names, asked = points["cls"].to_numpy(), queries["cls"].to_numpy()
     floor = queries["kth"].to_numpy() if "kth" in queries else np.full(len(queries), -np.inf)
     q, p = _matrix(queries["embedding"]), _matrix(points["embedding"]).T
+    slack = 4 * (len(p) + 2) * np.finfo(float).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(p, axis=0).max(initial=0)
     out = []
     for at in range(0, len(q), SCORE_ROWS):
-        g = q[at : at + SCORE_ROWS] @ p
+        own = q[at : at + SCORE_ROWS]
+        g = own @ p
         least = np.partition(g, -k, axis=1)[:, -k] if g.shape[1] > k else np.full(len(g), -np.inf)
-        i, j = np.nonzero(g >= np.maximum(least, floor[at : at + SCORE_ROWS] * (1 - 1e-12) - 1e-12)[:, None])
-        out.append(pd.DataFrame({"query": asked[at + i], "near": names[j], "score": g[i, j]}))
+        i, j = np.nonzero(g >= (np.maximum(least, floor[at : at + SCORE_ROWS]) - slack[at : at + SCORE_ROWS])[:, None])
+        score = _in_order(own, p, i, j)
+        order = np.lexsort((names[j], -score, i))
+        i, j, score = i[order], j[order], score[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        best = place < k
+        out.append(pd.DataFrame({"query": asked[at + i[best]], "near": names[j[best]], "score": score[best]}))
     return pd.concat(out)
 
 
@@ -61,8 +80,8 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, complete: bo
 
     1. Equal vectors make a class, named by its smallest id; it keeps the k + 1 smallest ids,
        as no query can need more of them (the limit runs before the shuffle).
-    2. For each curve the classes are projected by a fixed rotation, shifted by a fraction
-       of a cell, put on a grid and sorted by Hilbert key; range partitions and their counts give every
+    2. For each curve the classes are projected by a fixed rotation into a cube of half the grid's side, which is shifted
+       by a third of that side from curve to curve, put on the grid and sorted by Hilbert key; range partitions and their counts give every
        class its rank. A query meets the blocks that its window of ranks touches; the
        windows of all curves merge and are reranked by the exact inner product.
     3. With `complete`, every block of the first curve whose bound |q||p| or q.c + |q|r (c its
@@ -92,7 +111,7 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, complete: bo
             unit = x / np.linalg.norm(x, axis=1, keepdims=True)
             for curve in range(CURVES):
                 y = unit @ _projection(curve, dim)
-                cells = (np.clip(y * np.sqrt(dim) / 6 + 0.5, 0, 1) * 0.99 + curve / (CURVES << BITS)) * (1 << BITS)
+                cells = (np.clip(y * np.sqrt(dim) / 6 + 0.5, 0, 1) + curve / CURVES) / 2 * (1 << BITS)
                 grid = np.clip(cells.astype(np.int64), 0, (1 << BITS) - 1)
                 yield pd.DataFrame({"curve": curve, "key": hilbert_keys(grid, BITS), "cls": frame["cls"], "embedding": frame["embedding"]})
 
@@ -120,7 +139,7 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, complete: bo
     found = written(best(found), "neighbours")
     if complete:
         found = best(found.unionByName(_complete(asked, blocked, found, k)))
-    # Matrix products round by their shape, so the few that are left are summed in order once more.
+    # The scores that are given out are summed by Spark, in the same order.
     left = classes.select(F.col("cls").alias("query"), F.col("embedding").alias("asks"))
     near = classes.select(F.col("cls").alias("near"), F.col("embedding").alias("has"), "members")
     exact = F.aggregate(F.zip_with("asks", "has", lambda a, b: a * b), F.lit(0.0), lambda total, x: total + x)
@@ -156,7 +175,7 @@ def _complete(asked: DataFrame, blocked: DataFrame, found: DataFrame, k: int) ->
             norm = np.linalg.norm(x, axis=1)
             for o in outlines.itertuples():
                 bound = np.minimum(norm * o.longest, x @ np.asarray(o.centre) + norm * o.radius)
-                near = names[bound * (1 + 1e-9) + 1e-12 >= floor]
+                near = names[bound + 1e-9 * norm * o.longest >= floor]
                 if len(near):
                     blocks, own = pages.setdefault(int(o.block) // PAGE, (set(), set()))
                     blocks.add(int(o.block))

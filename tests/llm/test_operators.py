@@ -162,6 +162,28 @@ def test_neighbours_match_brute_force(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("scale", [0.1, 1.0])
+def test_neighbours_at_near_ties(spark, monkeypatch, scale):
+    """Permuted components give products that differ by rounding alone; ranks follow the sum from the first component to the last."""
+    for name, value in {"BLOCK": 64, "REACH": 64, "QUERY_BLOCK": 16}.items():
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.permutation(np.arange(1, 9) if i % 3 else [0, 0, 0, 0, 1, 1, 1, -3]) * scale).tolist()) for i in range(700)]
+    got = defaultdict(list)
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, 700, 20))
+    def exact(v, w):
+        total = 0.0
+        for a, b in zip(v, w, strict=True):  # sum() would make up for rounding
+            total += a * b
+        return total
+
+    for q, own in got.items():
+        want = sorted((-exact(rows[q][1], w), i) for i, w in rows if i != q)[:20]
+        assert own == [(i, -s) for s, i in want]
+
+
 def test_hilbert_steps_are_neighbours():
     grid = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     keys = hilbert_keys(grid, 3)
