@@ -38,8 +38,11 @@ class TokenEncoder:
 
         self.tokenizer = Tokenizer.from_str(spec)
         parts = json.loads(spec)
-        added = [re.escape(t["content"].lower()) for t in parts.get("added_tokens", []) if t["content"]]
-        self.added = re.compile("|".join(added)) if added else None
+        added = [t["content"].lower() for t in parts.get("added_tokens", []) if t["content"]]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        sign = os.path.commonprefix(added)
+        #: What every added token begins with, if it has no letters: a text without it needs no closer look.
+        self.sign = sign if sign.upper() == sign else ""
         normal = [x.get("type") for x in (parts.get("normalizer") or {}).get("normalizers", [])]
         split = [x.get("pattern", {}).get("Regex") for x in (parts.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         self.by_word = normal == WORD_NORMALIZERS and split[:1] == [WORD_SPLIT]
@@ -80,11 +83,10 @@ class TokenEncoder:
         words: dict[int, list[str]] = {}
         rest = []
         for i, text in enumerate(texts):
-            low = text.lower()
-            if self.odd.search(text) or (self.added and self.added.search(low)):
+            if self.odd.search(text) or (self.added and self.sign in text and self.added.search(text.lower())):
                 rest.append(i)
             else:
-                words[i] = self.word.findall(low)
+                words[i] = self.word.findall(text.lower())
         for i, ids in zip(rest, self._whole([texts[i] for i in rest]), strict=True):
             out[i] = ids
         if len(self.cache) > self.cache_words:
