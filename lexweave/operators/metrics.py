@@ -38,7 +38,7 @@ def unordered_match_rows(df: DataFrame, key: str, source: str, output: str, nfkc
     """key, n_source, n_output, matched, precision, recall, f1, for texts of any length.
 
     Tokens of both sides are counted together by (key, token), which sums before it deals and
-    needs no join; `key` must be unique.
+    needs no join; rows of one `key` are taken together.
     """
     side = lambda c, s, o: df.select(key, F.explode(T.tokenize(c, nfkc)).alias("token"), F.lit(s).alias("s"), F.lit(o).alias("o"))
     tokens = side(source, 1, 0).unionByName(side(output, 0, 1))

@@ -482,7 +482,7 @@ S_BAGS = f"(select pair, token, sum(s) as s, sum(o) as o from (select pair, unne
 
 @query("q_unordered", f"select pair, cast(n_source as bigint) as n_source, cast(n_output as bigint) as n_output, cast(matched as bigint) as matched, round(matched / nullif(n_output, 0), 6) as precision, round(matched / nullif(n_source, 0), 6) as recall, round(2.0 * matched / nullif(n_output + n_source, 0), 6) as f1 from (select pair, cast(sum(s) as double) as n_source, cast(sum(o) as double) as n_output, cast(sum(least(s, o)) as double) as matched from {S_BAGS} group by 1)")
 def unordered(spark, sf):
-    got = metrics.unordered_match_rows(_turns(spark, sf).dropDuplicates(["pair"]), "pair", "source", "output")
+    got = metrics.unordered_match_rows(_turns(spark, sf), "pair", "source", "output")
     f1 = F.when((F.col("n_output") > 0) & (F.col("n_source") > 0), F.coalesce("f1", F.lit(0.0))).otherwise(F.col("f1"))
     return got.withColumn("f1", f1).select("pair", "n_source", "n_output", "matched", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
