@@ -69,8 +69,8 @@ def overlap(places: Places, lists: Lists, found: np.ndarray) -> np.ndarray:
     return np.bincount(pairs // max(len(places.tokens), 1), shared, len(lists.lengths)).astype(np.int64)
 
 
-def walked(places: Places, lists: Lists, found: np.ndarray, strict: bool = False) -> np.ndarray:
-    """Of each list the tokens found in the source one after another, each after the one before.
+def hits(places: Places, lists: Lists, found: np.ndarray, strict: bool = False) -> np.ndarray:
+    """Whether each token is found in its list's source after the one found before.
 
     A token that isn't found costs nothing, or with `strict` uses up all that is left. All lists take a step together;
     tokens that the source lacks altogether are never a step.
@@ -81,13 +81,11 @@ def walked(places: Places, lists: Lists, found: np.ndarray, strict: bool = False
         gone = np.zeros(len(found), np.int64)
         gone[~there] = 1
         gone = np.cumsum(gone)
-        starts = np.r_[0, np.cumsum(lists.lengths)[:-1]] if len(lists.lengths) else np.zeros(0, np.int64)
-        before = np.where(starts > 0, gone[np.maximum(starts, 1) - 1], 0) if len(gone) else np.zeros(len(starts), np.int64)
-        there &= gone - before[owner] == 0
+        there &= gone - _before(gone, lists.lengths)[owner] == 0
     steps = found[there]
     lengths = np.bincount(owner[there], minlength=len(lists.lengths))
     starts = np.r_[0, np.cumsum(lengths)[:-1]] if len(lengths) else np.zeros(0, np.int64)
-    n, at = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    taken, at = np.zeros(len(steps), bool), np.zeros(len(lengths), np.int64)
     active = np.argsort(-lengths, kind="stable")
     sorted_lengths = lengths[active]
     for i in range(int(lengths.max(initial=0))):
@@ -98,12 +96,25 @@ def walked(places: Places, lists: Lists, found: np.ndarray, strict: bool = False
         place = places.sorted[np.minimum(spot, len(places.sorted) - 1)] - token * places.width
         hit = inside & (place < places.width)
         at[live[hit]] = place[hit] + 1
-        n[live[hit]] += 1
+        taken[starts[live[hit]] + i] = True
         if strict and not hit.all():
             stay = np.ones(len(active), bool)
             stay[: len(live)] = hit
             active, sorted_lengths = active[stay], sorted_lengths[stay]
-    return n
+    out = np.zeros(len(found), bool)
+    out[np.flatnonzero(there)[taken]] = True
+    return out
+
+
+def _before(running: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Of running sums over all lists the sum before each list."""
+    starts = np.r_[0, np.cumsum(lengths)[:-1]] if len(lengths) else np.zeros(0, np.int64)
+    return np.where(starts > 0, running[np.maximum(starts, 1) - 1], 0) if len(running) else np.zeros(len(starts), np.int64)
+
+
+def walked(lists: Lists, hit: np.ndarray) -> np.ndarray:
+    """Of each list the number of its hits."""
+    return np.bincount(lists.owners(), hit, len(lists.lengths)).astype(np.int64)
 
 
 def match_lists(through: pa.Array, lists: pa.Array, strict: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -111,14 +122,23 @@ def match_lists(through: pa.Array, lists: pa.Array, strict: bool = False) -> tup
     source, out = coded(through, lists)
     places = Places(source, int(max(source.codes.max(initial=0), out.codes.max(initial=0))) + 1)
     found = places.find(out, np.arange(len(out.lengths)))
-    return overlap(places, out, found), walked(places, out, found, strict)
+    return overlap(places, out, found), walked(out, hits(places, out, found, strict))
+
 
+def match_many(through: pa.Array, lists: pa.Array, steps: bool = False) -> pa.Array:
+    """For rows of one source and several lists: an array of structs (overlap, walk), one a list.
 
-def match_many(through: pa.Array, lists: pa.Array) -> pa.Array:
-    """For rows of one source and several lists: an array of structs (overlap, walk), one a list."""
+    With `steps` a struct also has how far the walk has come after each of the list's tokens.
+    """
     inner, per_row = _flat(lists)
     source, out = coded(through, inner)
     places = Places(source, int(max(source.codes.max(initial=0), out.codes.max(initial=0))) + 1)
     found = places.find(out, np.repeat(np.arange(len(per_row)), per_row))
-    both = pa.StructArray.from_arrays([pa.array(overlap(places, out, found), pa.int64()), pa.array(walked(places, out, found), pa.int64())], names=["unordered", "ordered"])
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per_row)], pa.int32()), both)
+    hit = hits(places, out, found)
+    columns = {"unordered": pa.array(overlap(places, out, found), pa.int64()), "ordered": pa.array(walked(out, hit), pa.int64())}
+    if steps:
+        running = np.cumsum(hit)
+        so_far = running - np.repeat(_before(running, out.lengths), out.lengths)
+        columns["steps"] = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(out.lengths)], pa.int32()), pa.array(so_far, pa.int32()))
+    each = pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per_row)], pa.int32()), each)

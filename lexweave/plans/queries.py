@@ -535,7 +535,7 @@ S_METRICS = f"""with recursive merged as materialized (select * from {S_MERGED})
     f"{S_METRICS} select field, system, round(avg(up), 6) as unordered_precision, round(avg(ur), 6) as unordered_recall, round(avg(2 * up * ur / nullif(up + ur, 0)), 6) as unordered_f1, round(avg(op), 6) as ordered_precision, round(avg(r), 6) as ordered_recall, round(avg(2 * op * r / nullif(op + r, 0)), 6) as ordered_f1 from m group by 1, 2",
 )
 def token_summary(spark, sf):
-    got = metrics.token_summary(metrics.field_metrics(_merged(spark, sf), _FIELDS))
+    got = metrics.token_summary(metrics.field_metrics(_merged(spark, sf), _FIELDS, paired=True))
     return got.select("field", "system", *[F.round(c, 6).alias(c) for c in got.columns[2:]])
 
 
@@ -576,7 +576,7 @@ def length_summary(spark, sf):
     f"{S_METRICS} select entry_id, field, system, 'phrase' as kind, round(coalesce(coverage, 0), 6) as value from m where not whole union all select entry_id, field, system, 'unordered', round(up, 6) from m where up < 1 union all select entry_id, field, system, 'ordered', round(op, 6) from m where op < 1",
 )
 def failures(spark, sf):
-    got = metrics.failures(metrics.field_metrics(_merged(spark, sf), _FIELDS))
+    got = metrics.failures(metrics.field_metrics(_merged(spark, sf), _FIELDS, paired=True))
     return got.withColumn("value", F.round("value", 6))
 
 
