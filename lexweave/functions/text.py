@@ -11,6 +11,9 @@ from pyspark.sql.types import ArrayType, StringType
 
 #: White space as Python's \s has it; Java lacks the four separators even with (?U).
 WS = r"[\s\x1c-\x1f]"
+#: The same characters one by one, and a pattern for those among them that are not a single blank.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_RAGGED = "[" + SPACES.replace(" ", "") + "]|  "
 
 # Part-of-speech labels in the order in which they are tried.
 POS_LABELS = (
@@ -54,11 +57,13 @@ def col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), rf"(?U)^{WS}+|{WS}+\z", "")
+    return F.btrim(col(c), F.lit(SPACES))
 
 
 def collapse(c: Column | str) -> Column:
-    return F.regexp_replace(strip(c), rf"(?U){WS}+", " ")
+    """One blank for each run of white space; only texts that hold others are rewritten."""
+    c = strip(c)
+    return F.when(c.rlike(_RAGGED), F.regexp_replace(c, rf"(?U){WS}+", " ")).otherwise(c)
 
 
 def normalize_entry_text(c: Column | str) -> Column:
@@ -67,24 +72,34 @@ def normalize_entry_text(c: Column | str) -> Column:
     return F.regexp_replace(out, r" +([,.;:])", "$1")
 
 
+def _changeable(c: Column) -> Column:
+    """Whether NFKC or casefold() may change a text; bytes are counted first, for ASCII needs no look at its letters."""
+    return (F.octet_length(c) != F.length(c)) & ~c.rlike(_STABLE)
+
+
 def normalize_unicode(c: Column | str) -> Column:
     """NFKC; only values that it may change are sent to Python."""
     c = col(c)
-    return F.coalesce(_nfkc(F.when(~c.rlike(_STABLE), c)), c)
+    return F.coalesce(_nfkc(F.when(_changeable(c), c)), c)
 
 
-def _odd_items(c: Column) -> Column:
-    return F.when(F.exists(c, lambda x: ~x.rlike(_STABLE)), c)
+def _in_python(udf, c: Column) -> Column:
+    """The UDF over arrays that hold an item which it may change; for others it gets an empty array.
+
+    A null array would cost the Arrow writer a walk over all nulls of the batch before it.
+    """
+    odd = F.exists(c, _changeable)
+    return F.when(odd, udf(F.when(odd, c).otherwise(F.array().cast(ArrayType(StringType()))))).otherwise(c)
 
 
 def normalize_items(c: Column | str) -> Column:
     """NFKC of each item of an array; only arrays that it may change are sent to Python."""
-    return F.coalesce(_nfkc_items(_odd_items(col(c))), col(c))
+    return _in_python(_nfkc_items, col(c))
 
 
 def fold_items(c: Column | str) -> Column:
     """As normalize_items, with such arrays in full case folding too; casefold() does the rest."""
-    return F.coalesce(_folded_items(_odd_items(col(c))), col(c))
+    return _in_python(_folded_items, col(c))
 
 
 def is_nullish(c: Column | str, kind: str = "string") -> Column:
@@ -108,7 +123,7 @@ def casefold(c: Column | str) -> Column:
 def match_text(c: Column | str, nfkc: bool = True) -> Column:
     """Text for comparison without case, with plain quotes and dashes; null as the empty string."""
     c = col(c)
-    folded = casefold(F.coalesce(_folded(F.when(~c.rlike(_STABLE), c)), c) if nfkc else c)
+    folded = casefold(F.coalesce(_folded(F.when(_changeable(c), c)), c) if nfkc else c)
     return F.coalesce(collapse(F.translate(folded, "’‘“”–—", "''\"\"--")), F.lit(""))
 
 

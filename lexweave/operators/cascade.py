@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .numbering import number_rows
+from .spreading import spread
 
 REPAIRS = 3
 STRINGS = ("headword_raw", "headword", "variant_forms_raw", "pronunciation", "pronunciation_2", "pronunciation_3", "pronunciation_4", "part_of_speech", "definition", "etymology")
@@ -49,7 +50,7 @@ def reachable(name: str, bits: Column) -> Column:
 
 def pattern_evaluations(records: DataFrame, profile: str = "src", text_col: str = "text", id_col: str = "para_id") -> DataFrame:
     """id, rule of the first round, and how many patterns are tried for it: in order, and with the rules out of reach left out."""
-    own = records.select(id_col, T.normalize_entry_text(F.coalesce(text_col, F.lit(""))).alias("_text")).withColumn("_bits", marks(F.col("_text")))
+    own = spread(records.select(id_col, text_col)).select(id_col, T.normalize_entry_text(F.coalesce(text_col, F.lit(""))).alias("_text")).withColumn("_bits", marks(F.col("_text")))
     known, _ = rules(F.col("_text"), F.col("_text"), profile)
     own = own.withColumn("_branch", _first(known, F.col("_bits")))
     place = F.array_position(F.array(*[F.lit(r.name) for r in known]), F.col("_branch")).cast("int")
@@ -241,8 +242,8 @@ def parse(df: DataFrame, profile: str = "src", text_col: str = "text", id_col: s
     Null text is parsed as empty. With `renumber` ids count the rows by the order of their ids, then of their texts.
     A text that a repair leaves as it was, or that needs a fourth repair, is unparsed.
     """
-    if renumber:
-        df = number_rows(df.select(id_col, text_col), id_col, text_col, name="_number")
+    df = df.select(id_col, text_col)
+    df = number_rows(df, id_col, text_col, name="_number") if renumber else spread(df)
     own = df.select(F.col("_number" if renumber else id_col).cast("int").alias("para_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_original"))
     own = own.withColumn("_text", T.normalize_entry_text("_original")).withColumn("_trail", F.array().cast("array<string>"))
     for depth in range(REPAIRS + 1):
