@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import text as T
 from ..schemas import CORE_FIELDS
+from .spreading import spread
 
 
 def flatten_model(df: DataFrame) -> DataFrame:
@@ -45,7 +46,7 @@ def normalize_rule(df: DataFrame, id_col: str = "entry_id", region_profile: str
         "region_mentions": A.clean_region_values("region_mentions", "struct" if "struct" in region else "string", region_profile),
         "needs_review": F.coalesce(has("needs_review").cast("boolean"), F.lit(False)),
     }
-    return df.select(*_record(columns))
+    return spread(df).select(*_record(columns))
 
 
 def normalize_model(df: DataFrame, id_offset: int = 0) -> DataFrame:
@@ -64,7 +65,7 @@ def normalize_model(df: DataFrame, id_offset: int = 0) -> DataFrame:
         "region_mentions": A.clean_region_values(lists("region_mentions"), "string"),
         "needs_review": F.coalesce("needs_review", F.lit(False)) if "needs_review" in df.columns else F.lit(False),
     }
-    return df.select(*_record(columns))
+    return spread(df).select(*_record(columns))
 
 
 def apply_maps(df: DataFrame, pos_map: dict[str, str] | None = None, region_map: dict[str, str] | None = None) -> DataFrame:

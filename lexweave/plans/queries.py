@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import text as T
 from ..operators import audit, cascade, compare, extract, metrics, normalize, numbering, runs
+from ..operators.spreading import spread
 from ..sources.readers import split_paragraphs
 
 QUERIES: dict = {}
@@ -247,7 +248,7 @@ def parse_effort(spark, sf):
 @query("q_list_clean", "select p_partkey, p_name || '|' || p_type as cleaned, p_brand || '|' || p_type as prons, lower(p_type) || '|n.' as pos, upper(p_name) || '|' || p_type as xrefs from part where p_name is not null")
 def list_clean(spark, sf):
     arr = lambda *x: F.array(*[F.expr(e) for e in x])
-    return _table(spark, sf, "part").select(
+    return spread(_table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_brand")).select(
         "p_partkey",
         _joined(A.clean_list(arr("concat(' ', p_name, '  ')", "null", "p_name", "' '", "p_type"))).alias("cleaned"),
         _joined(A.clean_pronunciations(arr("concat('/', p_brand, '/')", "p_brand", "concat(p_type, '/')"))).alias("prons"),
@@ -323,7 +324,7 @@ _STUB_SQL = "select c_name as entry_id, c_custkey % 10 % 4 as kind from customer
 
 
 def _replies(spark, sf):
-    rows = _table(spark, sf, "customer").select(F.col("c_name").alias("entry_id"), F.col("c_name").alias("entry_text"))
+    rows = spread(_table(spark, sf, "customer").select(F.col("c_name").alias("entry_id"), F.col("c_name").alias("entry_text")))
     return extract.read_replies(extract.ask_model(rows, lambda: _stub(), "system", "Word: {{ entry_text }}"))
 
 
