@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, cascade, extract, runs
 from ..operators.snapshots import Snapshots
+from ..operators.spreading import spread
 from ..sources import docx, readers, sinks
 from ..sources.append_log import extraction_log
 from ..sources.json_split import split_json
@@ -51,7 +52,7 @@ def csv_round(spark, sf):
 
 
 def _json_files(df: DataFrame, path: str, form: str) -> None:
-    """Each partition as one JSON list or object of a single line."""
+    """Each partition as one JSON list or object of a single line; partitions, and so files, grow in number with the rows' bytes."""
     item = F.to_json(F.struct("entry_id", "entry_text")) if form == "[" else F.concat(F.to_json(F.array("entry_id")).substr(F.lit(2), F.length(F.to_json(F.array("entry_id"))) - 2), F.lit(":"), F.to_json(F.array("entry_text")).substr(F.lit(2), F.length(F.to_json(F.array("entry_text"))) - 2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,14 +63,14 @@ def _json_files(df: DataFrame, path: str, form: str) -> None:
             first = first and not items
         yield pa.RecordBatch.from_arrays([pa.array([form + "]}"["[{".index(form)] if first else "]}"["[{".index(form)]], pa.string())], names=["value"])
 
-    df.select(item.alias("value")).mapInArrow(run, "value string").write.option("lineSep", " ").text(path)
+    df.select(item.alias("value")).hint("rebalance").mapInArrow(run, "value string").write.option("lineSep", " ").text(path)
 
 
 @query("q_entries_list", "select doc_id || '' as entry_id, text as entry_text from documents")
 def entries_list(spark, sf):
     """Entries of JSON lists of one long line, cut by blocks."""
     path = _folder(spark, "list")
-    _json_files(_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("entry_id"), F.col("text").alias("entry_text")).repartition(3), path, "[")
+    _json_files(_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("entry_id"), F.col("text").alias("entry_text")), path, "[")
     return split_json(spark, path).select(F.from_json("text", "struct<entry_id: string, entry_text: string>", {"mode": "FAILFAST"}).alias("e")).select("e.*")
 
 
@@ -77,7 +78,7 @@ def entries_list(spark, sf):
 def entries_object(spark, sf):
     """Entries of JSON objects from id to text."""
     path = _folder(spark, "object")
-    _json_files(_table(spark, sf, "conversations").select(F.format_string("%d/%d", "conv_id", "turn").alias("entry_id"), F.col("text").alias("entry_text")).repartition(3), path, "{")
+    _json_files(_table(spark, sf, "conversations").select(F.format_string("%d/%d", "conv_id", "turn").alias("entry_id"), F.col("text").alias("entry_text")), path, "{")
     named = F.explode(F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), "map<string,string>", {"mode": "FAILFAST"}))
     return split_json(spark, path).where("kind = '{'").select(named.alias("entry_id", "entry_text"))
 
@@ -123,8 +124,10 @@ def append_log(spark, sf):
     rows = _table(spark, sf, "customer").select(F.col("c_name").alias("entry_id"), F.col("c_name").alias("entry_text"), F.pmod("c_custkey", F.lit(3)).alias("part"))
     log = extraction_log(spark, good, bad)
     for number in (0, 1, 1, 2, 0):
-        records = extract.read_replies(extract.ask_model(rows.where(F.col("part") == number), lambda: _stub(), "system", "Word: {{ entry_text }}", parallel=4))
+        replies = extract.ask_model(spread(rows.where(F.col("part") == number)), lambda: _stub(), "system", "Word: {{ entry_text }}", parallel=4).persist()
+        records = extract.read_replies(replies)
         log.append({"good": extract.good(records), "bad": extract.bad(records)}, "query", number)
+        replies.unpersist()
     found = spark.read.schema("entry_id string, data struct<definition: string>").json(good).select("entry_id", F.col("data.definition").alias("definition"), F.lit("good").alias("output"))
     return found.unionByName(spark.read.schema("entry_id string, error string").json(bad).select("entry_id", F.col("error").alias("definition"), F.lit("bad").alias("output")))
 
