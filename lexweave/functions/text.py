@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,7 +14,7 @@ from pyspark.sql.types import ArrayType, StringType
 WS = r"[\s\x1c-\x1f]"
 #: The same characters one by one, and a pattern for those among them that are not a single blank.
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-_RAGGED = "[" + SPACES.replace(" ", "") + "]|  "
+_RAGGED = "[\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|  "
 
 # Part-of-speech labels in the order in which they are tried.
 POS_LABELS = (
@@ -60,16 +61,26 @@ def strip(c: Column | str) -> Column:
     return F.btrim(col(c), F.lit(SPACES))
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with the value computed once a row: a fold over nothing, whose last step is `then`."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda x, _: x, lambda x: then(x))
+
+
 def collapse(c: Column | str) -> Column:
     """One blank for each run of white space; only texts that hold others are rewritten."""
-    c = strip(c)
+    return _one_line(strip(c))
+
+
+def _one_line(c: Column) -> Column:
     return F.when(c.rlike(_RAGGED), F.regexp_replace(c, rf"(?U){WS}+", " ")).otherwise(c)
 
 
 def normalize_entry_text(c: Column | str) -> Column:
-    """One line, `/ , /` as `/, /`, no blank before , . ; and :"""
-    out = F.regexp_replace(collapse(c), r"/ *, */", "/, /")
-    return F.regexp_replace(out, r" +([,.;:])", "$1")
+    """One line, `/ , /` as `/, /`, no blank before , . ; and :; patterns are tried on texts that hold their signs only."""
+    listed = lambda x: F.when(F.contains(x, F.lit("/")) & F.contains(x, F.lit(",")), F.regexp_replace(x, r"/ *, */", "/, /")).otherwise(x)
+    parted = lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(f" {sign}")) for sign in ",.;:"])
+    closed = lambda x: F.when(parted(x), F.regexp_replace(x, r" +([,.;:])", "$1")).otherwise(x)
+    return let(strip(c), lambda s: let(_one_line(s), lambda x: let(listed(x), closed)))
 
 
 def _changeable(c: Column) -> Column:
@@ -169,12 +180,13 @@ def extract_region_mentions(c: Column | str) -> Column:
 _STOP = r"(?:[“\"]|(?U:\b)See(?U:\b))"
 
 
-def split_definition_etymology(c: Column | str) -> Column:
+def split_definition_etymology(c: Column | str, stripped: bool = False) -> Column:
     """Struct (definition, etymology) of an entry's tail, parted at the first `<`.
 
-    What follows a quotation mark or `See` in the etymology goes back to the definition.
+    What follows a quotation mark or `See` in the etymology goes back to the definition. `stripped` says that the tail
+    has no white space at its ends. Tails without `<` meet no pattern.
     """
-    t = strip(col(c))
+    t = col(c) if stripped else strip(col(c))
     left = F.regexp_extract(t, r"(?s)^(.*?)\s<\s*(.*)\z", 1)
     right = F.regexp_extract(t, r"(?s)^(.*?)\s<\s*(.*)\z", 2)
     stopped = right.rlike(_STOP)
@@ -182,10 +194,11 @@ def split_definition_etymology(c: Column | str) -> Column:
     tail = strip(F.regexp_extract(right, rf"(?s)^.*?({_STOP}.*)\z", 1))
     cut = lambda x: F.btrim(x, F.lit(" .;"))
     none = F.lit(None).cast("string")
+    holds = F.contains(t, F.lit("<"))
     only = t.startswith("<")
     marked = t.rlike(r"\s<")
-    definition = F.when(only, none).when(~marked, F.nullif(cut(t), F.lit(""))).otherwise(F.nullif(F.when(stopped, cut(F.concat(cut(left), F.lit(". "), tail))).otherwise(cut(left)), F.lit("")))
-    etymology = F.when(only, cut(F.ltrim(t, F.lit("<")))).when(marked, F.nullif(cut(head), F.lit("")))
+    definition = F.when(~holds, F.nullif(cut(t), F.lit(""))).when(only, none).when(~marked, F.nullif(cut(t), F.lit(""))).otherwise(F.nullif(F.when(stopped, cut(F.concat(cut(left), F.lit(". "), tail))).otherwise(cut(left)), F.lit("")))
+    etymology = F.when(~holds, none).when(only, cut(F.ltrim(t, F.lit("<")))).when(marked, F.nullif(cut(head), F.lit("")))
     empty = t.isNull() | (t == "")
     return F.struct(F.when(~empty, definition).alias("definition"), F.when(~empty, etymology).alias("etymology"))
 

@@ -33,3 +33,20 @@ def test_fewer_patterns(spark):
 def test_bits(spark):
     row = spark.range(1).select(cascade.marks(T.normalize_entry_text(F.lit("A, ſEE ın the b."))).alias("b")).first()["b"]
     assert {m for i, m in enumerate(cascade.MARKS) if row >> i & 1} == {",", "see", "in the ", "."}
+
+
+def test_patterns_stand_once(spark):
+    """A rule's pattern is tried in one place (C3 and C9 look at a group too) and its groups are cut in one; a plan with copies for rounds and fields makes methods that the JVM never compiles."""
+    df = spark.createDataFrame([(1, "gaffer n. a boss")], "para_id int, text string")
+    for profile in ("src", "v12"):
+        plan = cascade.parse(df, profile)._jdf.queryExecution().optimizedPlan().toString()
+        known = [r for r in cascade.rules(F.col("t"), F.col("t"), profile) if r.pattern]
+        found = {r.name: plan.count(r.pattern) for r in known}
+        assert len(found) == 14 and all(0 < n <= 4 for n in found.values()), found
+
+
+def test_texts_of_one_pass(spark):
+    """A normalised text holds no white space but blanks, so the mark between groups can't be in it."""
+    points = [chr(i) for i in range(1, 0x3100)]
+    df = spark.createDataFrame([(f"a{c}b /x{c}/ n. c{c}{c}d",) for c in points], "t string").select(T.normalize_entry_text("t").alias("t"))
+    assert df.where(F.contains("t", F.lit(cascade.PART)) | F.col("t").rlike("(?U)[\\s\\x1c-\\x1f&&[^ ]]")).count() == 0
