@@ -312,7 +312,7 @@ def parse(df: DataFrame, profile: str = "src", text_col: str = "text", id_col: s
     A text that a repair leaves as it was, or that needs a fourth repair, is unparsed.
     """
     df = df.select(id_col, text_col)
-    df = number_rows(df, id_col, text_col, name="_number") if renumber else spread(df)
+    df = number_rows(df, id_col, text_col, name="_number", keep=[text_col]) if renumber else spread(df)
     own = df.select(F.col("_number" if renumber else id_col).cast("int").alias("para_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_original"))
     own = own.withColumn("_text", T.normalize_entry_text("_original")).withColumn("_state", _settled(F.col("_text"), F.col("_original"), profile))
     own = own.select("para_id", *[F.col(f"_state.{c}").alias(f"_{c}") for c in ("text", "original", "trail", "rule", "bits")])
