@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import math
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -84,6 +85,18 @@ def test_empty_table_has_no_windows(spark):
     assert out.count() == 0 and out.columns == ["click_id", "start_hour", "closed_batch", "n_repeats", "n_conflicts", "conflict_crc", "hash"]
 
 
+def test_no_state_store_stays_open(spark):
+    """Stores hold memory outside the heap; those of 8 starts in all shuffle partitions must not pile up on an executor."""
+    at = START + datetime.timedelta(days=20_000)
+    rows = [(i, at, at + datetime.timedelta(hours=i), 1, "k", 1.0, "{}") for i in range(20)]
+    clicks = spark.createDataFrame(rows, "click_id long, ts timestamp_ntz, arrived_at timestamp_ntz, client_id long, kind string, value double, props string")
+    local = Path(spark.sparkContext._jvm.org.apache.spark.util.Utils.getLocalDir(spark.sparkContext._jsc.sc().conf()))
+    stores = lambda: set(local.rglob("StateStoreId*"))  # noqa: E731  # each open store has a folder of its own
+    before = stores()
+    assert shown(click_windows.deduplicate_clicks(clicks, batches=2)) == walked(rows, 2)
+    assert stores() <= before
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_batches_of_one_bucket(seed):
     """The walk of many clicks at once, with windows kept from before, against one row at a time."""
