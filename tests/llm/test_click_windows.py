@@ -97,6 +97,23 @@ def test_no_state_store_stays_open(spark):
     assert stores() <= before
 
 
+def test_state_lies_in_the_checkpoint_alone(spark):
+    """Closed RocksDB stores leave native memory behind, so every start would make executors larger; settings come back."""
+    at = START + datetime.timedelta(days=20_000)
+    rows = [(i, at, at + datetime.timedelta(hours=i), 1, "k", 1.0, "{}") for i in range(20)]
+    clicks = spark.createDataFrame(rows, "click_id long, ts timestamp_ntz, arrived_at timestamp_ntz, client_id long, kind string, value double, props string")
+    keys = ["spark.sql.streaming." + k for k in ("stateStore.providerClass", "maxBatchesToRetainInMemory", "stateStore.unloadOnCommit", "unsupportedOperationCheck")]
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    settings, before = [spark.conf.get(k, None) for k in keys], set(shared.iterdir())
+    assert shown(click_windows.deduplicate_clicks(clicks, batches=3)) == walked(rows, 3)
+    assert [spark.conf.get(k, None) for k in keys] == settings
+    (home,) = set(shared.iterdir()) - before
+    kept = [p for p in (home / "checkpoint/state").rglob("*") if p.is_file() and not p.name.startswith(".")]
+    batches = {(p.parent.parent.name, p.name) for p in kept if p.suffix == ".delta"}
+    assert batches == {(op, f"{b}.delta") for op in "01" for b in (1, 2, 3)}
+    assert not [p for p in kept if p.suffix in (".changelog", ".zip")]
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_batches_of_one_bucket(seed):
     """The walk of many clicks at once, with windows kept from before, against one row at a time."""
